@@ -11,6 +11,7 @@ through the anchor with all occurrences.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -117,13 +118,51 @@ def repeats(lefts: list[bytes], rights: list[bytes], least: int) -> Iterator[tup
                 yield share, right, members[a : b + 1]
 
 
-def _covered(lefts: list[bytes], rights: list[bytes], least: int) -> list[list[tuple[int, int]]]:
-    """For every occurrence the stretches (bytes before, bytes after the anchor) that its repeats cover."""
+def covered(lefts: list[bytes], rights: list[bytes], least: int) -> list[list[tuple[int, int]]]:
+    """For every occurrence the stretches (bytes before, bytes after the anchor) that its repeats cover.
+
+    The same tree is scanned with a stack, but an interval's members are kept in the order of what stands on
+    their left, the smaller set inserted into the larger.  Where two sets meet, only new neighbours can
+    extend a repeat further to the left: an older neighbour shares at least as much on both sides.
+    """
+    n = len(rights)
+    order = sorted(range(n), key=rights.__getitem__)
+    by_left = sorted(range(n), key=lefts.__getitem__)
+    place = [0] * n
+    for i, x in enumerate(by_left):
+        place[x] = i
+    best = [-1] * n
     out: list[list[tuple[int, int]]] = [[] for _ in rights]
-    for left, right, members in repeats(lefts, rights, least):
-        for m in members:
-            if not any(x >= left and y >= right for x, y in out[m]):
-                out[m] = [(x, y) for x, y in out[m] if not (left >= x and right >= y)] + [(left, right)]
+
+    def pair(a: int, b: int, right: int) -> None:
+        x, y = by_left[a], by_left[b]
+        left = common_prefix(lefts[x], lefts[y])
+        if left + right >= least:
+            for z in (x, y):
+                if left > best[z]:
+                    best[z] = left
+                    out[z].append((left, right))
+
+    def meet(a: list[int], b: list[int], right: int) -> list[int]:
+        if len(a) < len(b):
+            a, b = b, a
+        for r in b:
+            at = bisect_left(a, r)
+            if at:
+                pair(a[at - 1], r, right)
+            if at < len(a):
+                pair(r, a[at], right)
+            a.insert(at, r)
+        return a
+
+    stack: list[tuple[int, list[int]]] = []
+    for i, x in enumerate(order):
+        members = [place[x]]
+        value = common_prefix(rights[x], rights[order[i + 1]]) if i + 1 < n else -1
+        while stack and stack[-1][0] >= value:
+            right, before = stack.pop()
+            members = meet(before, members, right)
+        stack.append((value, members))
     return out
 
 
@@ -166,7 +205,7 @@ def _spans_in_tasks(contexts: DataFrame, length: int) -> DataFrame:
     def group(rows) -> list[tuple[int, int, int]]:
         if len(rows) < 2:
             return []
-        found = _covered([r[2] for r in rows], [r[3] for r in rows], length)
+        found = covered([r[2] for r in rows], [r[3] for r in rows], length)
         return [(r[0], r[1] - x, r[1] + y) for r, f in zip(rows, found, strict=True) for x, y in f]
 
     def run(batches):
