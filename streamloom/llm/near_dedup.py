@@ -10,9 +10,8 @@ Steps, each linear in its input:
 1. sign: sets, bands and sketches, in one pass.  Documents with equal sets collapse to the smallest id.
 2. Each band bucket's smallest member is its star centre.  Pairs (centre, member) are estimated, then
    confirmed on full sets; links give components.
-3. Buckets that still hold several components: all pairs of such components are compared in blocks of
-   bounded size, which return links only, never all pairs.  So members are not lost when the centre
-   is unlike them.
+3. Components that still share a bucket: their members' sketches are compared in blocks of bounded size,
+   and what is near is confirmed.  So links are not lost where the centre is unlike both ends.
 """
 
 from __future__ import annotations
@@ -29,7 +28,8 @@ from .components import connected_components
 
 SAMPLES, ROWS, BITS = 160, 5, 512
 BLOCK = 512  # members of a component in one block of step 3
-CENTRES = 32  # components of a bucket that are compared with all its others in one round
+SMALL = 64  # pairs of members up to which two components are joined
+CENTRES = 16  # components of a bucket that are compared with one another, or of a key in one round
 
 SIGNED = "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch array<long>"
 
@@ -97,6 +97,11 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")).mapInArrow(run, "id long, shingles binary")
 
 
+def _bits():
+    """How many bits of the sketches sa and sb differ."""
+    return sum(F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(BITS // 64))
+
+
 def max_xor(similarity: float) -> int:
     """XOR bits above which a pair's similarity is safely (over six standard deviations) under the bound."""
     low = max(0.0, similarity - 6.2 * math.sqrt(similarity * (1 - similarity) / SAMPLES))
@@ -123,21 +128,17 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _across(group: pd.DataFrame, percent: int, most: int) -> pd.DataFrame:
-    """Links between the two sides of one block, at most one for each member of the smaller side."""
+def _across(group: pd.DataFrame, most: int) -> pd.DataFrame:
+    """The pairs of one block's two sides whose sketches are near."""
     a, b = group[~group.right], group[group.right]
-    out = []
+    out_a, out_b = [], []
     if len(a) and len(b):
-        bits = np.stack(b.sketch.to_list()).view(np.uint64)
-        sets = [np.frombuffer(x, np.uint64) for x in b.shingles]
-        for i, sketch, blob in zip(a.id, a.sketch, a.shingles, strict=True):
-            xor = np.bitwise_count(bits ^ np.asarray(sketch).view(np.uint64)).sum(axis=1)
-            own = np.frombuffer(blob, np.uint64)
-            for j in np.flatnonzero(xor <= most)[np.argsort(xor[xor <= most], kind="stable")]:
-                if _linked(own, sets[j], percent):
-                    out.append((i, int(b.id.iloc[j])))
-                    break
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        bits, ids = np.stack(b.sketch.to_list()).view(np.uint64), b.id.to_numpy()
+        for i, sketch in zip(a.id, a.sketch, strict=True):
+            near = ids[np.bitwise_count(bits ^ np.asarray(sketch).view(np.uint64)).sum(axis=1) <= most]
+            out_a += [i] * len(near)
+            out_b += near.tolist()
+    return pd.DataFrame({"a": np.asarray(out_a, np.int64), "b": np.asarray(out_b, np.int64)})
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -162,28 +163,29 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     pairs = buckets.filter("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
     sketches = reps.select("rep", "sketch")
     side = lambda name: sketches.select(F.col("rep").alias(name), F.col("sketch").alias(f"s{name}"))
-    bits = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    near = written(pairs.join(side("b"), "b").join(side("a"), "a").filter(bits <= most).select("a", "b"), "near")
+    near = written(pairs.join(side("b"), "b").join(side("a"), "a").filter(_bits() <= most).select("a", "b"), "near")
     members = buckets.select("rep").distinct()
     sets = written(shingle_sets(docs.join(members.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi"), words), "shingles").dropDuplicates(["id"])
     links = written(_confirm(near, sets, percent), "links")
-    done = 0
+    components = written(connected_components(links), "components")
+    done, keys = 0, None
     while True:
-        components = written(connected_components(links), "components")
         named = members.join(components.withColumnRenamed("id", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"))
         named = written(named, "named")
-        mixed = buckets.join(named, "rep").select("h", "component").distinct()
-        ranked = _ranked(mixed)
+        if keys is None:
+            crossing, keys = _crossing(buckets, named)
+        else:
+            crossing = None
+        ranked = _ranked(keys.join(named, "rep").select("h", "component").distinct())
         centres = ranked.filter((F.col("r") > done) & (F.col("r") <= done + CENTRES)).select("h", F.col("component").alias("ca"), F.col("r").alias("ra"))
-        crossing = written(centres.join(ranked.select("h", F.col("component").alias("cb"), F.col("r").alias("rb")), "h").filter("ra < rb").select("ca", "cb").distinct(), "crossing")
+        rest = centres.join(ranked.select("h", F.col("component").alias("cb"), F.col("r").alias("rb")), "h").filter("ra < rb").select("ca", "cb")
+        crossing = written((rest if crossing is None else crossing.unionAll(rest)).distinct(), "crossing")
         if not crossing.take(1):
             break
-        more = written(_compare_components(crossing, named, sets, sketches, percent, most), "links")
-        more_left = ranked.filter(F.col("r") > done + CENTRES).take(1)
-        links = written(links.unionAll(more), "links")
-        if not more_left:
-            components = written(connected_components(links), "components")
-            break
+        close = written(_close_components(crossing, named, links, sets, percent), "close")
+        near = written(_near_components(close, named, sketches, most).distinct(), "near")
+        links = written(links.unionAll(_confirm(near, sets, percent)), "links")
+        components = written(connected_components(links), "components")
         done += CENTRES
     of_rep = reps.select("set_key", "rep").join(components.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     found = signed.select("doc_id", "n_shingles", "set_key").dropDuplicates(["doc_id"]).join(of_rep, "set_key").select("doc_id", "n_shingles", "component")
@@ -192,25 +194,87 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     return out.select("doc_id", F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
 
+def _crossing(buckets: DataFrame, named: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ca, cb): all pairs of components that share a bucket of at most CENTRES components; and narrower
+    keys (h, rep) for the members of fuller buckets.
+
+    A fuller bucket holds unlike documents that share a common passage.  Similar documents share about a
+    third of all bands, so they meet in other buckets as well; for those that meet in full ones only,
+    each member's full buckets are taken two by two, in order, and what is full then two by two again.
+    What is full even so goes on in rounds of CENTRES components.
+    """
+    rows = written(buckets.join(named, "rep").select("h", "rep", "component"), "mixed")
+    pairs = None
+    for _ in range(3):
+        each = rows.select("h", "component").distinct()
+        sizes = each.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1")
+        few = each.join(sizes.filter(F.col("k") <= CENTRES).select("h"), "h")
+        found = few.withColumnRenamed("component", "ca").join(few.withColumnRenamed("component", "cb"), "h").filter("ca < cb").select("ca", "cb").distinct()
+        pairs = found if pairs is None else pairs.unionAll(found)
+        full = rows.join(sizes.filter(F.col("k") > CENTRES).select("h"), "h").select("rep", "component", "h")
+        own = Window.partitionBy("rep").orderBy("h")  # at most one row for each band
+        after = F.coalesce(F.lead("h").over(own), F.first("h").over(own))
+        rows = written(full.withColumn("after", after).filter("h <> after").select(F.xxhash64("h", "after").alias("h"), "rep", "component"), "mixed")
+    return pairs.distinct(), rows.select("h", "rep")
+
+
 def _ranked(mixed: DataFrame) -> DataFrame:
-    """Buckets with several components, their components numbered from 1."""
+    """Keys with several components, their components numbered from 1."""
     many = mixed.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
     return mixed.join(many, "h").withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy("component")))
 
 
-def _compare_components(crossing: DataFrame, named: DataFrame, sets: DataFrame, sketches: DataFrame, percent: int, most: int) -> DataFrame:
-    """Links between the members of the component pairs (ca, cb), found in blocks of BLOCK x BLOCK members."""
+def _close_components(crossing: DataFrame, named: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The component pairs that can have a link, judged by their roots' full sets.
+
+    One less the Jaccard similarity is a metric.  With links of distance at most t, members that link
+    directly with their root lie within t of it, so two such components have a link only if their roots
+    lie within t, plus t for each that isn't a single document.  A component with other members
+    is always kept.
+    """
+    direct = links.select(F.col("a").alias("component"), F.col("b").alias("rep")).distinct().join(named, ["component", "rep"]).groupBy("component").agg((F.count("*") + 1).alias("direct"))
+    shape = named.groupBy("component").agg(F.count("*").alias("n")).join(direct, "component", "left")
+    far = F.when(F.col("n") == 1, 0).when(F.col("n") == F.col("direct"), 100 - percent).otherwise(100)
+    shape = shape.select("component", far.alias("far"))
+    pairs = crossing
+    for c in ("ca", "cb"):
+        pairs = pairs.join(shape.select(F.col("component").alias(c), F.col("far").alias(f"f{c}")), c)
+    pairs = pairs.select("ca", "cb", (F.lit(percent) - F.col("fca") - F.col("fcb")).cast("int").alias("need"))
+    far_apart = pairs.filter("need > 0")
+    for c in ("ca", "cb"):
+        far_apart = far_apart.join(sets.select(F.col("id").alias(c), F.col("shingles").alias(f"s{c}")), c)
+
+    def run(batches):
+        for batch in batches:
+            rows = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)
+            ok = [_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), need) for need, x, y in rows]
+            yield batch.select(["ca", "cb"]).filter(pa.array(ok, pa.bool_()))
+
+    kept = far_apart.select("ca", "cb", "need", "sca", "scb").mapInArrow(run, "ca long, cb long")
+    return kept.unionAll(pairs.filter("need <= 0").select("ca", "cb"))
+
+
+def _near_components(crossing: DataFrame, named: DataFrame, sketches: DataFrame, most: int) -> DataFrame:
+    """(a, b): pairs of members of the component pairs (ca, cb) with near sketches.
+
+    Only sketches are moved.  Pairs of small components are joined; larger ones meet in blocks of
+    BLOCK x BLOCK members.
+    """
     sizes = named.groupBy("component").agg(F.count("*").alias("n"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    member = named.join(sizes, "component").join(sets.withColumnRenamed("id", "rep"), "rep").join(sketches, "rep")
-    member = member.select("component", F.col("rep").alias("id"), "sketch", "shingles", F.expr("cast(pmod(xxhash64(rep), blocks) as int)").alias("block"))
-    a, b = (sizes.select(F.col("component").alias(c), F.col("blocks").alias(f"n{c}")) for c in ("ca", "cb"))
-    wanted = crossing.join(a, "ca").join(b, "cb")
+    member = named.join(sizes, "component").join(sketches, "rep")
+    member = member.select("component", F.col("rep").alias("id"), "sketch", F.expr("cast(pmod(xxhash64(rep), blocks) as int)").alias("block"))
+    a, b = (sizes.select(F.col("component").alias(c), F.col("blocks").alias(f"n{c}"), F.col("n").alias(f"m{c}")) for c in ("ca", "cb"))
+    wanted = written(crossing.join(a, "ca").join(b, "cb"), "wanted")
+    small = F.col("mca") * F.col("mcb") <= SMALL
+    side = lambda c, x: member.select(F.col("component").alias(c), F.col("id").alias(x), F.col("sketch").alias(f"s{x}"))
+    joined = wanted.filter(small).join(side("ca", "a"), "ca").join(side("cb", "b"), "cb").filter(_bits() <= most).select("a", "b")
+    wanted = wanted.filter(~small)
     left = wanted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("ncb") - 1))).join(member.withColumnRenamed("component", "ca"), "ca")
     right = wanted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nca") - 1))).join(member.withColumnRenamed("component", "cb"), "cb")
-    left = left.select("ca", "cb", F.col("block").alias("ba"), F.col("other").alias("bb"), "id", "sketch", "shingles", F.lit(False).alias("right"))
-    right = right.select("ca", "cb", F.col("other").alias("ba"), F.col("block").alias("bb"), "id", "sketch", "shingles", F.lit(True).alias("right"))
+    left = left.select("ca", "cb", F.col("block").alias("ba"), F.col("other").alias("bb"), "id", "sketch", F.lit(False).alias("right"))
+    right = right.select("ca", "cb", F.col("other").alias("ba"), F.col("block").alias("bb"), "id", "sketch", F.lit(True).alias("right"))
 
     def across(group: pd.DataFrame) -> pd.DataFrame:
-        return _across(group, percent, most)
+        return _across(group, most)
 
-    return left.unionAll(right).groupBy("ca", "cb", "ba", "bb").applyInPandas(across, "a long, b long")
+    return joined.unionAll(left.unionAll(right).groupBy("ca", "cb", "ba", "bb").applyInPandas(across, "a long, b long"))
