@@ -161,7 +161,7 @@ def classify(found: list[Block]) -> None:
     more is main text if it lies in the article or enough of its words are stop words, and not otherwise.
     The rest, the short blocks, are undecided.  Second pass: these take the label of the nearest decided
     block before or after; if both are as near and differ, a heading goes with what follows, any other
-    block with the article if it lies in one.
+    block with what precedes.  An undecided block inside the article has nothing against it and stays.
     """
     marked = any(b.article and not b.outside for b in found)
     for b in found:
@@ -188,7 +188,7 @@ def classify(found: list[Block]) -> None:
     for i, b in enumerate(found):
         if b.label is not None:
             continue
-        if b.article:  # what is undecided inside the article has no links and no mark against it
+        if b.article:
             b.label = True
             continue
         p, q = before[i], after[i]
@@ -201,7 +201,7 @@ def classify(found: list[Block]) -> None:
         elif b.heading:
             b.label = labels[q]
         else:
-            b.label = labels[p] if i - p < q - i else labels[q] if q - i < i - p else False
+            b.label = labels[q] if q - i < i - p else labels[p]
 
 
 def main_text(page: str | None) -> str:

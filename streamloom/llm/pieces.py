@@ -10,7 +10,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 MARK = "▁"
 #: Words whose ids a worker keeps.
@@ -244,7 +244,7 @@ def encode_pieces(docs: DataFrame, path: str) -> DataFrame:
     """
     docs = docs.drop("piece_ids")
     at = docs.columns.index("text")
-    schema = docs.schema.add("piece_ids", "array<int>")
+    schema = T.StructType([*docs.schema.fields, T.StructField("piece_ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches):
         coder = Coder(path)
@@ -263,7 +263,7 @@ def decode_pieces(rows: DataFrame, path: str) -> DataFrame:
     """rows with piece_text, what piece_ids stand for (null where they are null), added."""
     rows = rows.drop("piece_text")
     at = rows.columns.index("piece_ids")
-    schema = rows.schema.add("piece_text", "string")
+    schema = T.StructType([*rows.schema.fields, T.StructField("piece_text", T.StringType())])
 
     def run(batches):
         model = _model(path)
