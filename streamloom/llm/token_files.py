@@ -21,13 +21,18 @@ from .common import written
 
 BLOCK = 1 << 18
 ROUNDS, LEAST = 5, 6
+SLOTS = 1 << 18
 END_ID = 2
-#: Words whose ids a worker keeps.
-CACHE = 400_000
+#: Words whose ids a worker keeps, twice: those met since the last turn, and those before.
+CACHE = 200_000
 
 FORMAT = "shard int, block int, first_doc long, doc_ids binary, ends binary, n_ids long, base int, rules binary, lengths binary, wide boolean, symbols binary"
 
 
+def _slot(pairs: np.ndarray) -> np.ndarray:
+    return (pairs * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(46)).astype(np.int64)
+
+
 def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
     """Rules (n x 2) and the sequence left, by Re-Pair in rounds.
 
@@ -47,16 +52,22 @@ def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, least: int = LEAS
         if len(often) > limit:
             often = np.sort(often[np.argsort(-counts[often], kind="stable")[:limit]])
         kinds = kinds[often]
-        at = np.minimum(np.searchsorted(kinds, pairs), len(kinds) - 1)
+        table = np.zeros(SLOTS, np.int32)
+        table[_slot(kinds)] = np.arange(len(kinds))  # of kinds in one slot the last counts; the others wait
+        at = table[_slot(pairs)]
         hit = kinds[at] == pairs
         index = np.arange(len(hit))
         last_miss = np.maximum.accumulate(np.where(hit, -1, index))
         take = hit & ((index - last_miss) % 2 == 1)  # every other one of a run of overlapping pairs
-        used, symbol = np.unique(at[take], return_inverse=True)
+        at = at[take]
+        used = np.flatnonzero(np.bincount(at, minlength=len(kinds)))
+        number = np.zeros(len(kinds), np.uint64)
+        number[used] = np.arange(len(used), dtype=np.uint64)
+        symbol = number[at]
         first = base + sum(map(len, rules))
         rules.append(np.stack([kinds[used] >> np.uint64(32), kinds[used] & np.uint64(0xFFFFFFFF)], axis=1))
         room -= len(used)
-        now[:-1][take] = first + symbol
+        now[:-1][take] = np.uint64(first) + symbol
         keep = np.ones(len(now), bool)
         keep[1:][take] = False
         now = now[keep]
@@ -131,7 +142,8 @@ class Encoder:
 
     A byte-level tokenizer of this kind never joins a single space that stands between visible characters to
     what is before it, so a text without neighbouring white space is the sum of its space-separated words,
-    whose ids are kept; any other text is encoded whole.
+    whose ids are kept; any other text is encoded whole.  Of the known words, those not met again are forgotten
+    first.
     """
 
     def __init__(self, path: str):
@@ -140,25 +152,35 @@ class Encoder:
         self.letters = _byte_letters()
         self.space = self.letters[32]
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    @staticmethod
+    @lru_cache(1)
+    def of(path: str) -> Encoder:
+        """This process's encoder: a Python worker keeps its words from task to task."""
+        return Encoder(path)
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
-        """The ids of a space and word."""
+        """The ids of a space and word, which isn't in known."""
+        out = self.before.get(word) or self._spelled(word)
+        if len(self.known) >= CACHE:
+            self.before = self.known.copy()
+            self.known.clear()
+        self.known[word] = out
+        return out
+
+    def _spelled(self, word: str) -> bytes:
         stem, tail = (word, "") if word.isalpha() else (word[:-1], word[-1:])
         if stem.isalpha() and tail in ("", ".", ","):
             spelled = stem if stem.isascii() else "".join(map(self.letters.__getitem__, stem.encode()))
             ids = [t.id for t in self.model.tokenize(self.space + spelled)]
             if tail:
                 ids += [t.id for t in self.model.tokenize(tail)]
-            out = np.asarray(ids, "<u4").tobytes()
-        else:
-            out = self._whole(" " + word)
-        if len(self.known) >= CACHE:
-            self.known.clear()
-        self.known[word] = out
-        return out
+            return np.asarray(ids, "<u4").tobytes()
+        return self._whole(" " + word)
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
@@ -191,7 +213,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = END_ID, partitions: i
     dealt = rows.repartitionByRange(partitions, "doc_id") if partitions else rows.repartitionByRange("doc_id")
 
     def run(batches):
-        encode, end = Encoder(path), np.asarray([end_id], "<u4").tobytes()
+        encode, end = Encoder.of(path), np.asarray([end_id], "<u4").tobytes()
         base = encode.tokenizer.get_vocab_size()
         shard, block = TaskContext.get().partitionId(), 0
         ids, blobs, size = [], [], 0
