@@ -9,9 +9,10 @@ Steps, each linear in its input:
 
 1. sign: sets, bands and sketches, in one pass.  Documents with equal sets collapse to the smallest id.
 2. Each band bucket's smallest member is its star centre.  Pairs (centre, member) are estimated, then
-   confirmed on full sets; links give components.
+   confirmed on full sets; links give components.  Every member first meets the centre with which it shares
+   most bands, then its other centres that are still in other components.
 3. Components that still share a bucket: their members' sketches are compared in blocks of bounded size,
-   and what is near is confirmed.  So links are not lost where the centre is unlike both ends.
+   and what is near is confirmed there, until a block has a link.  So links are not lost where the centre is unlike both ends.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from .common import WordHasher, arrow_text, distinct_by, mix, shingles, slices,
 from .components import connected_components
 
 SAMPLES, ROWS, BITS = 160, 5, 512
-BLOCK = 512  # members of a component in one block of step 3
+BLOCK = 256  # members of a component in one block of step 3
 SMALL = 64  # pairs of members up to which two components are joined
 CENTRES = 16  # components of a bucket that are compared with one another, or of a key in one round
 
@@ -128,17 +129,18 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _across(group: pd.DataFrame, most: int) -> pd.DataFrame:
-    """The pairs of one block's two sides whose sketches are near."""
+def _across(group: pd.DataFrame, most: int, percent: int) -> pd.DataFrame:
+    """One link between one block's two sides, if there is any: pairs with near sketches are confirmed, nearest first."""
     a, b = group[~group.right], group[group.right]
-    out_a, out_b = [], []
     if len(a) and len(b):
-        bits, ids = np.stack(b.sketch.to_list()).view(np.uint64), b.id.to_numpy()
-        for i, sketch in zip(a.id, a.sketch, strict=True):
-            near = ids[np.bitwise_count(bits ^ np.asarray(sketch).view(np.uint64)).sum(axis=1) <= most]
-            out_a += [i] * len(near)
-            out_b += near.tolist()
-    return pd.DataFrame({"a": np.asarray(out_a, np.int64), "b": np.asarray(out_b, np.int64)})
+        x, y = (np.stack(side.sketch.to_list()).view(np.uint64) for side in (a, b))
+        apart = np.stack([np.bitwise_count(y ^ row).sum(axis=1, dtype=np.int64) for row in x])
+        i, j = np.nonzero(apart <= most)
+        sets = [[np.frombuffer(v, np.uint64) for v in side.shingles] for side in (a, b)]
+        for k in np.argsort(apart[i, j], kind="stable"):
+            if _linked(sets[0][i[k]], sets[1][j[k]], percent):
+                return pd.DataFrame({"a": [a.id.iloc[i[k]]], "b": [b.id.iloc[j[k]]]})
+    return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -160,14 +162,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     rows = reps.select("rep", F.posexplode("bands").alias("band", "h")).select("rep", F.xxhash64("band", "h").alias("h"))
     stars = rows.groupBy("h").agg(F.min("rep").alias("centre"), F.count("*").alias("n")).filter("n > 1").select("h", "centre")
     buckets = written(rows.join(stars, "h"), "buckets")
-    pairs = buckets.filter("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
+    pairs = buckets.filter("rep <> centre").groupBy(F.col("centre").alias("a"), F.col("rep").alias("b")).agg(F.count("*").alias("n"))
+    first = pairs.groupBy("b").agg(F.max_by("a", F.struct(F.col("n"), -F.col("a"))).alias("a"))
     sketches = reps.select("rep", "sketch")
-    side = lambda name: sketches.select(F.col("rep").alias(name), F.col("sketch").alias(f"s{name}"))
-    near = written(pairs.join(side("b"), "b").join(side("a"), "a").filter(_bits() <= most).select("a", "b"), "near")
+    near = written(_near_pairs(first, sketches, most), "near")
     members = buckets.select("rep").distinct()
     sets = written(shingle_sets(docs.join(members.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi"), words), "shingles").dropDuplicates(["id"])
     links = written(_confirm(near, sets, percent), "links")
     components = written(connected_components(links), "components")
+    near = written(_near_pairs(_apart(buckets, components), sketches, most), "near")
+    links = written(links.unionAll(_confirm(near, sets, percent)), "links")
+    components = written(connected_components(links), "components")
     done, keys = 0, None
     while True:
         named = members.join(components.withColumnRenamed("id", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"))
@@ -183,8 +188,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         if not crossing.take(1):
             break
         close = written(_close_components(crossing, named, links, sets, percent), "close")
-        near = written(_near_components(close, named, sketches, most).distinct(), "near")
-        links = written(links.unionAll(_confirm(near, sets, percent)), "links")
+        small, large = _near_components(close, named, sketches, sets, most, percent)
+        links = written(links.unionAll(_confirm(written(small.distinct(), "near"), sets, percent)).unionAll(large), "links")
         components = written(connected_components(links), "components")
         done += CENTRES
     of_rep = reps.select("set_key", "rep").join(components.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
@@ -194,6 +199,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     return out.select("doc_id", F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
 
+def _near_pairs(pairs: DataFrame, sketches: DataFrame, most: int) -> DataFrame:
+    """The pairs (a, b) whose sketches differ in at most that many bits."""
+    side = lambda name: sketches.select(F.col("rep").alias(name), F.col("sketch").alias(f"s{name}"))
+    return pairs.join(side("b"), "b").join(side("a"), "a").filter(_bits() <= most).select("a", "b")
+
+
+def _apart(buckets: DataFrame, components: DataFrame) -> DataFrame:
+    """The pairs (a, b) of a bucket's centre and a member that aren't in one component yet."""
+    own = components.withColumnRenamed("id", "rep")
+    rows = buckets.join(own, "rep", "left").select("h", "rep", "centre", F.coalesce("component", "rep").alias("component"))
+    rows = written(rows, "placed")
+    heads = rows.filter("rep = centre").select("h", F.col("component").alias("head"))
+    return rows.join(heads, "h").filter("component <> head").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
+
+
 def _crossing(buckets: DataFrame, named: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(ca, cb): all pairs of components that share a bucket of at most CENTRES components; and narrower
     keys (h, rep) for the members of fuller buckets.
@@ -254,11 +274,13 @@ def _close_components(crossing: DataFrame, named: DataFrame, links: DataFrame, s
     return kept.unionAll(pairs.filter("need <= 0").select("ca", "cb"))
 
 
-def _near_components(crossing: DataFrame, named: DataFrame, sketches: DataFrame, most: int) -> DataFrame:
-    """(a, b): pairs of members of the component pairs (ca, cb) with near sketches.
+def _near_components(crossing: DataFrame, named: DataFrame, sketches: DataFrame, sets: DataFrame, most: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b) of the component pairs (ca, cb): members of small components with near sketches, yet to be
+    confirmed; and links between larger ones.
 
-    Only sketches are moved.  Pairs of small components are joined; larger ones meet in blocks of
-    BLOCK x BLOCK members.
+    Pairs of small components are joined, sketches only.  Larger ones meet in blocks of BLOCK x BLOCK
+    members with their sets; a block gives one link at most, which is all that components need, so the
+    rows made don't grow with the square of a component.
     """
     sizes = named.groupBy("component").agg(F.count("*").alias("n"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     member = named.join(sizes, "component").join(sketches, "rep")
@@ -271,10 +293,11 @@ def _near_components(crossing: DataFrame, named: DataFrame, sketches: DataFrame,
     wanted = wanted.filter(~small)
     left = wanted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("ncb") - 1))).join(member.withColumnRenamed("component", "ca"), "ca")
     right = wanted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nca") - 1))).join(member.withColumnRenamed("component", "cb"), "cb")
-    left = left.select("ca", "cb", F.col("block").alias("ba"), F.col("other").alias("bb"), "id", "sketch", F.lit(False).alias("right"))
-    right = right.select("ca", "cb", F.col("other").alias("ba"), F.col("block").alias("bb"), "id", "sketch", F.lit(True).alias("right"))
+    whole = sets.select("id", "shingles")
+    left = left.join(whole, "id").select("ca", "cb", F.col("block").alias("ba"), F.col("other").alias("bb"), "id", "sketch", "shingles", F.lit(False).alias("right"))
+    right = right.join(whole, "id").select("ca", "cb", F.col("other").alias("ba"), F.col("block").alias("bb"), "id", "sketch", "shingles", F.lit(True).alias("right"))
 
     def across(group: pd.DataFrame) -> pd.DataFrame:
-        return _across(group, most)
+        return _across(group, most, percent)
 
-    return joined.unionAll(left.unionAll(right).groupBy("ca", "cb", "ba", "bb").applyInPandas(across, "a long, b long"))
+    return joined, left.unionAll(right).groupBy("ca", "cb", "ba", "bb").applyInPandas(across, "a long, b long")
