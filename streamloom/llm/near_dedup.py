@@ -130,17 +130,22 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _across(group: pd.DataFrame, most: int, percent: int) -> pd.DataFrame:
-    """One link between one block's two sides, if there is any: pairs with near sketches are confirmed, nearest first."""
+    """A link of one block's left side with each component on its right, if there is any: pairs with near
+    sketches are confirmed, nearest first."""
     a, b = group[~group.right], group[group.right]
+    out_a, out_b, done = [], [], set()
     if len(a) and len(b):
         x, y = (np.stack(side.sketch.to_list()).view(np.uint64) for side in (a, b))
         apart = np.stack([np.bitwise_count(y ^ row).sum(axis=1, dtype=np.int64) for row in x])
         i, j = np.nonzero(apart <= most)
         sets = [[np.frombuffer(v, np.uint64) for v in side.shingles] for side in (a, b)]
+        of = b.component.tolist()
         for k in np.argsort(apart[i, j], kind="stable"):
-            if _linked(sets[0][i[k]], sets[1][j[k]], percent):
-                return pd.DataFrame({"a": [a.id.iloc[i[k]]], "b": [b.id.iloc[j[k]]]})
-    return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
+            if of[j[k]] not in done and _linked(sets[0][i[k]], sets[1][j[k]], percent):
+                done.add(of[j[k]])
+                out_a.append(a.id.iloc[i[k]])
+                out_b.append(b.id.iloc[j[k]])
+    return pd.DataFrame({"a": np.asarray(out_a, np.int64), "b": np.asarray(out_b, np.int64)})
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -278,9 +283,10 @@ def _near_components(crossing: DataFrame, named: DataFrame, sketches: DataFrame,
     """(a, b) of the component pairs (ca, cb): members of small components with near sketches, yet to be
     confirmed; and links between larger ones.
 
-    Pairs of small components are joined, sketches only.  Larger ones meet in blocks of BLOCK x BLOCK
-    members with their sets; a block gives one link at most, which is all that components need, so the
-    rows made don't grow with the square of a component.
+    Pairs of small components are joined, sketches only.  Otherwise the larger component meets the members
+    of all its partners, with their sets, in blocks of about BLOCK x BLOCK; a block gives one link at most
+    for each partner, which is all that components need.  So neither links nor members are repeated for
+    each pair.
     """
     sizes = named.groupBy("component").agg(F.count("*").alias("n"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     member = named.join(sizes, "component").join(sketches, "rep")
@@ -290,14 +296,16 @@ def _near_components(crossing: DataFrame, named: DataFrame, sketches: DataFrame,
     small = F.col("mca") * F.col("mcb") <= SMALL
     side = lambda c, x: member.select(F.col("component").alias(c), F.col("id").alias(x), F.col("sketch").alias(f"s{x}"))
     joined = wanted.filter(small).join(side("ca", "a"), "ca").join(side("cb", "b"), "cb").filter(_bits() <= most).select("a", "b")
-    wanted = wanted.filter(~small)
-    left = wanted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("ncb") - 1))).join(member.withColumnRenamed("component", "ca"), "ca")
-    right = wanted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nca") - 1))).join(member.withColumnRenamed("component", "cb"), "cb")
-    whole = sets.select("id", "shingles")
-    left = left.join(whole, "id").select("ca", "cb", F.col("block").alias("ba"), F.col("other").alias("bb"), "id", "sketch", "shingles", F.lit(False).alias("right"))
-    right = right.join(whole, "id").select("ca", "cb", F.col("other").alias("ba"), F.col("block").alias("bb"), "id", "sketch", "shingles", F.lit(True).alias("right"))
+    more = F.col("mca") >= F.col("mcb")
+    wanted = wanted.filter(~small).select(F.when(more, F.col("ca")).otherwise(F.col("cb")).alias("big"), F.when(more, F.col("cb")).otherwise(F.col("ca")).alias("component"), F.when(more, F.col("nca")).otherwise(F.col("ncb")).alias("rows"), F.least("mca", "mcb").alias("m"))
+    columns = wanted.groupBy("big").agg(F.ceil(F.sum("m") / BLOCK).cast("int").alias("columns"))
+    whole = member.select("component", "id", "sketch", "block").join(sets.select("id", "shingles"), "id")
+    left = whole.withColumnRenamed("component", "big").join(columns, "big").withColumn("column", F.explode(F.sequence(F.lit(0), F.col("columns") - 1)))
+    left = left.select("big", F.col("block").alias("row"), "column", F.col("big").alias("component"), "id", "sketch", "shingles", F.lit(False).alias("right"))
+    right = wanted.join(columns, "big").join(whole.drop("block"), "component").withColumn("row", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)))
+    right = right.select("big", "row", F.expr("cast(pmod(xxhash64(id), columns) as int)").alias("column"), "component", "id", "sketch", "shingles", F.lit(True).alias("right"))
 
     def across(group: pd.DataFrame) -> pd.DataFrame:
         return _across(group, most, percent)
 
-    return joined, left.unionAll(right).groupBy("ca", "cb", "ba", "bb").applyInPandas(across, "a long, b long")
+    return joined, left.unionAll(right).groupBy("big", "row", "column").applyInPandas(across, "a long, b long")
