@@ -10,7 +10,7 @@ from .common import forget, written
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -20,23 +20,24 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionAll(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _unsettled(edges: DataFrame) -> DataFrame:
+    """Nodes by which edges (u, v) aren't disjoint stars yet: those with several v, or with a v and a u."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or up = 1 and down = 1")
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(id, component) for every node that has an edge; component is the smallest id of the node's component.
+    """(id, component) for every node that has an edge but isn't the smallest of its component itself;
+    component is the smallest id of the node's component.
 
     Minima come from partial aggregates and the joins are ordinary equi-joins, so a node with very many
     edges is split by adaptive skew handling.  Each round is written to the shared folder; nothing but a
-    count and a checksum reaches the driver.  Empty input gives an empty result; null ends are ignored.
+    node reaches the driver.  Empty input gives an empty result; null ends are ignored.
     """
-    now = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).filter("u <> v").distinct()
+    now = edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).filter(f"{a} <> {b}").distinct()
     now = written(now, "cc")
-    seen = None
-    while True:
+    while _unsettled(now).take(1):
         new = written(_small_star(_large_star(now)), "cc")
-        mark = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
         forget(now)
         now = new
-        if mark == seen:
-            break
-        seen = mark
-    ids = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    return ids.unionAll(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    return now.select(F.col("u").alias("id"), F.col("v").alias("component"))

@@ -9,8 +9,7 @@ Steps, each linear in its input:
 
 1. sign: sets, bands and sketches, in one pass.  Documents with equal sets collapse to the smallest id.
 2. Each band bucket's smallest member is its star centre.  Pairs (centre, member) are estimated, then
-   confirmed on full sets; links give components.  Every member first meets the centre with which it shares
-   most bands, then its other centres that are still in other components.
+   confirmed on full sets; links give components.  Every member meets the centre with which it shares most bands.
 3. Components that still share a bucket: their members' sketches are compared in blocks of bounded size,
    and what is near is confirmed there, until a block has a link.  So links are not lost where the centre is unlike both ends.
 """
@@ -48,6 +47,8 @@ def _sets(data: np.ndarray, offsets: np.ndarray, words: int, hasher: WordHasher)
 def sign_sets(values: np.ndarray, bounds: np.ndarray, factors: np.ndarray):
     """Set keys (n x 2), bands and odd sketches (n x 8) of the non-empty sets of values."""
     starts, n = bounds[:-1], len(bounds) - 1
+    if not n:
+        return np.empty((0, 2), np.uint64), np.empty((0, SAMPLES // ROWS), np.int64), np.empty((0, BITS // 64), np.int64)
     keys = np.stack([np.add.reduceat(values, starts), np.add.reduceat(mix(values ^ np.uint64(0x5851F42D4C957F2D)), starts)], axis=1)
     bands = np.zeros((n, SAMPLES // ROWS), np.uint64)
     parity, at = np.zeros((n, BITS), np.uint8), np.arange(n)
@@ -60,7 +61,7 @@ def sign_sets(values: np.ndarray, bounds: np.ndarray, factors: np.ndarray):
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """One row of SIGNED for each document with at least one word."""
+    """One row of SIGNED for each document; without words its key, bands and sketch are null."""
     factors = _factors()
 
     def run(batches):
@@ -71,12 +72,11 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                 values, bounds = _sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words, hasher)
                 sizes = np.diff(bounds)
                 full = np.flatnonzero(sizes)
-                if not len(full):
-                    continue
                 keys, bands, sketch = sign_sets(values, np.append(bounds[:-1][full], bounds[-1]), factors)
                 two = lambda x: pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.int64()))
+                place = pa.array(np.cumsum(sizes > 0) - 1, mask=sizes == 0)  # null where there is no word
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a).take(pa.array(full)), pa.array(sizes[full]), pa.array([k.tobytes() for k in keys], pa.binary()), two(bands), two(sketch)],
+                    [batch.column(0).slice(a, b - a), pa.array(sizes), *(x.take(place) for x in (pa.array([k.tobytes() for k in keys], pa.binary()), two(bands), two(sketch)))],
                     ["doc_id", "n_shingles", "set_key", "bands", "sketch"],
                 )
 
@@ -154,8 +154,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     Returns doc_id, n_shingles (distinct shingles of words words), component_id (the smallest reachable
     doc_id) and kept (doc_id = component_id), a row for each row of docs.  Words are runs of anything
     but ASCII white space; A-Z count as a-z.  Texts with fewer than words words have one shingle, the
-    whole sequence.  Null, empty or blank texts have none and link with nothing.  Rows that repeat a
-    doc_id share the component of that id.  Other columns are ignored.
+    whole sequence.  Null, empty or blank texts have none and link with nothing.  Rows that repeat are
+    all returned alike; doc_id names a document.  Other columns are ignored.
 
     The bands miss a link of similarity 0.8 with probability (1 - 0.8**5)**32 = 3e-6, and only if no
     chain of other links joins the two documents.
@@ -163,7 +163,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     most = max_xor(percent / 100)
     docs = docs.select("doc_id", "text")
     signed = written(signatures(docs, words), "signed")
-    reps = written(signed.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "sets")
+    reps = written(signed.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "sets")
     rows = reps.select("rep", F.posexplode("bands").alias("band", "h")).select("rep", F.xxhash64("band", "h").alias("h"))
     stars = rows.groupBy("h").agg(F.min("rep").alias("centre"), F.count("*").alias("n")).filter("n > 1").select("h", "centre")
     buckets = written(rows.join(stars, "h"), "buckets")
@@ -174,34 +174,40 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     members = buckets.select("rep").distinct()
     sets = written(shingle_sets(docs.join(members.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi"), words), "shingles").dropDuplicates(["id"])
     links = written(_confirm(near, sets, percent), "links")
-    components = written(connected_components(links), "components")
-    near = written(_near_pairs(_apart(buckets, components), sketches, most), "near")
-    links = written(links.unionAll(_confirm(near, sets, percent)), "links")
-    components = written(connected_components(links), "components")
-    done, keys = 0, None
+    components = connected_components(links)
+    named = written(_named(members, components), "named")
+    crossing, keys = _crossing(buckets, named)
+    ranked = written(_ranked(keys.join(named, "rep").select("h", "component").distinct()), "ranked")
+    done = 0
     while True:
-        named = members.join(components.withColumnRenamed("id", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"))
-        named = written(named, "named")
-        if keys is None:
-            crossing, keys = _crossing(buckets, named)
-        else:
-            crossing = None
-        ranked = _ranked(keys.join(named, "rep").select("h", "component").distinct())
         centres = ranked.filter((F.col("r") > done) & (F.col("r") <= done + CENTRES)).select("h", F.col("component").alias("ca"), F.col("r").alias("ra"))
         rest = centres.join(ranked.select("h", F.col("component").alias("cb"), F.col("r").alias("rb")), "h").filter("ra < rb").select("ca", "cb")
-        crossing = written((rest if crossing is None else crossing.unionAll(rest)).distinct(), "crossing")
-        if not crossing.take(1):
-            break
+        crossing = written((_renamed(rest, components) if done else crossing.unionAll(rest)).distinct(), "crossing")
         close = written(_close_components(crossing, named, links, sets, percent), "close")
         small, large = _near_components(close, named, sketches, sets, most, percent)
-        links = written(links.unionAll(_confirm(written(small.distinct(), "near"), sets, percent)).unionAll(large), "links")
-        components = written(connected_components(links), "components")
+        new = written(_confirm(written(small.distinct(), "near"), sets, percent).unionAll(large), "links")
+        links = links.unionAll(new)
+        components = connected_components(components.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(new))
         done += CENTRES
-    of_rep = reps.select("set_key", "rep").join(components.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
-    found = signed.select("doc_id", "n_shingles", "set_key").dropDuplicates(["doc_id"]).join(of_rep, "set_key").select("doc_id", "n_shingles", "component")
-    out = docs.select(F.col("doc_id").cast("long")).join(found, "doc_id", "left")
+        if not ranked.filter(F.col("r") > done + 1).take(1):
+            break
+        named = written(_named(members, components), "named")
+    of_rep = _named(reps.select("set_key", "rep"), components).select("set_key", "component")
+    out = signed.select("doc_id", "n_shingles", "set_key").join(of_rep, "set_key", "left")
     component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+
+
+def _named(rows: DataFrame, components: DataFrame) -> DataFrame:
+    """rows with the component of their rep; rep itself if it has no links or is its component's smallest."""
+    return rows.join(components.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+
+
+def _renamed(pairs: DataFrame, components: DataFrame) -> DataFrame:
+    """Pairs (ca, cb) of earlier components as the pairs of what these belong to now."""
+    for c in ("ca", "cb"):
+        pairs = pairs.join(components.select(F.col("id").alias(c), "component"), c, "left").withColumn(c, F.coalesce("component", c)).drop("component")
+    return pairs.select(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")).filter("ca <> cb")
 
 
 def _near_pairs(pairs: DataFrame, sketches: DataFrame, most: int) -> DataFrame:
@@ -210,23 +216,14 @@ def _near_pairs(pairs: DataFrame, sketches: DataFrame, most: int) -> DataFrame:
     return pairs.join(side("b"), "b").join(side("a"), "a").filter(_bits() <= most).select("a", "b")
 
 
-def _apart(buckets: DataFrame, components: DataFrame) -> DataFrame:
-    """The pairs (a, b) of a bucket's centre and a member that aren't in one component yet."""
-    own = components.withColumnRenamed("id", "rep")
-    rows = buckets.join(own, "rep", "left").select("h", "rep", "centre", F.coalesce("component", "rep").alias("component"))
-    rows = written(rows, "placed")
-    heads = rows.filter("rep = centre").select("h", F.col("component").alias("head"))
-    return rows.join(heads, "h").filter("component <> head").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
-
-
 def _crossing(buckets: DataFrame, named: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(ca, cb): all pairs of components that share a bucket of at most CENTRES components; and narrower
-    keys (h, rep) for the members of fuller buckets.
+    """(ca, cb): all pairs of components that share a bucket of at most CENTRES components, with repeats; and
+    narrower keys (h, rep) for the members of fuller buckets.
 
     A fuller bucket holds unlike documents that share a common passage.  Similar documents share about a
     third of all bands, so they meet in other buckets as well; for those that meet in full ones only,
     each member's full buckets are taken two by two, in order, and what is full then two by two again.
-    What is full even so goes on in rounds of CENTRES components.
+    What is full even so goes on in rounds of CENTRES components, numbered once, before any of them merge.
     """
     rows = written(buckets.join(named, "rep").select("h", "rep", "component"), "mixed")
     pairs = None
@@ -234,13 +231,13 @@ def _crossing(buckets: DataFrame, named: DataFrame) -> tuple[DataFrame, DataFram
         each = rows.select("h", "component").distinct()
         sizes = each.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1")
         few = each.join(sizes.filter(F.col("k") <= CENTRES).select("h"), "h")
-        found = few.withColumnRenamed("component", "ca").join(few.withColumnRenamed("component", "cb"), "h").filter("ca < cb").select("ca", "cb").distinct()
+        found = few.withColumnRenamed("component", "ca").join(few.withColumnRenamed("component", "cb"), "h").filter("ca < cb").select("ca", "cb")
         pairs = found if pairs is None else pairs.unionAll(found)
         full = rows.join(sizes.filter(F.col("k") > CENTRES).select("h"), "h").select("rep", "component", "h")
         own = Window.partitionBy("rep").orderBy("h")  # at most one row for each band
         after = F.coalesce(F.lead("h").over(own), F.first("h").over(own))
         rows = written(full.withColumn("after", after).filter("h <> after").select(F.xxhash64("h", "after").alias("h"), "rep", "component"), "mixed")
-    return pairs.distinct(), rows.select("h", "rep")
+    return pairs, rows.select("h", "rep")
 
 
 def _ranked(mixed: DataFrame) -> DataFrame:
