@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 #: ASCII white space that separates words: space and \t \n \v \f \r.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 #: Bytes of text hashed at once by a Python worker; longer documents are taken alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
