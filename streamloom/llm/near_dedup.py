@@ -23,7 +23,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import WordHasher, arrow_text, distinct_by, mix, shingles, slices, written
+from .common import WordHasher, arrow_text, distinct_by, give_back, mix, shingles, slices, written
 from .components import connected_components
 
 SAMPLES, ROWS, BITS = 160, 5, 512
@@ -79,6 +79,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                     [batch.column(0).slice(a, b - a), pa.array(sizes), *(x.take(place) for x in (pa.array([k.tobytes() for k in keys], pa.binary()), two(bands), two(sketch)))],
                     ["doc_id", "n_shingles", "set_key", "bands", "sketch"],
                 )
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SIGNED)
 
@@ -94,6 +95,7 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
                 values, bounds = _sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words, hasher)
                 blobs = [values[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(blobs, pa.binary())], ["id", "shingles"])
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")).mapInArrow(run, "id long, shingles binary")
 

@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .common import give_back
+
 MARK = "▁"
 #: Words whose ids a worker keeps.
 CACHE = 900_000
@@ -224,6 +226,12 @@ class Coder:
             first = last
         return normal, out
 
+    def close(self) -> None:
+        """Forget the words and boundaries met: a task's own words repeat, another's gain next to nothing."""
+        self.known, self.old = {}, {}
+        self.model.joins.clear()
+        give_back()
+
     @staticmethod
     def units(text: str) -> list[str | tuple[str]]:
         """A text's units, the mark before each left out; one without a mark, at the start, is in a tuple."""
@@ -255,6 +263,7 @@ def encode_pieces(docs: DataFrame, path: str) -> DataFrame:
             values = np.concatenate(ids) if ids else np.empty(0, np.int32)
             offsets = pa.array(ends, mask=np.asarray([t is None for t in texts] + [False], bool)) if len(texts) else pa.array(ends)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(offsets, pa.array(values, pa.int32()))], [*batch.schema.names, "piece_ids"])
+        coder.close()
 
     return docs.mapInArrow(run, schema)
 
@@ -289,6 +298,7 @@ def piece_digests(docs: DataFrame, path: str) -> DataFrame:
                 [batch.column(0), pa.array(map(len, ids), pa.int64()), pa.array([zlib.crc32(i.tobytes()) for i in ids], pa.int64()), pa.array([zlib.crc32(d.encode()) for d in decoded], pa.int64()), pa.array(same, pa.bool_())],
                 ["doc_id", "n_pieces", "ids_crc32", "decoded_crc32", "round_trip"],
             )
+        coder.close()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, decoded_crc32 long, round_trip boolean")
