@@ -12,6 +12,8 @@ Steps, each linear in its input:
    confirmed on full sets; links give components.  Every member meets the centre with which it shares most bands.
 3. Components that still share a bucket: their members' sketches are compared in blocks of bounded size,
    and what is near is confirmed there, until a block has a link.  So links are not lost where the centre is unlike both ends.
+   Buckets of up to CENTRES components go by pairs of components; fuller ones by all pairs of their members'
+   sketches, which is quadratic in the bucket, and no bucket or member is left out.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .common import WordHasher, arrow_text, distinct_by, give_back, mix, shingles, slices, written
 from .components import connected_components
@@ -29,7 +31,7 @@ from .components import connected_components
 SAMPLES, ROWS, BITS = 160, 5, 512
 BLOCK = 256  # members of a component in one block of step 3
 SMALL = 64  # pairs of members up to which two components are joined
-CENTRES = 16  # components of a bucket that are compared with one another, or of a key in one round
+CENTRES = 16  # components of a bucket that are compared by pairs of components; fuller buckets go by all pairs of members
 
 SIGNED = "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch array<long>"
 
@@ -166,7 +168,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     docs = docs.select("doc_id", "text")
     signed = written(signatures(docs, words), "signed")
     reps = written(signed.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "sets")
-    rows = reps.select("rep", F.posexplode("bands").alias("band", "h")).select("rep", F.xxhash64("band", "h").alias("h"))
+    rows = reps.select("rep", F.posexplode("bands").alias("band", "h")).select("rep", "band", F.xxhash64("band", "h").alias("h"))
     stars = rows.groupBy("h").agg(F.min("rep").alias("centre"), F.count("*").alias("n")).filter("n > 1").select("h", "centre")
     buckets = written(rows.join(stars, "h"), "buckets")
     pairs = buckets.filter("rep <> centre").groupBy(F.col("centre").alias("a"), F.col("rep").alias("b")).agg(F.count("*").alias("n"))
@@ -178,22 +180,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     links = written(_confirm(near, sets, percent), "links")
     components = connected_components(links)
     named = written(_named(members, components), "named")
-    crossing, keys = _crossing(buckets, named)
-    ranked = written(_ranked(keys.join(named, "rep").select("h", "component").distinct()), "ranked")
-    done = 0
-    while True:
-        centres = ranked.filter((F.col("r") > done) & (F.col("r") <= done + CENTRES)).select("h", F.col("component").alias("ca"), F.col("r").alias("ra"))
-        rest = centres.join(ranked.select("h", F.col("component").alias("cb"), F.col("r").alias("rb")), "h").filter("ra < rb").select("ca", "cb")
-        crossing = written((_renamed(rest, components) if done else crossing.unionAll(rest)).distinct(), "crossing")
-        close = written(_close_components(crossing, named, links, sets, percent), "close")
-        small, large = _near_components(close, named, sketches, sets, most, percent)
-        new = written(_confirm(written(small.distinct(), "near"), sets, percent).unionAll(large), "links")
-        links = links.unionAll(new)
-        components = connected_components(components.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(new))
-        done += CENTRES
-        if not ranked.filter(F.col("r") > done + 1).take(1):
-            break
-        named = written(_named(members, components), "named")
+    crossing, full = _crossing(buckets, named)
+    close = written(_close_components(written(crossing, "crossing"), named, links, sets, percent), "close")
+    small, large = _near_components(close, named, sketches, sets, most, percent)
+    new = written(_confirm(written(small.distinct(), "near"), sets, percent).unionAll(large), "links")
+    stars = lambda c: c.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    if new.take(1):
+        components = connected_components(stars(components).unionAll(new))
+    if full.take(1):
+        new = written(_full_buckets(full, components, reps, sets, most, percent), "links")
+        components = connected_components(stars(components).unionAll(new))
     of_rep = _named(reps.select("set_key", "rep"), components).select("set_key", "component")
     out = signed.select("doc_id", "n_shingles", "set_key").join(of_rep, "set_key", "left")
     component = F.coalesce("component", "doc_id")
@@ -205,13 +201,6 @@ def _named(rows: DataFrame, components: DataFrame) -> DataFrame:
     return rows.join(components.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
 
 
-def _renamed(pairs: DataFrame, components: DataFrame) -> DataFrame:
-    """Pairs (ca, cb) of earlier components as the pairs of what these belong to now."""
-    for c in ("ca", "cb"):
-        pairs = pairs.join(components.select(F.col("id").alias(c), "component"), c, "left").withColumn(c, F.coalesce("component", c)).drop("component")
-    return pairs.select(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")).filter("ca <> cb")
-
-
 def _near_pairs(pairs: DataFrame, sketches: DataFrame, most: int) -> DataFrame:
     """The pairs (a, b) whose sketches differ in at most that many bits."""
     side = lambda name: sketches.select(F.col("rep").alias(name), F.col("sketch").alias(f"s{name}"))
@@ -219,33 +208,89 @@ def _near_pairs(pairs: DataFrame, sketches: DataFrame, most: int) -> DataFrame:
 
 
 def _crossing(buckets: DataFrame, named: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(ca, cb): all pairs of components that share a bucket of at most CENTRES components, with repeats; and
-    narrower keys (h, rep) for the members of fuller buckets.
-
-    A fuller bucket holds unlike documents that share a common passage.  Similar documents share about a
-    third of all bands, so they meet in other buckets as well; for those that meet in full ones only,
-    each member's full buckets are taken two by two, in order, and what is full then two by two again.
-    What is full even so goes on in rounds of CENTRES components, numbered once, before any of them merge.
+    """(ca, cb): the pairs of components that share a bucket of at most CENTRES components; and (h, band, rep)
+    of all fuller buckets, which hold unlike documents that share a common passage."""
+    rows = written(buckets.join(named, "rep").select("h", "band", "rep", "component"), "mixed")
+    each = rows.select("h", "component").distinct()
+    sizes = written(each.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1"), "sizes")
+    few = each.join(sizes.filter(F.col("k") <= CENTRES).select("h"), "h")
+    pairs = few.withColumnRenamed("component", "ca").join(few.withColumnRenamed("component", "cb"), "h").filter("ca < cb").select("ca", "cb")
+    full = rows.join(sizes.filter(F.col("k") > CENTRES).select("h"), "h").select("h", "band", "rep")
+    return pairs.distinct(), written(full, "full")
+
+
+def _full_buckets(full: DataFrame, components: DataFrame, reps: DataFrame, sets: DataFrame, most: int, percent: int) -> DataFrame:
+    """(a, b): links between the components of full buckets' members, from all pairs of members.
+
+    A bucket's members are dealt into blocks of about BLOCK, and each two blocks meet in a group of their own,
+    so a bucket of any size is spread.  Sketches meet first; only members with a near one in a group
+    go on to it with their sets.
     """
-    rows = written(buckets.join(named, "rep").select("h", "rep", "component"), "mixed")
-    pairs = None
-    for _ in range(3):
-        each = rows.select("h", "component").distinct()
-        sizes = each.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1")
-        few = each.join(sizes.filter(F.col("k") <= CENTRES).select("h"), "h")
-        found = few.withColumnRenamed("component", "ca").join(few.withColumnRenamed("component", "cb"), "h").filter("ca < cb").select("ca", "cb")
-        pairs = found if pairs is None else pairs.unionAll(found)
-        full = rows.join(sizes.filter(F.col("k") > CENTRES).select("h"), "h").select("rep", "component", "h")
-        own = Window.partitionBy("rep").orderBy("h")  # at most one row for each band
-        after = F.coalesce(F.lead("h").over(own), F.first("h").over(own))
-        rows = written(full.withColumn("after", after).filter("h <> after").select(F.xxhash64("h", "after").alias("h"), "rep", "component"), "mixed")
-    return pairs, rows.select("h", "rep")
-
-
-def _ranked(mixed: DataFrame) -> DataFrame:
-    """Keys with several components, their components numbered from 1."""
-    many = mixed.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    return mixed.join(many, "h").withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy("component")))
+    rows = _named(full, components).join(reps.select("rep", "sketch", "bands"), "rep")
+    blocks = full.groupBy("h").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = rows.join(blocks, "h").withColumn("own", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("h", F.least("own", "other").alias("row"), F.greatest("own", "other").alias("column"), "own", "band", F.col("rep").alias("id"), "component", "sketch", "bands")
+
+    def near(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        seen = np.zeros(len(table), bool)
+        for i, others in _near_members(table, key[1].as_py(), key[2].as_py(), most):
+            seen[i] = seen[others] = True
+        return table.filter(pa.array(seen))
+
+    def links(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        return _full_links(table, key[1].as_py(), key[2].as_py(), most, percent)
+
+    some = rows.groupBy("h", "row", "column").applyInArrow(near, rows.schema)
+    return some.join(sets.select("id", "shingles"), "id").groupBy("h", "row", "column").applyInArrow(links, "a long, b long").distinct()
+
+
+def _near_members(table: pa.Table, row: int, column: int, most: int):
+    """Each member of block row, by place in table, with the members of block column that have near sketches
+    and other components, nearest first; only pairs that share no earlier band, as those meet there."""
+    get = lambda name: table[name].combine_chunks()
+    own, component, band = get("own").to_numpy(), get("component").to_numpy(), get("band")[0].as_py()
+    sketch = get("sketch").flatten().to_numpy().view(np.uint64).reshape(-1, BITS // 64)
+    bands = get("bands").flatten().to_numpy().reshape(-1, SAMPLES // ROWS)[:, :band]
+    right = np.flatnonzero(own == column)
+    y, of = sketch[right], component[right]
+    for i in np.flatnonzero(own == row):
+        apart = np.bitwise_count(y ^ sketch[i]).sum(axis=1, dtype=np.int64)
+        ok = (apart <= most) & (of != component[i])
+        if row == column:
+            ok &= right > i
+        at = np.flatnonzero(ok)
+        at = at[~(bands[right[at]] == bands[i]).any(axis=1)]
+        if len(at):
+            yield i, right[at[np.argsort(apart[at], kind="stable")]]
+
+
+def _full_links(table: pa.Table, row: int, column: int, most: int, percent: int) -> pa.Table:
+    """Links among the near members of two blocks; pairs that other links of the group join already need none."""
+    sets = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
+    codes = np.split(np.unique(np.concatenate(sets), return_inverse=True)[1], np.cumsum([len(x) for x in sets])[:-1])
+    mark = np.zeros(1 + max(int(c.max()) for c in codes), bool)
+    ids, component = table["id"].to_pylist(), table["component"].to_pylist()
+    parent = {c: c for c in component}
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = c = parent[parent[c]]
+        return c
+
+    out_a, out_b = [], []
+    for i, others in _near_members(table, row, column, most):
+        mark[codes[i]] = True
+        for j in others.tolist():
+            p, q = root(component[i]), root(component[j])
+            if p != q:
+                both = int(np.count_nonzero(mark[codes[j]]))
+                if 100 * both >= percent * (len(codes[i]) + len(codes[j]) - both):
+                    parent[p] = q
+                    out_a.append(ids[i])
+                    out_b.append(ids[j])
+        mark[codes[i]] = False
+    return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
 
 def _close_components(crossing: DataFrame, named: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -62,6 +62,24 @@ def test_near_duplicates(spark, texts):
     assert near_dedup.near_duplicates(docs(spark, [])).collect() == []
 
 
+def test_near_duplicates_share_a_passage(spark):
+    rng = random.Random(6)
+    own = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    passage, texts = own(200), []
+    for _ in range(200):
+        middle = own(12)
+        texts += [" ".join(own(24) + middle + passage) for _ in range(2)]
+    sets = [{tuple(w[i : i + 4]) for i in range(len(w) - 3)} for w in map(str.split, texts)]
+    alike = lambda x, y: 100 * len(x & y) >= 80 * len(x | y)
+    linked = [(i, j) for i in range(len(texts)) for j in range(i) if alike(sets[i], sets[j])]
+    root = list(range(len(texts)))
+    for i, j in sorted(linked, reverse=True):
+        root[i] = min(root[i], j)
+    assert len(linked) == 200 and all(i == j + 1 for i, j in linked)
+    rows = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs(spark, texts), words=4).collect()}
+    assert [rows[i] for i in range(len(texts))] == root
+
+
 def test_exact_duplicates(spark, texts):
     rows = {r.doc_id: r for r in exact_dedup.exact_duplicates(docs(spark, texts)).collect()}
     groups = {}
