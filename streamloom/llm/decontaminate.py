@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words."""
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words."""
 
 from __future__ import annotations
 
@@ -12,8 +12,6 @@ from .common import WordHasher, arrow_text, shingles, slices
 
 #: Words of a seed.
 SEED = 3
-#: A seed is rare if at most this share of the documents holds it.  The rarer half of an item's seeds counts always.
-RARE = 1e-3
 #: Alignment: points for equal words, other words, and a word without partner.
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Items and bytes of benchmark text that one block broadcasts; further items take further blocks.
@@ -57,8 +55,18 @@ def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
+def most_points(item: np.ndarray, words: np.ndarray) -> int:
+    """No local alignment has more points: each aligned word gains a match at most, and costs one point at least
+    if it is none of the other side's words."""
+    best = []
+    for x, y in ((words, item), (item, words)):
+        run = np.concatenate(([0], np.cumsum(np.where(np.isin(x, y), MATCH, -1))))
+        best.append(int((run - np.minimum.accumulate(run)).max()))
+    return min(best)
+
+
 class Items:
-    """A block of benchmark items: their words, and their n-grams as sorted keys with the items that hold them."""
+    """A block of benchmark items: their words, and all their n-grams, the seeds, as sorted keys with the items that hold them."""
 
     def __init__(self, ids: list[int], texts: list[str | None]):
         data, offsets = arrow_text(pa.array(texts, pa.string()))
@@ -69,20 +77,6 @@ class Items:
         order = np.lexsort((owner, grams))
         pairs = np.unique(np.stack([grams[order], owner[order].astype(np.uint64)], axis=1), axis=0) if len(grams) else np.empty((0, 2), np.uint64)
         self.grams, self.owners = pairs[:, 0].copy(), pairs[:, 1].astype(np.int64)
-        self.keys = np.unique(self.grams)
-
-    def rare(self, counts: np.ndarray, documents: int) -> None:
-        """Keep the seeds: counts has the number of documents that hold each of keys."""
-        df = counts[np.searchsorted(self.keys, self.grams)]
-        order = np.lexsort((self.grams, df, self.owners))
-        own = self.owners[order]
-        size = np.bincount(own, minlength=len(self.ids))
-        rank = np.arange(len(own)) - np.concatenate(([0], np.cumsum(size)))[own]
-        keep = np.zeros(len(own), bool)
-        keep[order] = rank < (size[own] + 1) // 2
-        keep |= df <= RARE * documents
-        self.grams, self.owners = self.grams[keep], self.owners[keep]
-        self.seeds = np.bincount(self.owners, minlength=len(self.ids))
 
     def item(self, i: int) -> np.ndarray:
         return self.words[self.bounds[i] : self.bounds[i + 1]]
@@ -102,46 +96,16 @@ def _blocks(benchmark: DataFrame) -> Iterator[Items]:
         yield Items(ids, texts)
 
 
-def _counts(docs: DataFrame, keys: np.ndarray) -> tuple[np.ndarray, int]:
-    """How many documents hold each key, and how many documents there are."""
-
-    def run(batches):
-        hasher, total, n = _hasher(), np.zeros(len(keys) + 1, np.int64), 0
-        for batch in batches:
-            data, offsets = arrow_text(batch.column(1))
-            for a, b in slices(offsets):
-                words, _, _, bounds = hasher(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                grams, gb = shingles(words, bounds, SEED)
-                at = np.minimum(np.searchsorted(keys, grams), len(keys) - 1) if len(keys) else np.zeros(0, np.int64)
-                hit = np.flatnonzero(keys[at] == grams) if len(keys) else at
-                doc = np.searchsorted(gb, hit, side="right") - 1
-                each = np.unique(doc * (len(keys) + 1) + at[hit])
-                total += np.bincount(each % (len(keys) + 1), minlength=len(keys) + 1)
-                n += b - a
-        total[-1] = n
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["gram", "n"])
-
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "gram long, n long")
-    counts = np.zeros(len(keys) + 1, np.int64)
-    for r in rows.groupBy("gram").agg(F.sum("n").alias("n")).collect():  # at most one row for each n-gram of the block
-        counts[r[0]] = r[1]
-    return counts[:-1], int(counts[-1])
-
-
 def _search(docs: DataFrame, items: Items, least: float) -> DataFrame:
-    def passages(words: np.ndarray, places: np.ndarray, owners: np.ndarray, grams: np.ndarray):
-        """(item, first word, last word) of stretches that hold two seeds or more of an item, or its only ones."""
+    def passages(places: np.ndarray, owners: np.ndarray):
+        """(item, first word, last word) of stretches that hold a seed of an item or several near one another."""
         order = np.lexsort((places, owners))
-        places, owners, grams = places[order], owners[order], grams[order]
+        places, owners = places[order], owners[order]
         lengths = np.diff(items.bounds)[owners]
         new = np.ones(len(places), bool)
         new[1:] = (owners[1:] != owners[:-1]) | (np.diff(places) > 2 * lengths[1:])
         starts = np.append(np.flatnonzero(new), len(places))
-        for x, y in zip(starts[:-1], starts[1:], strict=True):
-            i = int(owners[x])
-            if len(np.unique(grams[x:y])) >= min(2, int(items.seeds[i])):
-                yield i, int(places[x]), int(places[y - 1]) + SEED
+        return zip(owners[starts[:-1]].tolist(), places[starts[:-1]].tolist(), (places[starts[1:] - 1] + SEED).tolist(), strict=True)
 
     def run(batches):
         hasher = _hasher()
@@ -168,9 +132,11 @@ def _search(docs: DataFrame, items: Items, least: float) -> DataFrame:
                     place = np.repeat(hit[x:y] - gb[d], n)
                     which = np.repeat(first[k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                     best: dict[int, tuple] = {}
-                    for i, p, q in passages(own, place, items.owners[which], items.grams[which]):
+                    for i, p, q in passages(place, items.owners[which]):
                         item = items.item(i)
                         lo, hi = max(0, p - len(item)), min(len(own), q + len(item))
+                        if most_points(item, own[lo:hi]) < least * MATCH * len(item):
+                            continue
                         points, s, e = align(item, own[lo:hi])
                         score = points / (MATCH * len(item))
                         if score >= least and score > best.get(i, (0.0,))[0]:
@@ -188,15 +154,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5) -> D
 
     score is the best local alignment's points divided by those of the whole item (1: a whole copy);
     first_word and last_word are its place among the document's words.  Case and ASCII punctuation don't
-    count.  Document frequencies of all seeds are taken over all documents.  The benchmark goes to the
-    executors in blocks of at most BLOCK_ITEMS items and about BLOCK_BYTES bytes, each with two narrow
-    passes over docs; nothing but counts of the block's n-grams is shuffled or collected.  Null texts or
+    count.  All of an item's n-grams are seeds and one is enough, so what is found of a document depends on it and the
+    benchmark only.  The benchmark goes to the executors in blocks of at most BLOCK_ITEMS items and about
+    BLOCK_BYTES bytes, each with one narrow pass over docs.  Null texts or
     ids, empty texts and items without words match nothing.  Rows that repeat an item_id are items of
     their own; the best of them counts.
     """
     found = None
     for items in _blocks(benchmark):
-        items.rare(*_counts(docs, items.keys))
         part = _search(docs, items, least)
         found = part if found is None else found.unionAll(part)
     if found is None:

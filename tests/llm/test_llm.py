@@ -146,6 +146,30 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs(spark, texts), bench.filter("false")).collect() == []
 
 
+def test_decontamination_of_edited_copies(spark):
+    rng = random.Random(12)
+    noise = [" ".join(rng.choices(WORDS, k=120)) for _ in range(40)]
+    items = [" ".join(rng.choices(WORDS, k=32)) for _ in range(8)]
+
+    def edited(item, start):
+        return " ".join(f"x{rng.randrange(10**6)}" if i % 5 == start else w for i, w in enumerate(item.split()))
+
+    texts = noise + [f"{noise[i]} {edited(t, i % 5)} {noise[i + 1]}" for i, t in enumerate(items)]
+    texts += [f"{noise[i]} {edited(items[0], i % 5)}" for i in range(10)]  # a group of copies
+    texts.append(noise[9] + " alpha beta gamma wrong " + noise[8])  # one seed is all that is left of item 8
+    bench = spark.createDataFrame(list(enumerate([*items, "alpha beta gamma delta"])), "item_id long, text string")
+    want = {(40 + i, i) for i in range(8)} | {(48 + i, 0) for i in range(10)} | {(58, 8)}
+    for rows in (texts, texts + [" ".join(rng.choices(WORDS, k=9)) for _ in range(1500)]):
+        assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs(spark, rows), bench).collect()} == want
+
+
+def test_most_points():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        a, b = rng.integers(0, 30, 12), rng.integers(0, 30, 40)
+        assert decontaminate.most_points(a, b) >= decontaminate.align(a, b)[0]
+
+
 def naive_align(a, b):
     h, best = np.zeros((len(a) + 1, len(b) + 1), int), 0
     for i in range(1, len(a) + 1):
