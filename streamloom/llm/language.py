@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 #: Labelled documents, and characters of each, that a language's dictionary is made of at most: the bounded sample.
 SAMPLE_DOCS, SAMPLE_CHARS = 256, 1000
 LEVEL = 3
+#: Bytes of a text that are compressed at once, each such piece against a fresh dictionary.
+PIECE = 1 << 16
 _WORDS = re.compile(r"[^\W\d_]+")
 #: A prediction whose best size isn't smaller than the second by this share of it is rejected as too close.
 MARGIN = 0.004
@@ -49,7 +51,8 @@ def plain(text: str) -> str:
 
 
 class Classifier:
-    """The language whose dictionary compresses a text to the fewest bytes."""
+    """The language whose dictionary compresses a text to the fewest bytes, over all its pieces of PIECE bytes:
+    in one stream a long text would be compressed against itself, alike for all languages."""
 
     def __init__(self, dictionaries: dict[str, bytes]):
         self.names = sorted(dictionaries)
@@ -64,7 +67,8 @@ class Classifier:
         data = plain(text).encode() if text and self.by else b""
         if not data:
             return "und", 0.0, True
-        sizes = sorted((len(c.compress(data)), i) for i, c in enumerate(self.by))
+        pieces = [data[k : k + PIECE] for k in range(0, len(data), PIECE)]
+        sizes = sorted((sum(len(c.compress(p)) for p in pieces), i) for i, c in enumerate(self.by))
         if len(sizes) == 1:
             return self.names[0], 1.0, False
         margin = (sizes[1][0] - sizes[0][0]) / sizes[1][0]
@@ -74,7 +78,7 @@ class Classifier:
 def identify(docs: DataFrame, dictionaries: dict[str, bytes] | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score and rejected of every row of docs, from its whole text only.
 
-    lang_pred is the learned language of least compressed size (ties: the first by name), `und` where text
+    lang_pred is the learned language of least compressed size, summed over pieces of PIECE bytes (ties: the first by name), `und` where text
     is null or has no letter or no language was learned.  score is m / (m + MARGIN) of the margin m between
     the two smallest sizes; rejected is set for `und` and for margins under MARGIN.  dictionaries: what
     learn() gave; learned from docs if none.  Other columns are ignored.

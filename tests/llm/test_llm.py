@@ -232,6 +232,16 @@ def test_language(spark):
     assert language.identify(docs(spark, [])).collect() == []
 
 
+def test_language_of_long_texts():
+    rng = random.Random(7)
+    vocabularies = {k: ["".join(rng.choices("abcdefghijkl", k=rng.randrange(3, 9))) for _ in range(4000)] for k in ("aa", "bb")}
+    classify = language.Classifier({k: " ".join(rng.choices(v, k=30_000)).encode() for k, v in vocabularies.items()})
+    for k, v in vocabularies.items():
+        found = [classify(" ".join(rng.choices(v, k=n))) for n in (3_000, 500_000)]
+        assert [x[0] for x in found] == [k, k] and not any(x[2] for x in found)
+        assert found[1][1] > 0.9 * found[0][1]  # the margin doesn't shrink with length
+
+
 TRICKY = [None, "", " ", "a", "Plain words, here.", "two  spaces", "line\nbreak\n", "\ttab", "l'été d’hiver 12 34.5!", "日本語 の", "x" * 300, "<|endoftext|> z", "a b", "don't we're"]
 
 
