@@ -31,7 +31,9 @@ def dedup_lines(docs: DataFrame, site: str = "source", ratio: float = 0.05, leas
     A site is a value of the column site; null is a site of its own.  A line (between line feeds, compared
     without surrounding blanks) goes from every page of a site if more than ratio of the site's pages,
     and at least least_pages, contain it.  Other lines keep their bytes and order.  Null text stays null
-    with no lines; a text of boilerplate only becomes empty.  Rows are not removed; other columns stay
+    with no lines; a text of boilerplate only becomes empty.  Pages that are copies of one another each
+    count, so a group of copies on more than ratio of a site's pages loses its text, every copy of it:
+    the pages' common lines are boilerplate by this rule.  Rows are not removed; other columns stay
     (columns named n_lines or n_dropped are replaced).
 
     Per-page counts are pre-aggregated before the shuffle on (site, line), so a site with a third of all
