@@ -41,8 +41,8 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their piece ids."""
-    return encode_pieces(docs, vocabulary("piece_bpe_32k.model"))
+    """All documents with their piece ids, and the text that these decode to."""
+    return encode_pieces(docs, vocabulary("piece_bpe_32k.model"), decoded=True)
 
 
 STAGES = [

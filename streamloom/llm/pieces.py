@@ -245,14 +245,16 @@ class Coder:
         return units
 
 
-def encode_pieces(docs: DataFrame, path: str) -> DataFrame:
+def encode_pieces(docs: DataFrame, path: str, decoded: bool = False) -> DataFrame:
     """docs with piece_ids (array of int, null where text is null) added; whole texts, one narrow pass.
 
     Extra white space goes first where the model says so.  An existing column piece_ids is replaced.
+    decoded: piece_text, what decode_pieces gives, is added by the same workers.
     """
-    docs = docs.drop("piece_ids")
+    docs = docs.drop("piece_ids", *["piece_text"][: int(decoded)])
     at = docs.columns.index("text")
-    schema = T.StructType([*docs.schema.fields, T.StructField("piece_ids", T.ArrayType(T.IntegerType()))])
+    fields = [T.StructField("piece_ids", T.ArrayType(T.IntegerType())), T.StructField("piece_text", T.StringType())][: 1 + decoded]
+    schema = T.StructType([*docs.schema.fields, *fields])
 
     def run(batches):
         coder = Coder(path)
@@ -262,7 +264,10 @@ def encode_pieces(docs: DataFrame, path: str) -> DataFrame:
             ends = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
             values = np.concatenate(ids) if ids else np.empty(0, np.int32)
             offsets = pa.array(ends, mask=np.asarray([t is None for t in texts] + [False], bool)) if len(texts) else pa.array(ends)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(offsets, pa.array(values, pa.int32()))], [*batch.schema.names, "piece_ids"])
+            new = [pa.ListArray.from_arrays(offsets, pa.array(values, pa.int32()))]
+            if decoded:
+                new.append(pa.array([None if t is None else coder.model.decode(i.tolist()) for t, i in zip(texts, ids, strict=True)], pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], schema.names)
         coder.close()
 
     return docs.mapInArrow(run, schema)

@@ -296,6 +296,14 @@ def test_pieces(spark, texts):
     assert pieces.piece_digests(docs(spark, [None, "x"]), path).filter(~F.col("round_trip")).count() == 0
 
 
+def test_pipeline_decodes(spark):
+    import corpus_pipeline as p
+
+    rows = p.sentencepiece(spark, docs(spark, [None, "", "ab cd", *TRICKY]), "")
+    same = pieces.decode_pieces(rows.withColumnRenamed("piece_text", "own"), vocabulary("piece_bpe_32k.model")).orderBy("doc_id").collect()
+    assert [r.own for r in same] == [r.piece_text for r in same] and [r.own for r in same[:3]] == [None, "", "ab cd"]
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as p
 
