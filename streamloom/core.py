@@ -13,18 +13,32 @@ BUCKET = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a new local one where it is unset (tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    """The folder all executors share: spark.checkpoint.dir.
+
+    Where it is unset, a local session gets a temporary folder; on a cluster, whose machines would each
+    write to a folder of their own, that is an error.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         found = "file://" + tempfile.mkdtemp(prefix="streamloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Delete path when the application ends; until then plans may read it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back, so that it is computed once and outlives executors."""
     path = f"{shared_dir(df.sparkSession)}/streamloom/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    delete_at_end(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
