@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from ..core import delete_at_end, shared_dir
 
 #: ASCII white space that separates words: space and \t \n \v \f \r.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -16,25 +17,16 @@ SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 SLICE_BYTES = 1 << 19
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a new local one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="streamloom-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 def written(df: DataFrame, name: str, **options) -> DataFrame:
     """df written as Parquet in the shared folder and read back.
 
     This cuts the lineage: a lost executor costs at most the tasks that read the files.
-    Parquet is used rather than checkpoint(), which computes its input twice.
+    Parquet is used rather than checkpoint(), which computes its input twice.  The files go when the
+    application ends, or with forget().
     """
     path = f"{shared_dir(df.sparkSession)}/streamloom/{name}-{uuid.uuid4().hex}"
     df.write.options(compression="zstd", **options).parquet(path)
+    delete_at_end(df.sparkSession, path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back.streamloom_path = path
     return back
@@ -125,6 +117,29 @@ class WordHasher:
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Word hashes, word starts, word ends (bytes), and the n + 1 bounds of each text's words."""
+        if len(data) > 2 * SLICE_BYTES and len(offsets) == 2:
+            return self._long(data)
+        return self._some(data, offsets)
+
+    def _long(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The same of one long text, in parts that end between words; a word longer than a part makes it longer."""
+        out, at = [], 0
+        while at < len(data):
+            size = SLICE_BYTES
+            while at + size < len(data):
+                blank = np.flatnonzero(~self.solid[data[at + size // 2 : at + size]])
+                if len(blank):
+                    size = size // 2 + int(blank[-1]) + 1
+                    break
+                size *= 2
+            part = data[at : at + size]
+            hashes, starts, ends, _ = self._some(part, np.array([0, len(part)]))
+            out.append((hashes, starts + at, ends + at))
+            at += len(part)
+        hashes, starts, ends = (np.concatenate(x) for x in zip(*out, strict=True))
+        return hashes, starts, ends, np.array([0, len(hashes)])
+
+    def _some(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         n = len(data)
         if n >= len(self.up):
             self._powers(max(n + 1, 2 * len(self.up)))

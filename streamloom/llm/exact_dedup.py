@@ -4,49 +4,51 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import written
+from .common import forget, written
 
-#: Bytes of a round's digit: the first rounds split almost all different texts; the last width repeats.
+#: Bytes of the first rounds' digits, which split almost all different texts; then the width doubles up to MOST.
 WIDTHS = (24, 232, 3840, 61440, 1 << 20)
+MOST = 1 << 26
 
 
 def exact_duplicates(docs: DataFrame, normalise=None) -> DataFrame:
     """Groups of documents with equal texts, by splitting on successive bytes; no digest decides equality.
 
-    Round r splits each group by the next WIDTHS[r] bytes of its texts and by whether they end there.
-    A group of one is done; a group whose texts have ended is a class of equal texts; other groups go on.
-    Counts are pre-aggregated before the shuffle, so copies of one text meet as one row for each task, and
-    the join that labels members is an equi-join that adaptive execution splits where a group is hot.
+    Round r splits each group by the next bytes of its texts and by whether they end there.  A group of one
+    is done; a group whose texts have ended is a class of equal texts; other groups go on.  Counts are
+    pre-aggregated before the shuffle, so copies of one text meet as one row for each task, and are
+    written: the join that labels members has two shuffled sides, of which adaptive execution splits a
+    hot group's, or a broadcast of groups that measured small.
 
     Returns doc_id, keep_id (the largest doc_id of the class), group_size (its rows), kept and
     text_sha256, a row for each row of docs.  Null counts as empty.  normalise, if given, maps the text
-    column first.  If a doc_id repeats, all its rows with one text are kept or dropped alike.  Other
-    columns are ignored.
+    column first.  Rows are judged by their texts, so a doc_id that repeats is in several classes if its
+    texts differ; all its rows of one class are kept or dropped alike.  A null doc_id counts as less than
+    any other: its row is kept only in a class without another, whose keep_id is null.  An empty table gives
+    an empty result.  Other columns are ignored, whatever their names.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     text = normalise(text) if normalise else text
-    rows = docs.select(F.col("doc_id").cast("long"), text.cast("binary").alias("bytes"))
-    active = rows.withColumn("group", F.lit(0).cast("long"))
-    ended_parts, depth, r = [], 0, 0
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.cast("binary").alias("bytes"))
+    active = rows.select("doc_id", F.lit(0).cast("long").alias("group"), "bytes", F.sha2("bytes", 256).alias("sha"))
+    done, r = [], 0
     while True:
-        width = WIDTHS[min(r, len(WIDTHS) - 1)]
-        digit = active.select("doc_id", "group", "bytes", F.substring("bytes", 1, width).alias("digit"), (F.octet_length("bytes") <= width).alias("ended"))
-        groups = digit.groupBy("group", "digit", "ended").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.max("doc_id").alias("keep_id")).filter("n > 1")
-        groups = written(groups, "radix") if r else groups
-        label = digit.join(groups, ["group", "digit", "ended"])
-        rest = F.when(~F.col("ended"), F.expr(f"substring(bytes, {width + 1})"))
-        label = label.select("doc_id", F.octet_length("bytes").alias("left"), "ended", "n", F.col("least").alias("group"), "keep_id", rest.alias("bytes"))
+        width = WIDTHS[r] if r < len(WIDTHS) else min(MOST, WIDTHS[-1] << (r - len(WIDTHS) + 1))
+        digit = active.withColumns({"digit": F.substring("bytes", 1, width), "ended": F.octet_length("bytes") <= width})
+        groups = digit.groupBy("group", "digit", "ended").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep_id")).filter("n > 1")
+        groups = written(groups.withColumn("next", F.monotonically_increasing_id()), "radix")
+        over = F.col("n").isNull() | F.col("ended")
+        label = digit.join(groups, ["group", "digit", "ended"], "left")
+        label = label.select("doc_id", "sha", over.alias("over"), F.col("next").alias("group"), "n", "keep_id", F.when(~over, F.expr(f"substring(bytes, {width + 1})")).alias("bytes"))
         label = written(label, "radix")
-        ended_parts.append(label.filter("ended").select("doc_id", (F.col("left") + depth).alias("n_bytes"), F.col("n").alias("group_size"), "keep_id"))
-        active = label.filter("not ended").select("doc_id", "bytes", "group")
-        depth, r = depth + width, r + 1
+        done.append(label.filter("over").select("doc_id", "sha", "n", "keep_id"))
+        active = label.filter("not over").select("doc_id", "group", "bytes", "sha")
+        forget(groups)
+        r += 1
         if not active.take(1):
             break
-    ended = ended_parts[0]
-    for part in ended_parts[1:]:
-        ended = ended.unionAll(part)
-    out = rows.select("doc_id", F.octet_length("bytes").alias("n_bytes"), F.sha2("bytes", 256).alias("text_sha256"))
-    found = ended.dropDuplicates(["doc_id", "n_bytes"])
-    out = out.join(found, ["doc_id", "n_bytes"], "left")
-    keep = F.coalesce("keep_id", "doc_id")
-    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), (F.col("doc_id") == keep).alias("kept"), "text_sha256")
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionAll(part)
+    keep = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
+    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.col("sha").alias("text_sha256"))
