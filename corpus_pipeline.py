@@ -1,4 +1,8 @@
-"""A training-corpus pipeline of five stages, each a DataFrame that is written and read again."""
+"""A training-corpus pipeline of five stages, each a DataFrame that is written and read again.
+
+Every stage judges each row by its own text, so null and repeated doc_ids and rows that repeat are
+handled like any other, columns with other names stay as they are, and an empty table gives one.
+"""
 
 from __future__ import annotations
 
@@ -10,19 +14,23 @@ from streamloom.llm.common import written
 from streamloom.llm.decontaminate import decontaminate
 from streamloom.llm.language import accepted
 from streamloom.llm.line_dedup import dedup_lines
-from streamloom.llm.near_dedup import near_duplicates
+from streamloom.llm.near_dedup import drop_near_duplicates
 from streamloom.llm.pieces import encode_pieces
 from streamloom.llm.queries import vocabulary
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is clear; those without letters or between languages go."""
+    """Documents whose language is clear; those without letters (null and empty texts too) or between languages go."""
     return accepted(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents without their sources' boilerplate lines; n_chars follows the text."""
-    out = dedup_lines(docs)
+    """All documents without their sources' boilerplate lines; n_chars follows the text.
+
+    Copies of one text count as one page, so a large group of copies keeps its text for the next stage,
+    which leaves one of them.  Null texts stay null; a text of boilerplate only becomes empty.
+    """
+    out = dedup_lines(docs, once=True)
     if "n_chars" in docs.columns:
         changed = F.col("n_dropped") > 0
         out = out.withColumn("n_chars", F.when(changed, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
@@ -30,18 +38,18 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that of smallest doc_id."""
-    gone = near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    """One document of each group of near-duplicates, that of smallest doc_id, by shingles of five words
+    (op1's four are its contract's).  Documents without words stay."""
+    return drop_near_duplicates(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no benchmark item aligns with."""
+    """Documents that no benchmark item aligns with; null and empty texts stay."""
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their piece ids, and the text that these decode to."""
+    """All documents with their piece ids, and the text that these decode to; both null where text is null."""
     return encode_pieces(docs, vocabulary("piece_bpe_32k.model"), decoded=True)
 
 

@@ -7,7 +7,7 @@ reading their texts; the rest is confirmed on the full shingle sets.
 
 Steps, each linear in its input:
 
-1. sign: sets, bands and sketches, in one pass.  Documents with equal sets collapse to the smallest id.
+1. sign: sets, bands and sketches, in one pass.  Rows with equal sets collapse to the first of them.
 2. Each band bucket's smallest member is its star centre.  Pairs (centre, member) are estimated, then
    confirmed on full sets; links give components.  Every member meets the centre with which it shares most bands.
 3. Components that still share a bucket: their members' sketches are compared in blocks of bounded size,
@@ -33,7 +33,7 @@ BLOCK = 256  # members of a component in one block of step 3
 SMALL = 64  # pairs of members up to which two components are joined
 CENTRES = 16  # components of a bucket that are compared by pairs of components; fuller buckets go by all pairs of members
 
-SIGNED = "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch array<long>"
+SIGNED = "doc_id long, t1 long, t2 long, n_shingles long, set_key binary, bands array<long>, sketch array<long>"
 
 
 def _factors() -> np.ndarray:
@@ -62,6 +62,12 @@ def sign_sets(values: np.ndarray, bounds: np.ndarray, factors: np.ndarray):
     return keys, bands.view(np.int64), sketch
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """doc_id, t1, t2 (two hashes of the text, which with doc_id tell rows apart) and text."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"), text.alias("text"))
+
+
 def signatures(docs: DataFrame, words: int) -> DataFrame:
     """One row of SIGNED for each document; without words its key, bands and sketch are null."""
     factors = _factors()
@@ -69,7 +75,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     def run(batches):
         hasher = WordHasher()
         for batch in batches:
-            data, offsets = arrow_text(batch.column(1))
+            data, offsets = arrow_text(batch.column(3))
             for a, b in slices(offsets):
                 values, bounds = _sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words, hasher)
                 sizes = np.diff(bounds)
@@ -78,16 +84,16 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                 two = lambda x: pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.int64()))
                 place = pa.array(np.cumsum(sizes > 0) - 1, mask=sizes == 0)  # null where there is no word
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(sizes), *(x.take(place) for x in (pa.array([k.tobytes() for k in keys], pa.binary()), two(bands), two(sketch)))],
-                    ["doc_id", "n_shingles", "set_key", "bands", "sketch"],
+                    [*(batch.column(i).slice(a, b - a) for i in range(3)), pa.array(sizes), *(x.take(place) for x in (pa.array([k.tobytes() for k in keys], pa.binary()), two(bands), two(sketch)))],
+                    ["doc_id", "t1", "t2", "n_shingles", "set_key", "bands", "sketch"],
                 )
         give_back()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SIGNED)
+    return _rows(docs).mapInArrow(run, SIGNED)
 
 
-def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(id, shingles): each document's distinct shingle hashes, sorted, as 64-bit little-endian bytes."""
+def shingle_sets(rows: DataFrame, words: int) -> DataFrame:
+    """(id, shingles) of (id, text): the distinct shingle hashes, sorted, as 64-bit little-endian bytes."""
 
     def run(batches):
         hasher = WordHasher()
@@ -99,7 +105,7 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(blobs, pa.binary())], ["id", "shingles"])
         give_back()
 
-    return docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")).mapInArrow(run, "id long, shingles binary")
+    return rows.select("id", "text").mapInArrow(run, "id long, shingles binary")
 
 
 def _bits():
@@ -158,16 +164,37 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     Returns doc_id, n_shingles (distinct shingles of words words), component_id (the smallest reachable
     doc_id) and kept (doc_id = component_id), a row for each row of docs.  Words are runs of anything
     but ASCII white space; A-Z count as a-z.  Texts with fewer than words words have one shingle, the
-    whole sequence.  Null, empty or blank texts have none and link with nothing.  Rows that repeat are
-    all returned alike; doc_id names a document.  Other columns are ignored.
+    whole sequence.  Null, empty or blank texts have none and link with nothing.  Every row is judged by its
+    own text, so rows that share a doc_id but no text aren't linked by it.  Null doc_ids count as greater
+    than any other; a component of only those has a null component_id, and one of its rows is kept.  An
+    empty table gives an empty result.  Other columns are ignored, whatever their names.
 
     The bands miss a link of similarity 0.8 with probability (1 - 0.8**5)**32 = 3e-6, and only if no
     chain of other links joins the two documents.
     """
+    return _judged(docs, words, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """docs without the rows that near_duplicates() doesn't keep; all columns stay, whatever their names.
+
+    Rows alike in doc_id and text stay or go together; rows without words stay.
+    """
+    judged = _judged(docs.select("doc_id", "text"), words, percent)
+    gone = judged.groupBy("doc_id", "t1", "t2").agg(F.bool_or("kept").alias("stays")).filter("not stays")
+    text = F.col("row.text").cast("string")
+    rows = docs.select(F.struct("*").alias("row"))
+    same = F.col("row.doc_id").cast("long").eqNullSafe(gone["doc_id"]) & (F.xxhash64(text) == gone["t1"]) & (F.xxhash64(F.lit(1), text) == gone["t2"])
+    return rows.join(gone, same, "left_anti").select("row.*")
+
+
+def _judged(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """near_duplicates() with t1 and t2 for each row.  Sets are told apart by the number of their first row."""
     most = max_xor(percent / 100)
-    docs = docs.select("doc_id", "text")
-    signed = written(signatures(docs, words), "signed")
-    reps = written(signed.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "sets")
+    signed = written(signatures(docs, words).withColumn("row", F.monotonically_increasing_id()), "signed")
+    first = F.min(F.struct("row", "doc_id", "t1", "t2")).alias("first")
+    reps = signed.filter("set_key is not null").groupBy("set_key").agg(first, F.min("doc_id").alias("least"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    reps = written(reps.select("set_key", F.col("first.row").alias("rep"), "first.doc_id", "first.t1", "first.t2", "least", "bands", "sketch"), "sets")
     rows = reps.select("rep", F.posexplode("bands").alias("band", "h")).select("rep", "band", F.xxhash64("band", "h").alias("h"))
     stars = rows.groupBy("h").agg(F.min("rep").alias("centre"), F.count("*").alias("n")).filter("n > 1").select("h", "centre")
     buckets = written(rows.join(stars, "h"), "buckets")
@@ -176,7 +203,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     sketches = reps.select("rep", "sketch")
     near = written(_near_pairs(first, sketches, most), "near")
     members = buckets.select("rep").distinct()
-    sets = written(shingle_sets(docs.join(members.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi"), words), "shingles").dropDuplicates(["id"])
+    sets = _member_sets(docs, reps.join(members, "rep", "left_semi").select("rep", "doc_id", "t1", "t2"), words)
     links = written(_confirm(near, sets, percent), "links")
     components = connected_components(links)
     named = written(_named(members, components), "named")
@@ -190,10 +217,31 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     if full.take(1):
         new = written(_full_buckets(full, components, reps, sets, most, percent), "links")
         components = connected_components(stars(components).unionAll(new))
-    of_rep = _named(reps.select("set_key", "rep"), components).select("set_key", "component")
-    out = signed.select("doc_id", "n_shingles", "set_key").join(of_rep, "set_key", "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    of_rep = _smallest(reps.select("set_key", "rep", "least"), components)
+    out = signed.select("doc_id", "t1", "t2", "row", "n_shingles", "set_key").join(of_rep, "set_key", "left")
+    component = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("smallest"))
+    kept = F.when(component.isNull(), F.coalesce(F.col("row") == F.col("root"), F.lit(True))).otherwise(F.col("doc_id").eqNullSafe(component))
+    return out.select("doc_id", "t1", "t2", "n_shingles", component.alias("component_id"), kept.alias("kept"))
+
+
+def _member_sets(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
+    """(id, shingles) of the first rows of sets; rows alike in doc_id and text count once."""
+    rows = _rows(docs)
+    same = rows["doc_id"].eqNullSafe(members["doc_id"]) & (rows["t1"] == members["t1"]) & (rows["t2"] == members["t2"])
+    sets = written(shingle_sets(rows.join(members, same).select(members["rep"].alias("id"), rows["text"].alias("text")), words), "shingles")
+    if sets.count() > members.count():
+        sets = written(sets.dropDuplicates(["id"]), "shingles")
+    return sets
+
+
+def _smallest(reps: DataFrame, components: DataFrame) -> DataFrame:
+    """set_key, root (the component's least rep) and smallest (its least doc_id) of every set."""
+    linked = components.join(reps.select(F.col("rep").alias("id"), "least"), "id")
+    of_root = linked.groupBy("component").agg(F.min("least").alias("others")).join(reps.select(F.col("rep").alias("component"), "least"), "component")
+    of_root = of_root.select("component", F.least("others", "least").alias("smallest"))
+    named = _named(reps, components).join(of_root, "component", "left")
+    smallest = F.least(F.col("smallest"), F.col("least"))  # nulls are passed over
+    return named.select("set_key", F.col("component").alias("root"), smallest.alias("smallest"))
 
 
 def _named(rows: DataFrame, components: DataFrame) -> DataFrame:
