@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -13,7 +14,9 @@ SAMPLE_DOCS, SAMPLE_CHARS = 256, 1000
 LEVEL = 3
 #: Bytes of a text that are compressed at once, each such piece against a fresh dictionary.
 PIECE = 1 << 16
-_WORDS = re.compile(r"[^\W\d_]+")
+#: Characters that are looked at together.
+STRETCH = 1 << 18
+_WORDS, _BREAK = regex.compile(r"\p{L}+"), regex.compile(r"\P{L}")
 #: A prediction whose best size isn't smaller than the second by this share of it is rejected as too close.
 MARGIN = 0.004
 
@@ -27,17 +30,18 @@ def learn(docs: DataFrame, sample: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS)
     """Raw dictionary content of every language: texts of the sample documents of least hash.
 
     Learns from text and lang of rows with both and outside the held-out fifth.  The number of such rows of
-    each language is counted over all documents; a hash bound then selects about twice the sample, of
-    which the driver keeps sample documents of chars characters.
+    each language is counted over all documents; a hash bound on (doc_id, text) then selects about twice
+    the sample, of which the driver keeps sample documents of chars characters; rows that repeat count once
+    there, so however many there are of one, few reach the driver.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
     rows = rows.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return {}
-    spread = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    spread = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
     share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1 << 40, (1 << 40) * (2 * sample + 16) // n))))
-    chosen = rows.filter(spread < F.try_element_at(share, "lang")).select("lang", spread.alias("h"), "doc_id", F.substring("text", 1, chars).alias("text")).collect()
+    chosen = rows.filter(spread < F.try_element_at(share, "lang")).select("lang", spread.alias("h"), "doc_id", F.substring("text", 1, chars).alias("text")).distinct().collect()
     out = {}
     for lang in sorted(counts):
         own = sorted((r["h"], r["doc_id"], r["text"]) for r in chosen if r["lang"] == lang)[:sample]
@@ -45,8 +49,18 @@ def learn(docs: DataFrame, sample: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS)
     return out
 
 
+def stretches(text: str) -> Iterator[str]:
+    """A text in stretches of about STRETCH characters that end between words."""
+    at = 0
+    while at < len(text):
+        found = _BREAK.search(text, at + STRETCH)
+        end = found.start() if found else len(text)
+        yield text[at:end]
+        at = end
+
+
 def plain(text: str) -> str:
-    """The text's words in lower case: what is compressed, so that neither capitals nor symbols count."""
+    """The text's words, runs of letters, in lower case: so neither capitals nor symbols and numerals count."""
     return " ".join(_WORDS.findall(text.lower()))
 
 
@@ -62,13 +76,23 @@ class Classifier:
             d.precompute_compress(level=LEVEL)
             self.by.append(zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
 
+    def _add(self, sizes: list[int], piece: bytes) -> None:
+        for i, c in enumerate(self.by):
+            sizes[i] += len(c.compress(piece))
+
     def __call__(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score (0 to 1), and whether the margin is too narrow."""
-        data = plain(text).encode() if text and self.by else b""
-        if not data:
+        sizes, rest = [0] * len(self.by), b""
+        for part in stretches(text or ""):
+            rest += (b" " if rest else b"") + plain(part).encode()
+            while len(rest) >= PIECE:
+                self._add(sizes, rest[:PIECE])
+                rest = rest[PIECE:]
+        if rest.strip():
+            self._add(sizes, rest)
+        if not any(sizes):
             return "und", 0.0, True
-        pieces = [data[k : k + PIECE] for k in range(0, len(data), PIECE)]
-        sizes = sorted((sum(len(c.compress(p)) for p in pieces), i) for i, c in enumerate(self.by))
+        sizes = sorted((n, i) for i, n in enumerate(sizes))
         if len(sizes) == 1:
             return self.names[0], 1.0, False
         margin = (sizes[1][0] - sizes[0][0]) / sizes[1][0]
@@ -81,7 +105,8 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes] | None = None) -> D
     lang_pred is the learned language of least compressed size, summed over pieces of PIECE bytes (ties: the first by name), `und` where text
     is null or has no letter or no language was learned.  score is m / (m + MARGIN) of the margin m between
     the two smallest sizes; rejected is set for `und` and for margins under MARGIN.  dictionaries: what
-    learn() gave; learned from docs if none.  Other columns are ignored.
+    learn() gave; learned from docs if none.  Rows with a null doc_id are predicted, not held out and never
+    learned from; rows that repeat are predicted alike; an empty table gives one.  Other columns are ignored.
     """
     known = learn(docs) if dictionaries is None else dictionaries
 
@@ -97,7 +122,11 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes] | None = None) -> D
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """docs without the documents that identify() rejects; one narrow pass, all columns stay."""
+    """docs without the rows that identify() rejects, each judged by its own text; one narrow pass.
+
+    All columns stay, whatever their names.  Null and empty texts and those without letters go, rows that
+    repeat stay or go alike, and an empty table gives one.  Where no language can be learned all rows go.
+    """
     known = learn(docs)
     names = docs.columns
     at = names.index("text")
