@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-# Frequent function words of four languages.
+# Frequent function words of four languages.
 STOP_WORDS = frozenset(
     """
     a about all also an and any are as at be been but by can could do for from had has have he her his how i if in into is it its
@@ -23,33 +23,39 @@ STOP_WORDS = frozenset(
     pero por porque que se ser si sin sobre son su sus también un una uno y ya
     """.split()
 )
-# Elements whose content is never shown as text.
+# Elements whose content is never shown as text.
 HIDDEN = frozenset("script style noscript template svg math iframe object embed canvas audio video select option textarea title head datalist".split())
 RAW = frozenset("script style noscript template svg iframe textarea title".split())
-# Elements that hold something other than the article.
+# Elements that hold something other than the article.
 ASIDE = frozenset("nav footer aside form button menu dialog header".split())
-# Elements that begin and end a block.
+# Elements that begin and end a block.
 BLOCK = frozenset(
     """address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure
     footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section select summary table
     tbody td tfoot th thead tr ul""".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-# Parts of class, id and role values that mark menus, adverts, notices and the like.
+# Parts of class, id and role values that mark menus, adverts, notices, comments and the like.
 MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|sidebar|side-bar|aside|widget|menu|nav|navbar|navigation|breadcrumbs?|"
-    r"header|masthead|footer|foot|copyright|legal|disclaimer|comments?|commentlist|respond|replies|disqus|cookies?|consent|gdpr|notice|"
-    r"notification|alert|popup|modal|overlay|share|sharing|social|related|recommended|newsletter|subscribe|subscription|signup|"
-    r"login|search|pagination|pager|tags?|toolbar|contentinfo|complementary|hidden)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|sidebar|side-bar|aside|widget|menu|nav|navbar|navigation|breadcrumbs?|"
+    r"masthead|comments?|commentlist|disqus|cookies?|consent|gdpr|notice|notification|popup|modal|share|sharing|social|related|"
+    r"recommended|newsletter|subscribe|subscription|signup|login|pagination|pager|contentinfo|complementary)(?:$|[\s_-])",
+    re.I,
+)
+# Parts that mark such things outside an article, but are as often a section or topic of the article inside it.
+HINTS = re.compile(
+    r"(?:^|[\s_-])(?:banner|header|footer|foot|copyright|legal|disclaimer|respond|replies|alert|overlay|search|tags?|toolbar|hidden)(?:$|[\s_-])",
     re.I,
 )
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][\w:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][\w:-]*+)([^>]*+)>", re.S)
-_ATTRIBUTE = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden|aria-hidden\s*=\s*[\"']?true|(?:^|\s)hidden(?=\s|=|/|$)", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)(?:\s*=\s*(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?", re.S)
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 
 #: A block of at least LONG characters is decided by its words; a shorter one inherits.
 LONG, LINKS, STOPS = 70, 0.33, 0.15
+#: What the place of a block changes of the share of stop words that it needs: in an article less, after a hint more.
+IN_ARTICLE, HINTED = -0.05, 0.1
 
 
 @dataclass
@@ -59,21 +65,31 @@ class Block:
     heading: bool
     outside: bool  # in an element that never holds the article's text
     article: bool
+    hinted: bool = False
     label: bool | None = field(default=None)
+    rule: str = ""  # what decided: container, links, words, neighbour or place
+
+
+def _attributes(text: str) -> dict[str, str]:
+    """Names, in lower case, and values; of names that repeat the first counts."""
+    out: dict[str, str] = {}
+    for name, *value in _ATTRIBUTE.findall(text):
+        out.setdefault(name.lower(), next(filter(None, value), ""))
+    return out
 
 
-def _container(name: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element holds something other than the article."""
+def _container(name: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether an element holds something other than the article, and whether it is only hinted at."""
     if name in ASIDE and not (name == "header" and in_article):
-        return True
-    if name in ("body", "html", "main", "h1"):
-        return False
-    if not attributes:
-        return False
-    if _UNSEEN.search(attributes):
-        return True
-    values = " ".join(next(filter(None, m), "") for m in _ATTRIBUTE.findall(attributes))
-    return bool(values and MARKS.search(values))
+        return True, False
+    if name in ("body", "html", "main", "h1") or not attributes:
+        return False, False
+    own = _attributes(attributes)
+    if "hidden" in own or own.get("aria-hidden", "").strip().lower() == "true" or _UNSEEN.search(own.get("style", "")):
+        return True, False
+    values = " ".join(own.get(k, "") for k in ("class", "id", "role"))
+    hint = bool(HINTS.search(values))
+    return bool(MARKS.search(values)) or (hint and not in_article), hint and in_article
 
 
 def blocks(page: str) -> list[Block]:
@@ -81,15 +97,14 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
     linked = [0]
-    stack: list[tuple[str, bool, bool]] = []  # name, outside, article
+    stack: list[tuple[str, bool, bool, bool]] = []  # name, outside, article, hinted
     state = {"a": False, "h": False}
 
     def flush() -> None:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                top = stack[-1] if stack else ("", False, False)
-                out.append(Block(text, linked[0], state["h"], top[1], top[2]))
+                out.append(Block(text, linked[0], state["h"], *(stack[-1][1:] if stack else (False, False, False))))
             parts.clear()
         linked[0] = 0
 
@@ -124,7 +139,7 @@ def blocks(page: str) -> list[Block]:
             parts.append(" ")
             continue
         inline = name not in BLOCK and name not in HIDDEN
-        if inline and not close and (name in VOID or not (attributes and _container(name, attributes, bool(stack and stack[-1][2])))):
+        if inline and not close and (name in VOID or not (attributes and _container(name, attributes, bool(stack and stack[-1][2]))[0])):
             if name in ("td", "th"):
                 parts.append(" ")
             continue
@@ -146,62 +161,69 @@ def blocks(page: str) -> list[Block]:
         if name == "p":
             while stack and stack[-1][0] == "p":
                 stack.pop()
-        top = stack[-1] if stack else ("", False, False)
-        outside = top[1] or name in HIDDEN or _container(name, attributes, top[2])
-        stack.append((name, outside, (top[2] or name in ("article", "main")) and not outside))
+        top = stack[-1] if stack else ("", False, False, False)
+        other, hint = _container(name, attributes, top[2])
+        outside = top[1] or name in HIDDEN or other
+        stack.append((name, outside, (top[2] or name in ("article", "main")) and not outside, top[3] or hint))
     flush()
     return out
 
 
+def _first(b: Block, marked: bool) -> tuple[bool | None, str]:
+    """What a block is by itself: main text, something else, or undecided."""
+    if b.outside:
+        return False, "container"
+    if b.linked > LINKS * len(b.text):
+        return False, "links"
+    elsewhere = marked and not b.article
+    if len(b.text) < (2 * LONG if elsewhere else LONG):
+        return (False, "place") if elsewhere else (None, "")
+    words = _WORD.findall(b.text.lower())
+    share = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+    need = 2 * STOPS if elsewhere else STOPS + IN_ARTICLE * b.article + HINTED * b.hinted
+    if share >= need:
+        return True, "words"
+    return (None, "") if b.article else (False, "words")
+
+
 def classify(found: list[Block]) -> None:
-    """Set every block's label: True for the main text.
-
-    First pass: a block in a menu, footer, form, advert or the like, or mostly of links, is not main text;
-    where the page marks an article, neither is what lies outside it.  A block of LONG characters and
-    more is main text if it lies in the article or enough of its words are stop words, and not otherwise.
-    The rest, the short blocks, are undecided.  Second pass: these take the label of the nearest decided
-    block before or after; if both are as near and differ, a heading goes with what follows, any other
-    block with what precedes.  An undecided block inside the article has nothing against it and stays.
+    """Set every block's label (True for the main text) and the rule that gave it.
+
+    First pass: a block in a menu, footer, form, advert or the like is not main text, nor is one mostly of
+    links.  A block of LONG characters and more is main text if enough of its words are stop words, and
+    not otherwise; in an article fewer are enough and what has too few is undecided (a table, code, names,
+    another language), and where the page marks an article, a block outside it needs twice the length and
+    the share.  Short blocks are undecided.  Second pass: undecided blocks take the label of the nearest
+    decided block before or after, of the same section (in the article or not); if both are as near and
+    differ, a heading goes with what follows, any other block with what precedes.  With no decided block in
+    its section, a block is main text if that is the article.
     """
     marked = any(b.article and not b.outside for b in found)
     for b in found:
-        density = b.linked / len(b.text)
-        if b.outside or density > LINKS or (marked and not b.article):
-            b.label = False
-        elif len(b.text) >= LONG:
-            if b.article:
-                b.label = True
-            else:
-                words = _WORD.findall(b.text.lower())
-                b.label = bool(words) and sum(w in STOP_WORDS for w in words) >= STOPS * len(words)
-    decided = [i for i, b in enumerate(found) if b.label is not None]
+        b.label, b.rule = _first(b, marked)
+    decided = [i for i, b in enumerate(found) if b.label is not None and not (marked and not b.article)]
     before: list[int | None] = []
-    last = None
-    for i, b in enumerate(found):
-        last = i if b.label is not None else last
-        before.append(last)
-    after, nxt = [None] * len(found), None
-    for i in range(len(found) - 1, -1, -1):
-        nxt = i if found[i].label is not None else nxt
-        after[i] = nxt
-    labels = {i: found[i].label for i in decided}
+    k = 0
+    for i in range(len(found)):
+        while k < len(decided) and decided[k] <= i:
+            k += 1
+        before.append(k - 1)
+    labels = [b.label for b in found]
     for i, b in enumerate(found):
         if b.label is not None:
             continue
-        if b.article:
-            b.label = True
-            continue
-        p, q = before[i], after[i]
+        p = decided[before[i]] if before[i] >= 0 else None
+        q = decided[before[i] + 1] if before[i] + 1 < len(decided) else None
         if p is None and q is None:
-            b.label = False
-        elif p is None or q is None:
-            b.label = labels[q if p is None else p]
-        elif labels[p] == labels[q]:
-            b.label = labels[p]
-        elif b.heading:
-            b.label = labels[q]
+            b.label, b.rule = b.article, "place"
+            continue
+        if p is None or q is None:
+            which = q if p is None else p
+        elif q - i == i - p:
+            which = q if b.heading else p
         else:
-            b.label = labels[q] if q - i < i - p else labels[p]
+            which = q if q - i < i - p else p
+        b.label, b.rule = labels[which], "neighbour"
 
 
 def main_text(page: str | None) -> str:
@@ -216,7 +238,9 @@ def main_text(page: str | None) -> str:
 def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every row of pages; one narrow pass, no shuffle.
 
-    Null html counts as empty and gives an empty text; the whole html is read; other columns are ignored.
+    Null html counts as empty and gives an empty text; the whole html is read, however long.  Rows that
+    repeat are read each by itself, null ids and urls stay null, and an empty table gives one.  Other
+    columns are ignored, whatever their names.
     """
 
     def run(batches):
