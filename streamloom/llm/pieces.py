@@ -5,22 +5,36 @@ from __future__ import annotations
 import gc
 import re
 import zlib
-from array import array
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import give_back
+from .common import arrow_text, give_back, slices
+from .units import UnitCoder, gathered
 
 MARK = "▁"
-#: Words whose ids a worker keeps.
-CACHE = 900_000
-_UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+$")
+#: Boundaries of pieces that a worker keeps.
+CACHE = 200_000
+#: Places of the table of character pairs, as a power of two.
+PAIR_BITS = 20
 NORMAL, UNKNOWN, USER, UNUSED, BYTE = 1, 2, 4, 5, 6
 
 
+@contextmanager
+def _uncollected():
+    """No garbage collection: it would look through very many short lists again and again."""
+    collecting = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if collecting:
+            gc.enable()
+
+
 class Model:
     """The pieces and scores of a SentencePiece model file, and a search for the best segmentation.
 
@@ -31,6 +45,9 @@ class Model:
 
     A character in no piece becomes its bytes' pieces, or the unknown piece if the model has no bytes; in a
     unigram search it counts ten less than the least score.
+
+    Between two characters that stand next to one another in no piece, no piece can reach over, so words
+    are also cut there: the best segmentation of the whole is that of the parts.
     """
 
     def __init__(self, path: str):
@@ -61,19 +78,43 @@ class Model:
                 self.unknown = i
         self.lost = least - 10
         self.begins = {p[:i] for p in self.scores for i in range(1, len(p) + 1)}
+        self.near = np.zeros(1 << PAIR_BITS, bool)
+        pairs = {(ord(a), ord(b)) for p in self.scores for a, b in zip(p.replace(MARK, " "), p.replace(MARK, " ")[1:], strict=False)}
+        if pairs:
+            left, right = np.array(sorted(pairs), np.uint32).T
+            self.near[self._pair(left, right)] = True
         self.plain = [b"" if p.type not in (NORMAL, USER, UNUSED) else p.piece.replace(MARK, " ").encode() for p in m.pieces]
         for b, i in self.bytes.items():
             self.plain[i] = bytes([b])
         self.plain[self.unknown] = " ⁇ ".encode()
+        self.sizes = np.array([len(p) for p in self.plain], np.int64)
+        self.places, self.letters = np.cumsum(self.sizes) - self.sizes, np.frombuffer(b"".join(self.plain), np.uint8)
+
+    @staticmethod
+    def _pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        mixed = left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + right.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+        return (mixed >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+
+    def starts(self, points: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where a piece can only begin: at a text's beginning and between characters that no piece joins."""
+        out = first.copy()
+        out[1:] |= ~self.near[self._pair(points[:-1], points[1:])]
+        return out, out
+
+    def make(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct units, and how many each has."""
+        marked = [u.replace(" ", MARK) for u in units]
+        found = self.search(marked)
+        ids = [found[u] for u in marked]
+        return np.fromiter((i for x in ids for i in x), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
 
     def normalise(self, text: str) -> str:
-        """The text as it is encoded, with marks for spaces."""
-        text = text.replace(MARK, " ")
+        """The text as it is encoded, with spaces for marks."""
+        if MARK in text:
+            text = text.replace(MARK, " ")
         if self.squeeze:
             text = re.sub(" {2,}", " ", text.strip(" "))
-        if self.dummy and text:
-            text = " " + text
-        return text.replace(" ", MARK)
+        return " " + text if self.dummy and text else text
 
     def halves(self, piece: str) -> tuple[str, str] | None:
         """The two pieces whose joining makes piece, None for a character, ("", "") if merging never makes it."""
@@ -157,39 +198,53 @@ class Model:
         lives: list[list[int]] = [[]]
         begins, step = self.begins, self._merging if self.bpe else self._summing
         state = last if self.bpe else best
-        gc.disable()  # it would look through all these lists again and again
-        for word in sorted(words):
-            shared, most = 0, min(len(before), len(word))
-            while shared < most and before[shared] == word[shared]:
-                shared += 1
-            del best[shared + 1 :], back[shared + 1 :], last[shared + 1 :], lives[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                live = [s for s in lives[-1] if word[s:end] in begins]
-                live.append(end - 1)
-                lives.append(live)
-                start = step(word, end, live, state)
-                back.append(start)
-                last.append(word[start:end])
-            before = word
-            ids, end = [], len(word)
-            while end:
-                start, piece = back[end], last[end]
-                own = self.ids.get(piece)
-                if own is not None:
-                    ids.append(own)
-                elif self.bytes:
-                    ids += [self.bytes[b] for b in reversed(piece.encode())]
-                else:
-                    ids.append(self.unknown)
-                end = start
-            out[word] = ids[::-1]
-        gc.enable()
+        with _uncollected():
+            for word in sorted(words):
+                shared, most = 0, min(len(before), len(word))
+                while shared < most and before[shared] == word[shared]:
+                    shared += 1
+                del best[shared + 1 :], back[shared + 1 :], last[shared + 1 :], lives[shared + 1 :]
+                for end in range(shared + 1, len(word) + 1):
+                    live = [s for s in lives[-1] if word[s:end] in begins]
+                    live.append(end - 1)
+                    lives.append(live)
+                    start = step(word, end, live, state)
+                    back.append(start)
+                    last.append(word[start:end])
+                before = word
+                out[word] = self._path(word, back, last)
         return out
 
+    def _path(self, word: str, back: list[int], last: list[str]) -> list[int]:
+        """The ids of a word's segmentation, from the last piece to the first."""
+        ids, end = [], len(word)
+        while end:
+            piece, end = last[end], back[end]
+            own = self.ids.get(piece)
+            if own is not None:
+                ids.append(own)
+            elif self.bytes:
+                ids += [self.bytes[b] for b in reversed(piece.encode())]
+            else:
+                ids.append(self.unknown)
+        return ids[::-1]
+
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.plain.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.dummy and text.startswith(" ") else text
 
+    def decode_all(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes of many texts, one after another, and where each begins and ends in them; the space that
+        was put before a text is passed over."""
+        sizes = self.sizes[ids]
+        data = gathered(self.letters, self.places[ids], sizes)
+        at = np.concatenate(([0], np.cumsum(sizes)))[bounds]
+        begins, ends = at[:-1].copy(), at[1:]
+        if self.dummy:
+            some = np.flatnonzero(ends > begins)
+            begins[some] += data[begins[some]] == 32
+        return data, begins, ends
+
 
 @lru_cache(2)
 def _model(path: str) -> Model:
@@ -197,59 +252,54 @@ def _model(path: str) -> Model:
 
 
 class Coder:
-    """Ids of texts; words are looked up, and the unknown words of a batch searched together."""
+    """Ids of texts: each distinct unit is searched once, the new ones of a window together."""
 
     def __init__(self, path: str):
-        self.model, self.known, self.old = _model(path), {}, {}
+        self.model = _model(path)
+        self.coder = UnitCoder(self.model.starts, self.model.make)
 
-    def __call__(self, texts: list[str | None]) -> tuple[list[str], list[np.ndarray]]:
-        """The normalised texts, and each one's ids."""
+    def __call__(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The normalised texts, the ids of all of them, and the n + 1 bounds of each one's."""
         normal = [self.model.normalise(t) if t else "" for t in texts]
-        out, first = [], 0
-        while first < len(normal):  # a few million characters at a time
-            last, size = first, 0
-            while last < len(normal) and (last == first or size + len(normal[last]) < 2_000_000):
-                size += len(normal[last])
-                last += 1
-            units = [self.units(t) for t in normal[first:last]]
-            words = set().union(*units)
-            if len(self.known) + len(words) > CACHE // 2:  # the words of the last but one generation are forgotten
-                self.known, self.old = {}, self.known
-            new = words.difference(self.known)
-            for w in new.intersection(self.old):
-                self.known[w] = self.old[w]
-            new.difference_update(self.known)
-            found = self.model.search([MARK + w if isinstance(w, str) else w[0] for w in new])
-            for w in new:
-                self.known[w] = array("i", found[MARK + w if isinstance(w, str) else w[0]]).tobytes()
-            out += [np.frombuffer(b"".join(map(self.known.__getitem__, us)), "<i4") for us in units]
-            first = last
-        return normal, out
+        return normal, *self.coder(normal)
 
     def close(self) -> None:
-        """Forget the words and boundaries met: a task's own words repeat, another's gain next to nothing."""
-        self.known, self.old = {}, {}
+        """Forget the boundaries met: a task's own words repeat, another's gain next to nothing."""
         self.model.joins.clear()
         give_back()
 
-    @staticmethod
-    def units(text: str) -> list[str | tuple[str]]:
-        """A text's units, the mark before each left out; one without a mark, at the start, is in a tuple."""
-        if MARK + MARK in text or text.endswith(MARK):
-            return [u[1:] if u.startswith(MARK) else (u,) for u in _UNIT.findall(text)]
-        units: list = text.split(MARK)
-        if units[0]:
-            units[0] = (units[0],)
-        else:
-            del units[0]
-        return units
+
+def _text_column(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, empty: np.ndarray) -> pa.Array:
+    """Strings of stretches of data, null where empty; bytes that aren't UTF-8 are replaced."""
+    lengths = ends - begins
+    whole = gathered(data, begins, lengths)
+    offsets = np.concatenate(([0], np.cumsum(lengths)))
+    if offsets[-1] < 2**31:
+        valid = pa.array(~empty).buffers()[1] if len(empty) else None
+        out = pa.Array.from_buffers(pa.string(), len(lengths), [valid, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(whole)])
+        try:
+            out.validate(full=True)
+            return out
+        except pa.ArrowInvalid:
+            pass
+    raw = whole.tobytes()
+    return pa.array([None if e else raw[a:b].decode("utf-8", "replace") for a, b, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), empty.tolist(), strict=True)], pa.string())
+
+
+def _parts(batch: pa.RecordBatch, at: int):
+    """A batch in parts of bounded text."""
+    _, offsets = arrow_text(batch.column(at))
+    for a, b in slices(offsets):
+        yield batch.slice(a, b - a)
 
 
 def encode_pieces(docs: DataFrame, path: str, decoded: bool = False) -> DataFrame:
-    """docs with piece_ids (array of int, null where text is null) added; whole texts, one narrow pass.
+    """docs with piece_ids (array of int, null where text is null, empty where it is empty) added.
 
-    Extra white space goes first where the model says so.  An existing column piece_ids is replaced.
-    decoded: piece_text, what decode_pieces gives, is added by the same workers.
+    Whole texts, one narrow pass; rows that repeat are encoded alike and an empty table gives one.  Extra
+    white space goes first where the model says so.  An existing column piece_ids is replaced, and with
+    decoded one named piece_text; all others stay.  decoded: piece_text, what decode_pieces gives, is
+    added by the same workers.
     """
     docs = docs.drop("piece_ids", *["piece_text"][: int(decoded)])
     at = docs.columns.index("text")
@@ -259,22 +309,23 @@ def encode_pieces(docs: DataFrame, path: str, decoded: bool = False) -> DataFram
     def run(batches):
         coder = Coder(path)
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            _, ids = coder(texts)
-            ends = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
-            values = np.concatenate(ids) if ids else np.empty(0, np.int32)
-            offsets = pa.array(ends, mask=np.asarray([t is None for t in texts] + [False], bool)) if len(texts) else pa.array(ends)
-            new = [pa.ListArray.from_arrays(offsets, pa.array(values, pa.int32()))]
-            if decoded:
-                new.append(pa.array([None if t is None else coder.model.decode(i.tolist()) for t, i in zip(texts, ids, strict=True)], pa.string()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], schema.names)
+            for part in _parts(batch, at):
+                texts = part.column(at).to_pylist()
+                _, ids, bounds = coder(texts)
+                empty = np.asarray([t is None for t in texts], bool)
+                offsets = pa.array(bounds.astype(np.int32), mask=np.append(empty, False))
+                new = [pa.ListArray.from_arrays(offsets, pa.array(ids.view(np.int32)))]
+                if decoded:
+                    new.append(_text_column(*coder.model.decode_all(ids, bounds), empty))
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], schema.names)
         coder.close()
 
     return docs.mapInArrow(run, schema)
 
 
 def decode_pieces(rows: DataFrame, path: str) -> DataFrame:
-    """rows with piece_text, what piece_ids stand for (null where they are null), added."""
+    """rows with piece_text, what piece_ids stand for (null where they are null), added; an existing column
+    piece_text is replaced.  Bytes that aren't UTF-8 become the replacement character."""
     rows = rows.drop("piece_text")
     at = rows.columns.index("piece_ids")
     schema = T.StructType([*rows.schema.fields, T.StructField("piece_text", T.StringType())])
@@ -282,27 +333,36 @@ def decode_pieces(rows: DataFrame, path: str) -> DataFrame:
     def run(batches):
         model = _model(path)
         for batch in batches:
-            texts = [None if v is None else model.decode(v) for v in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "piece_text"])
+            column = batch.column(at)
+            empty = np.asarray(column.is_null())
+            lengths = np.asarray(column.value_lengths().fill_null(0), np.int64)
+            ids = np.asarray(column.flatten(), np.int64)
+            text = _text_column(*model.decode_all(ids, np.concatenate(([0], np.cumsum(lengths)))), empty)
+            yield pa.RecordBatch.from_arrays([*batch.columns, text], [*batch.schema.names, "piece_text"])
 
     return rows.mapInArrow(run, schema)
 
 
 def piece_digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_pieces, ids_crc32 (unsigned, of the ids as little-endian 32-bit integers), decoded_crc32 and
-    round_trip (whether decoding the ids gives the normalised text) of every row; null counts as empty."""
+    round_trip (whether decoding the ids gives the normalised text) of every row, repeated ones too; null
+    counts as empty.  Other columns are ignored."""
 
     def run(batches):
         coder = Coder(path)
         for batch in batches:
-            normal, ids = coder(batch.column(1).to_pylist())
-            decoded = [coder.model.decode(i.tolist()) for i in ids]
-            back = [n.replace(MARK, " ") for n in normal]
-            same = [d == (b[1:] if coder.model.dummy else b) for d, b in zip(decoded, back, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(map(len, ids), pa.int64()), pa.array([zlib.crc32(i.tobytes()) for i in ids], pa.int64()), pa.array([zlib.crc32(d.encode()) for d in decoded], pa.int64()), pa.array(same, pa.bool_())],
-                ["doc_id", "n_pieces", "ids_crc32", "decoded_crc32", "round_trip"],
-            )
+            for part in _parts(batch, 1):
+                normal, ids, bounds = coder(part.column(1).to_pylist())
+                data, begins, ends = coder.model.decode_all(ids, bounds)
+                view, back = memoryview(ids.astype("<u4").tobytes()), memoryview(data.tobytes())
+                skip = int(coder.model.dummy)
+                crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                texts = [back[a:b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
+                same = [t == n[skip:].encode() for t, n in zip(texts, normal, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(np.diff(bounds)), pa.array(crc, pa.int64()), pa.array([zlib.crc32(t) for t in texts], pa.int64()), pa.array(same, pa.bool_())],
+                    ["doc_id", "n_pieces", "ids_crc32", "decoded_crc32", "round_trip"],
+                )
         coder.close()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
