@@ -1,29 +1,30 @@
 """Suffix-array dedup: all long strings that occur more than once, with all their occurrences.
 
-Sorting every suffix of a corpus isn't needed.  Every window of LENGTH bytes picks the k-gram of least
+Sorting every suffix of a corpus isn't needed.  Every window of SEEN bytes picks the k-gram of least
 hash in it as its anchor, so equal windows have equal anchors at equal places, and each anchor that two
 windows share gathers its occurrences.  For each anchor an enhanced suffix array (suffixes that start at
 the anchor's occurrences, with longest common prefixes) is scanned with a stack; each interval of the
-common-prefix tree is tested for the diversity of what stands on its left, and gives the maximal repeats
-through the anchor with all occurrences.
+common-prefix tree is tested for the diversity of what stands on its left, which gives the maximal repeats
+through the anchor as groups of all their occurrences.
 """
 
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_text, mix, powers, slices, written
+from .common import SLICE_BYTES, arrow_text, give_back, mix, powers, slices, written
 
-#: Bytes of an anchor.
-GRAM = 48
-#: Occurrences of one anchor that one task takes; beyond that their windows are counted by key instead.
+#: Bytes of an anchor, and of the windows that have one each: repeats of at least SEEN bytes are seen.
+GRAM, SEEN = 48, 256
+#: Occurrences of one anchor that one task takes; beyond that its different contexts' windows are counted by key.
 MOST = 50_000
+#: Different contexts of an anchor up to which Python lists are quicker than arrays.
+FEW = 24
 
 
 class Anchors:
@@ -47,7 +48,19 @@ class Anchors:
         return mix((sums[gram:] - sums[: n - gram + 1]) * self.up[: n - gram + 1])
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the anchors, and their hashes."""
+        """Places of the anchors, and their hashes; a long text goes in parts that share windows' bytes."""
+        if len(data) <= 2 * SLICE_BYTES or len(offsets) > 2:
+            return self._some(data, offsets)
+        found = []
+        for at in range(0, len(data), SLICE_BYTES):
+            part = data[at : at + SLICE_BYTES + self.length - 1]
+            places, hashes = self._some(part, np.array([0, len(part)]))
+            found.append((places + at, hashes))
+        places, hashes = (np.concatenate(x) for x in zip(*found, strict=True))
+        places, first = np.unique(places, return_index=True)
+        return places, hashes[first]
+
+    def _some(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(data)
         if n < self.length:
             return np.empty(0, np.int64), np.empty(0, np.uint64)
@@ -98,122 +111,175 @@ def intervals(lcp: list[int]) -> Iterator[tuple[int, int, int]]:
             stack.append((value, first))
 
 
-def repeats(lefts: list[bytes], rights: list[bytes], least: int) -> Iterator[tuple[int, int, list[int]]]:
+def repeats(lefts: Sequence[bytes], rights: Sequence[bytes], least: int) -> Iterator[tuple[int, int, list[int]]]:
     """(left, right, occurrences) of the maximal repeats through one anchor of at least least bytes.
 
     rights are the texts from the anchor on, lefts those before it, reversed.  Every group has all the
-    occurrences that share left bytes before the anchor and right bytes from it on; they differ beyond.
+    occurrences that share left bytes before the anchor and right bytes from it on; beyond, two of them
+    at least differ on either side.
     """
     n = len(rights)
+    if n == 2:
+        left, right = common_prefix(*lefts), common_prefix(*rights)
+        if left + right >= least:
+            yield left, right, [0, 1]
+        return
     order = sorted(range(n), key=rights.__getitem__)
     lcp = [common_prefix(rights[order[i]], rights[order[i + 1]]) for i in range(n - 1)]
-    place = {x: i for i, x in enumerate(sorted(range(n), key=lefts.__getitem__))} if n > 2 else {}
+    place = {x: i for i, x in enumerate(sorted(range(n), key=lefts.__getitem__))}
+    rank = {x: i for i, x in enumerate(order)}
     for right, first, last in intervals(lcp):
-        members = order[first : last + 1]
-        if n > 2:
-            members.sort(key=place.__getitem__)
-        left = [common_prefix(lefts[members[i]], lefts[members[i + 1]]) for i in range(len(members) - 1)]
-        for share, a, b in intervals(left):
-            if share + right >= least:
-                yield share, right, members[a : b + 1]
-
-
-def covered(lefts: list[bytes], rights: list[bytes], least: int) -> list[list[tuple[int, int]]]:
-    """For every occurrence the stretches (bytes before, bytes after the anchor) that its repeats cover.
-
-    The same tree is scanned with a stack, but an interval's members are kept in the order of what stands on
-    their left, the smaller set inserted into the larger.  Where two sets meet, only new neighbours can
-    extend a repeat further to the left: an older neighbour shares at least as much on both sides.
+        members = sorted(order[first : last + 1], key=place.__getitem__)
+        shares = [common_prefix(lefts[members[i]], lefts[members[i + 1]]) for i in range(len(members) - 1)]
+        for left, a, b in intervals(shares):
+            if left + right >= least:
+                group = members[a : b + 1]
+                if len(group) == len(members) or min(lcp[min(map(rank.get, group)) : max(map(rank.get, group))]) == right:
+                    yield left, right, group
+
+
+class LeftTree:
+    """The texts before an anchor's occurrences in sorted order, and the common prefix of any two of them."""
+
+    def __init__(self, lefts: Sequence[bytes]):
+        n = len(lefts)
+        order = sorted(range(n), key=lefts.__getitem__)
+        self.rank = np.empty(n, np.int64)
+        self.rank[order] = np.arange(n)
+        level = np.fromiter((common_prefix(lefts[order[i]], lefts[order[i + 1]]) for i in range(n - 1)), np.int64, n - 1)
+        self.levels = [level]
+        while 1 << len(self.levels) < n:
+            level, half = self.levels[-1], 1 << (len(self.levels) - 1)
+            self.levels.append(np.minimum(level[:-half], level[half:]))
+
+    def shares(self, ranks: np.ndarray) -> np.ndarray:
+        """The common prefix of each two neighbours of ascending ranks: the least between them."""
+        a, b = ranks[:-1], ranks[1:] - 1
+        out = np.empty(len(a), np.int64)
+        level = np.frexp(b - a + 1)[1] - 1
+        for k in np.unique(level):
+            some = level == k
+            out[some] = np.minimum(self.levels[k][a[some]], self.levels[k][b[some] - (1 << int(k)) + 1])
+        return out
+
+
+def covered(lefts: Sequence[bytes], rights: Sequence[bytes], least: int) -> tuple[list[set[tuple[int, int]]], list[int]]:
+    """For every occurrence the stretches (bytes before, bytes from the anchor on) that the groups it is in
+    cover, and the occurrences of its largest group.
+
+    Few occurrences go through repeats().  Of many, each interval's members are taken in the order of
+    what stands on their left; where neighbours share too little the groups of all occurrences of a
+    repeat of least bytes part; within one, a member's deepest group is what it shares with its nearer
+    neighbour.  What doesn't cover more than a longer repeat did before is passed over.
     """
     n = len(rights)
+    out: list[set[tuple[int, int]]] = [set() for _ in rights]
+    size = [1] * n
+    if n <= FEW:
+        for left, right, group in repeats(lefts, rights, least):
+            for z in group:
+                out[z].add((left, right))
+                size[z] = max(size[z], len(group))
+        return out, size
     order = sorted(range(n), key=rights.__getitem__)
-    by_left = sorted(range(n), key=lefts.__getitem__)
-    place = [0] * n
-    for i, x in enumerate(by_left):
-        place[x] = i
-    best = [-1] * n
-    out: list[list[tuple[int, int]]] = [[] for _ in rights]
-
-    def pair(a: int, b: int, right: int) -> None:
-        x, y = by_left[a], by_left[b]
-        left = common_prefix(lefts[x], lefts[y])
-        if left + right >= least:
-            for z in (x, y):
-                if left > best[z]:
-                    best[z] = left
-                    out[z].append((left, right))
-
-    def meet(a: list[int], b: list[int], right: int) -> list[int]:
-        if len(a) < len(b):
-            a, b = b, a
-        for r in b:
-            at = bisect_left(a, r)
-            if at:
-                pair(a[at - 1], r, right)
-            if at < len(a):
-                pair(r, a[at], right)
-            a.insert(at, r)
-        return a
-
-    stack: list[tuple[int, list[int]]] = []
-    for i, x in enumerate(order):
-        members = [place[x]]
-        value = common_prefix(rights[x], rights[order[i + 1]]) if i + 1 < n else -1
-        while stack and stack[-1][0] >= value:
-            right, before = stack.pop()
-            members = meet(before, members, right)
-        stack.append((value, members))
+    tree = LeftTree(lefts)
+    ranks = tree.rank[order]
+    of_rank = np.empty(n, np.int64)
+    of_rank[tree.rank] = np.arange(n)
+    best, most = np.full(n, -1), np.ones(n, np.int64)
+    for right, first, last in intervals([common_prefix(rights[order[i]], rights[order[i + 1]]) for i in range(n - 1)]):
+        members = np.sort(ranks[first : last + 1])
+        shares = tree.shares(members)
+        group = np.concatenate(([0], np.cumsum(shares < least - right)))
+        count = np.bincount(group)[group]
+        left = np.maximum(np.append(shares, -1), np.concatenate(([-1], shares)))
+        most[members] = np.maximum(most[members], count)
+        for k in np.flatnonzero((count > 1) & (left > best[members])).tolist():
+            out[of_rank[members[k]]].add((int(left[k]), right))
+        best[members] = np.where(count > 1, np.maximum(best[members], left), best[members])
+    for z in range(n):
+        size[z] = int(most[tree.rank[z]])
+    return out, size
+
+
+def in_anchor(befores: Sequence[bytes], afters: Sequence[bytes], least: int) -> list[tuple[int, set[tuple[int, int]], int]]:
+    """(occurrence, its stretches, the size of its largest group) of one anchor's occurrences that repeat.
+
+    Occurrences with the same bytes all around are one to the tree, of their number.
+    """
+    if len(afters) == 2:
+        return [(i, {(x, y)}, 2) for x, y, group in repeats(befores, afters, least) for i in group]
+    same: dict[tuple[bytes, bytes], list[int]] = {}
+    for i, context in enumerate(zip(befores, afters, strict=True)):
+        same.setdefault(context, []).append(i)
+    lefts, rights = zip(*same, strict=True)
+    found, sizes = covered(lefts, rights, least) if len(same) > 1 else ([set()], [1])
+    out = []
+    for (left, right), rows, spans, size in zip(same, same.values(), found, sizes, strict=True):
+        if len(rows) > 1 and len(left) + len(right) >= least:
+            spans = {(len(left), len(right))}
+            size = max(size, len(rows))
+        if spans:
+            out += [(i, spans, size) for i in rows]
     return out
 
 
-def _anchored(docs: DataFrame, length: int) -> DataFrame:
-    """(h, doc_id, at): every anchor's hash and place."""
+def _anchored(docs: DataFrame, seen: int) -> DataFrame:
+    """(h, d, k, at): every anchor's hash and place."""
 
     def run(batches):
-        find = Anchors(length)
+        find = Anchors(seen)
         for batch in batches:
-            data, offsets = arrow_text(batch.column(1))
+            data, offsets = arrow_text(batch.column(2))
             for a, b in slices(offsets):
                 own = offsets[a : b + 1] - offsets[a]
                 places, hashes = find(data[offsets[a] : offsets[b]], own)
                 doc = np.searchsorted(own, places, side="right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), batch.column(0).slice(a, b - a).take(pa.array(doc)), pa.array((places - own[doc]).astype(np.int64))], ["h", "doc_id", "at"])
+                at = pa.array(doc)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), *(batch.column(i).slice(a, b - a).take(at) for i in (0, 1)), pa.array((places - own[doc]).astype(np.int64))], ["h", "d", "k", "at"])
+        give_back()
+
+    return docs.select("d", "k", "bytes").mapInArrow(run, "h long, d long, k long, at long")
+
 
-    return docs.select("doc_id", "bytes").mapInArrow(run, "h long, doc_id long, at long")
+CONTEXT = "h long, d long, k long, at long, before binary, after binary"
 
 
-def _contexts(rows: DataFrame, length: int) -> DataFrame:
-    """(h, doc_id, at, before, after): the bytes around every wanted anchor of (doc_id, bytes, anchors)."""
-    reach = length - min(GRAM, length)
+def _contexts(rows: DataFrame, seen: int, length: int) -> DataFrame:
+    """CONTEXT: the bytes around every wanted anchor of (d, k, bytes, anchors), those before it reversed."""
+    reach = seen - min(GRAM, seen)
 
     def run(batches):
         for batch in batches:
-            for doc, blob, anchors in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for d, k, blob, anchors in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
                 h, at = anchors.values.field("h"), anchors.values.field("at").to_numpy()
-                for k in range(0, len(at), 2000):
-                    part = at[k : k + 2000].tolist()
+                for i in range(0, len(at), 2000):
+                    part = at[i : i + 2000].tolist()
                     before = [blob[max(0, p - reach) : p][::-1] for p in part]
                     after = [blob[p : p + length] for p in part]
-                    yield pa.RecordBatch.from_arrays([h.slice(k, len(part)), pa.array([doc] * len(part), pa.int64()), pa.array(part, pa.int64()), pa.array(before, pa.binary()), pa.array(after, pa.binary())], ["h", "doc_id", "at", "before", "after"])
+                    own = [pa.array([x] * len(part), pa.int64()) for x in (d, k)]
+                    yield pa.RecordBatch.from_arrays([h.slice(i, len(part)), *own, pa.array(part, pa.int64()), pa.array(before, pa.binary()), pa.array(after, pa.binary())], [c.split()[0] for c in CONTEXT.split(", ")])
 
-    return rows.select("doc_id", "bytes", "anchors").mapInArrow(run, "h long, doc_id long, at long, before binary, after binary")
+    return rows.select("d", "k", "bytes", "anchors").mapInArrow(run, CONTEXT)
 
 
-def _spans_in_tasks(contexts: DataFrame, length: int) -> DataFrame:
-    """(doc_id, a, b): covered stretches, anchor by anchor; anchors come sorted, so a task holds one at a time."""
+SPANS = "d long, k long, a long, b long, n long"
 
-    def group(rows) -> list[tuple[int, int, int]]:
+
+def _spans_in_tasks(contexts: DataFrame, seen: int) -> DataFrame:
+    """SPANS: stretches a to b of repeats, in groups of n; anchors come sorted, so a task holds one at a time."""
+
+    def group(rows) -> list[tuple[int, int, int, int, int]]:
         if len(rows) < 2:
             return []
-        found = covered([r[2] for r in rows], [r[3] for r in rows], length)
-        return [(r[0], r[1] - x, r[1] + y) for r, f in zip(rows, found, strict=True) for x, y in f]
+        return [(rows[i][0], rows[i][1], rows[i][2] - x, rows[i][2] + y, n) for i, spans, n in in_anchor([r[3] for r in rows], [r[4] for r in rows], seen) for x, y in spans]
 
     def run(batches):
         now, rows = None, []
 
         def emit(out):
-            cols = list(zip(*out, strict=True)) if out else [[], [], []]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "a", "b"])
+            cols = list(zip(*out, strict=True)) if out else [[]] * 5
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], [c.split()[0] for c in SPANS.split(", ")])
 
         for batch in batches:
             out = []
@@ -224,92 +290,135 @@ def _spans_in_tasks(contexts: DataFrame, length: int) -> DataFrame:
                 rows.append(row)
             yield emit(out)
         yield emit(group(rows))
+        give_back()
 
-    return contexts.repartition(F.col("h")).sortWithinPartitions("h").mapInArrow(run, "doc_id long, a long, b long")
+    return contexts.repartition(F.col("h")).sortWithinPartitions("h").mapInArrow(run, SPANS)
 
 
-def _spans_by_key(contexts: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with very many occurrences: their windows meet by key, counted before the shuffle."""
+def _spans_by_key(contexts: DataFrame, seen: int, length: int) -> DataFrame:
+    """SPANS of anchors with very many occurrences: equal contexts become one with their number, before the
+    shuffle, and the others' windows of seen and of length bytes meet by key, numbers summed."""
+    contexts = written(contexts.withColumns({"c1": F.xxhash64("before", "after"), "c2": F.xxhash64(F.lit(1), "before", "after")}), "hot")
+    kinds = contexts.groupBy("h", "c1", "c2").agg(F.count("*").alias("n"), F.first("before").alias("before"), F.first("after").alias("after"))
+    kinds = written(kinds, "kinds")
 
     def run(batches):
         for batch in batches:
-            for h, doc, at, before, after in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                whole = before[::-1] + after
-                first = at - len(before)
-                keys = [hashlib.blake2b(whole[i : i + length], digest_size=16).digest() for i in range(len(whole) - length + 1) if i <= len(before)]
-                n = len(keys)
-                yield pa.RecordBatch.from_arrays([pa.array([doc] * n, pa.int64()), pa.array([first + i for i in range(n)], pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "a", "key"])
+            for h, c1, c2, n, before, after in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                whole, out = before[::-1] + after, []
+                for size in {seen, length}:
+                    out += [(h, c1, c2, n, size, i - len(before), hashlib.blake2b(whole[i : i + size], digest_size=16).digest()) for i in range(min(len(before), len(whole) - size) + 1)]
+                cols = list(zip(*out, strict=True)) if out else [[]] * 7
+                kinds = [pa.int64()] * 4 + [pa.int32(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["h", "c1", "c2", "n", "size", "from", "key"])
+
+    windows = written(kinds.select("h", "c1", "c2", "n", "before", "after").mapInArrow(run, "h long, c1 long, c2 long, n long, size int, from long, key binary"), "windows")
+    again = written(windows.groupBy("key").agg(F.sum("n").alias("times")).filter("times > 1"), "again")
+    # Neighbouring windows make one stretch; those of each size by themselves.
+    found = windows.join(again, "key").groupBy("h", "c1", "c2", "size").agg(F.sort_array(F.collect_set("from")).alias("f"), F.max("times").alias("times"))
+    begins = F.filter("f", lambda x, i: (i == 0) | (F.get("f", i - 1) < x - 1))
+    ends = F.filter("f", lambda x, i: (i == F.size("f") - 1) | (F.get("f", i + 1) > x + 1))
+    found = found.select("h", "c1", "c2", "size", "times", F.explode(F.arrays_zip(begins.alias("x"), ends.alias("y"))).alias("s"))
+    out = contexts.select("h", "c1", "c2", "d", "k", "at").join(found, ["h", "c1", "c2"])
+    return out.select("d", "k", (F.col("at") + F.col("s.x")).alias("a"), (F.col("at") + F.col("s.y") + F.col("size")).alias("b"), F.col("times").alias("n"))
+
+
+def _whole_words(blob: bytes, a: int, b: int) -> int:
+    """How many whole words (between white space) blob[a:b] has."""
+    blank = b" \t\n\v\f\r"
+    n = len(blob[a:b].split())
+    if n and a and blob[a - 1] not in blank and blob[a] not in blank:
+        n -= 1
+    if n and b < len(blob) and blob[b] not in blank and blob[b - 1] not in blank:
+        n -= 1
+    return n
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
 
-    windows = contexts.mapInArrow(run, "doc_id long, a long, key binary").distinct()
-    again = windows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    return windows.join(again, "key").select("doc_id", "a", (F.col("a") + length).alias("b"))
+CUT = "d long, k long, n_removed long, n_spans long, kept_sha256 string, n_passages long, n_group long"
 
 
-def _cut(rows: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of (doc_id, bytes, spans)."""
+def _cut(rows: DataFrame, length: int, words: int) -> DataFrame:
+    """CUT of (d, k, bytes, spans)."""
 
     def run(batches):
         for batch in batches:
             out = []
-            for doc, blob, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                kept, removed, n, end = hashlib.sha256(), 0, 0, None
-                start = at = 0
-                for s in sorted((s["a"], s["b"]) for s in spans or []):
-                    if end is None or s[0] > end:
-                        if end is not None:
-                            kept.update(blob[at:start])
-                            removed, n, at = removed + end - start, n + 1, end
-                        start, end = s
-                    else:
-                        end = max(end, s[1])
-                if end is not None:
-                    kept.update(blob[at:start])
-                    removed, n, at = removed + end - start, n + 1, end
+            for d, k, blob, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                kept, at = hashlib.sha256(), 0
+                runs = _merged([(s["a"], s["b"]) for s in spans if s["b"] - s["a"] >= length])
+                for a, b in runs:
+                    kept.update(blob[at:a])
+                    at = b
                 kept.update(blob[at:])
-                out.append((doc, len(blob), removed, n, kept.hexdigest()))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 5
-            kinds = [pa.int64()] * 4 + [pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                passages = _merged([s for s in {*runs, *((s["a"], s["b"]) for s in spans)} if _whole_words(blob, *s) > words])
+                out.append((d, k, sum(b - a for a, b in runs), len(runs), kept.hexdigest(), len(passages), max(s["n"] for s in spans)))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 7
+            kinds = [pa.int64()] * 4 + [pa.string()] + [pa.int64()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [c.split()[0] for c in CUT.split(", ")])
+        give_back()
 
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.select("d", "k", "bytes", "spans").mapInArrow(run, CUT)
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, most: int = MOST) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, most: int = MOST, words: int = 50, seen: int = SEEN) -> DataFrame:
     """What is left of every document without the bytes of repeated strings of length bytes.
 
     A byte goes if a string of length bytes that covers it also starts anywhere else, in the same or
     another document; strings are judged on the input.  Returns doc_id, n_bytes, n_removed, n_spans
-    (maximal removed runs) and kept_sha256, a row for each row of docs.  Null counts as empty; texts
-    shorter than length keep everything.  doc_id names a document; other columns are ignored.
-
-    Whole copies of one text, told by their length and 128 bits of hash, go entirely and only their
-    smallest doc_id is searched, so copies don't gather.  Only anchors that occur twice are read again,
+    (maximal removed runs) and kept_sha256, a row for each row of docs; and n_passages (runs of removed
+    bytes or of a repeat of at least seen bytes, which may be less than length, with over words whole words), repeated
+    (whether there is any) and n_group (occurrences of the repeat of at least seen bytes that has most of
+    them; 0 without one).  Null counts as empty; texts shorter than seen keep everything.  Rows are judged by
+    their texts, so null and repeated doc_ids make no difference; an empty table gives an empty result.
+    Other columns are ignored, whatever their names.
+
+    Whole copies of one text, told by their length and 128 bits of hash, go entirely and only those of the
+    smallest doc_id are searched, so copies don't gather.  Only anchors that occur twice are read again,
     with the text around them.  An anchor with more than most occurrences takes the way by keys.
     """
+    seen = min(seen, length)
     raw = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    base = docs.select(F.col("doc_id").cast("long"), raw.alias("bytes"))
-    meta = written(base.select("doc_id", F.octet_length("bytes").cast("long").alias("n_bytes"), F.xxhash64("bytes").alias("k1"), F.xxhash64(F.lit(1), "bytes").alias("k2"), F.sha2("bytes", 256).alias("sha")), "meta")
-    copies = meta.filter(F.col("n_bytes") >= length).groupBy("n_bytes", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("n > 1")
-    copied = written(meta.join(copies, ["n_bytes", "k1", "k2"]).select("doc_id", "rep"), "copied")
-    later = copied.filter("doc_id <> rep").select("doc_id")
-    anchors = written(_anchored(base, length), "anchors").join(later, "doc_id", "left_anti")
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw.alias("bytes"))
+    # A row is found again by d, its doc_id, and k, a hash of its text.
+    base = base.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), F.xxhash64("bytes").alias("k"), "bytes")
+    n_words = F.size(F.array_remove(F.split(F.col("bytes").cast("string"), r"[\x20\x09-\x0D]+"), ""))
+    meta = base.select("doc_id", "d", "k", F.octet_length("bytes").cast("long").alias("n_bytes"), F.xxhash64(F.lit(1), "bytes").alias("k2"), F.sha2("bytes", 256).alias("sha"), (n_words > words).alias("wordy"))
+    meta = written(meta, "meta")
+    copies = meta.filter(F.col("n_bytes") >= seen).groupBy("n_bytes", "k", "k2").agg(F.min("d").alias("rep"), F.count("*").alias("copies")).filter("copies > 1")
+    copied = written(meta.select("d", "n_bytes", "k", "k2").join(copies, ["n_bytes", "k", "k2"]).select("d", "k", "rep", "copies").distinct(), "copied")
+    later = copied.filter("d <> rep").select("d", "k")
+    anchors = written(_anchored(base, seen), "anchors").join(later, ["d", "k"], "left_anti")
     shared = anchors.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
-    wanted = anchors.join(shared, "h").select("doc_id", "h", "at", "n")
-    wanted = written(wanted.groupBy("doc_id").agg(F.collect_list(F.struct("h", "at", "n")).alias("anchors")), "wanted")
-    read = written(base.join(wanted, "doc_id"), "read")
-    pick = lambda test: read.select("doc_id", "bytes", F.filter("anchors", test).alias("anchors")).filter(F.size("anchors") > 0)
-    spans = _spans_in_tasks(_contexts(pick(lambda x: x["n"] <= most), length), length)
+    wanted = anchors.join(shared, "h").select("d", "k", "h", "at", "n")
+    wanted = written(wanted.groupBy("d", "k").agg(F.collect_list(F.struct("h", "at", "n")).alias("anchors")), "wanted")
+    read = written(base.select("d", "k", "bytes").join(wanted, ["d", "k"]), "read")
+    pick = lambda test: read.select("d", "k", "bytes", F.filter("anchors", test).alias("anchors")).filter(F.size("anchors") > 0)
+    spans = _spans_in_tasks(_contexts(pick(lambda x: x["n"] <= most), seen, length), seen)
     if shared.filter(F.col("n") > most).take(1):
-        spans = spans.unionAll(_spans_by_key(_contexts(pick(lambda x: x["n"] > most), length), length))
-    spans = written(spans.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "spans")
-    cut = written(_cut(read.select("doc_id", "bytes").join(spans, "doc_id")), "cut").dropDuplicates(["doc_id"])
-    gone = copied.select("doc_id", F.lit(True).alias("gone")).dropDuplicates(["doc_id"])
-    out = meta.join(cut.drop("n_bytes"), "doc_id", "left").join(gone, "doc_id", "left")
-    whole = F.coalesce("gone", F.lit(False))
+        spans = spans.unionAll(_spans_by_key(_contexts(pick(lambda x: x["n"] > most), seen, length), seen, length))
+    spans = written(spans.groupBy("d", "k").agg(F.collect_set(F.struct("a", "b", "n")).alias("spans")), "spans")
+    cut = written(_cut(read.select("d", "k", "bytes").join(spans, ["d", "k"]), length, words), "cut").dropDuplicates(["d", "k"])
+    out = meta.join(cut, ["d", "k"], "left").join(copied.drop("rep"), ["d", "k"], "left")
+    copy = F.col("copies").isNotNull()
+    whole = copy & (F.col("n_bytes") >= length)
+    passages = F.when(copy & F.col("wordy"), F.lit(1)).otherwise(F.coalesce("n_passages", F.lit(0))).cast("long")
     return out.select(
         "doc_id",
         "n_bytes",
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(whole, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(whole, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
+        passages.alias("n_passages"),
+        (passages > 0).alias("repeated"),
+        F.greatest(F.coalesce("copies", F.lit(0)), F.coalesce("n_group", F.lit(0))).cast("long").alias("n_group"),
     )
