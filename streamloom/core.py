@@ -154,6 +154,41 @@ class OrderedStream:
             head = head.crossJoin(self.df.select(*self.keys).distinct())
         return self.like(head.unionByName(self.df.withColumn(self.seq, self.n + len(values)), allowMissingColumns=True))
 
+    def transform(self, f: Callable[..., object], *args, **kwargs):
+        """f of this stream: the general operator, for anything that Spark can say of its rows."""
+        return f(self, *args, **kwargs)
+
+    def copy(self) -> OrderedStream:
+        """The same stream under another name: plans are immutable, so nothing is copied."""
+        return OrderedStream(self.df, self.value, self.seq, self.keys, self.ts, self.root, self.expr)
+
+    def checked(self, kind: str) -> OrderedStream:
+        """This stream, if its values are of the Spark type kind; an error otherwise."""
+        own = self.df.schema[self.value].dataType.simpleString()
+        want = self.df.sparkSession.createDataFrame([], f"value {kind}").schema[0].dataType.simpleString()
+        if own != want:
+            raise TypeError(f"a stream of {want} is expected, not of {own}")
+        return self
+
+    def extend(self, values: Sequence) -> OrderedStream:
+        """An unkeyed stream, then values; their other columns are null."""
+        if self.keys:
+            raise ValueError("extend an unkeyed stream")
+        kind = self.df.schema[self.value].dataType
+        more = self.df.sparkSession.createDataFrame([(i, v) for i, v in enumerate(values)], f"`__i` long, `{self.value}` {kind.simpleString()}")
+        end = self.df.agg((F.coalesce(F.max(self.seq), F.lit(-1)) + 1).alias("__end"))
+        more = more.crossJoin(F.broadcast(end)).select((F.col("__i") + F.col("__end")).cast(self.df.schema[self.seq].dataType).alias(self.seq), self.value)  # one row
+        return self.like(self.df.unionByName(more, allowMissingColumns=True))
+
+    def halo(self, after: int, before: int = 0, bucket: int = BUCKET) -> DataFrame:
+        """Rows with a bucket of positions, __b, each bucket with the rows within after and before of its own
+        (__own tells them): windows by (keys, __b) then spread one long stream over all tasks."""
+        n = self.n
+        low = F.greatest(F.floor((n - after) / bucket), F.lit(0)).cast("long")
+        high = F.floor((n + before) / bucket).cast("long")
+        rows = self.df.withColumn("__b", F.explode(F.sequence(low, high)))
+        return rows.withColumn("__own", F.floor(n / bucket) == F.col("__b"))
+
     # reading
 
     def latest(self, n: int = 1) -> DataFrame:
@@ -177,7 +212,7 @@ class OrderedStream:
         return self.df.filter(F.col(column) >= value).agg(F.coalesce(F.min(self.seq), F.lit(-1)).alias("index"))
 
     def values(self) -> list:
-        """All values in order, on the driver: for tests."""
+        """All values in order, on the driver: the sink into a list, for what is small."""
         return [r[0] for r in self.df.orderBy(*self.keys, self.seq).select(self.value).collect()]
 
     # operators on two streams, by position

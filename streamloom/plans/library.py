@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..core import OrderedStream
 from ..functions import basics, graph, signal, sketches, text
-from ..operators import fold as folds, merge, sinks, split, windows
+from ..operators import fold as folds, lists, merge, sinks, split, windows
+from ..sources import files
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -51,15 +52,25 @@ def whole(spark: SparkSession, sf_dir: str) -> OrderedStream:
 
 
 def kinds(spark: SparkSession, sf_dir: str) -> list[OrderedStream]:
-    """The events of three types, as three streams of positions from 0."""
+    """The events of each type, as a stream of positions from 0 each; the types are few."""
     all_kinds = events(spark, sf_dir, ("event_type",)).df
-    names = [r[0] for r in all_kinds.select("event_type").distinct().orderBy("event_type").limit(3).collect()]
+    names = [r[0] for r in all_kinds.select("event_type").distinct().orderBy("event_type").collect()]
     return [OrderedStream(all_kinds.filter(F.col("event_type") == n).select("seq", "ts", "event_id", "value"), ts="ts") for n in names]
 
 
-#: The three types as SQL: k (0, 1, 2), n, ts, event_id, value.
+def halves(spark: SparkSession, sf_dir: str) -> list[OrderedStream]:
+    """All events as two streams, those of even and of odd event_id, for what takes exactly two inputs."""
+    rows = table(spark, sf_dir, "events").withColumn("seq", F.floor(F.col("event_id") / 2).cast("long"))
+    return [OrderedStream(rows.filter(F.col("event_id") % 2 == i).select("seq", "ts", "event_id", "value"), ts="ts") for i in (0, 1)]
+
+
+#: The types as SQL: k (0, 1, …), n, ts, event_id, value; and names, a row for each.
 K = f"""{T}, names AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS k FROM (SELECT DISTINCT event_type FROM events)),
-k AS (SELECT k, n, ts, event_id, value FROM t JOIN names USING (event_type) WHERE k < 3)"""
+k AS (SELECT k, n, ts, event_id, value FROM t JOIN names USING (event_type))"""
+#: The halves in the same form.
+H = "k AS (SELECT event_id % 2 AS k, event_id // 2 AS n, ts, event_id, value FROM events)"
+#: A condition on groups of one row from each type.
+WHOLE = "HAVING count(*) = (SELECT count(*) FROM names)"
 
 
 def r4(c):
@@ -121,15 +132,70 @@ def signal_element(spark, d):
 
 @query("SELECT event_id, value FROM events WHERE CAST(floor(value) AS BIGINT) % 2 = 1")
 def map_list(spark, d):
-    """A function of whole slices, on Arrow batches."""
-    import pyarrow.compute as pc
+    """A function of whole lists."""
+    s = whole(spark, d)
+    s = s.like(s.df.select("event_id", F.struct("event_id", "value").alias("v")), "v")
+    out = lists.map_list(s, lambda rows: [r for r in rows if int(r["value"] // 1) % 2 == 1], "struct<event_id:bigint,value:double>", 1000)
+    return out.df.select("value.event_id", "value.value")
+
+
+@query("SELECT event_id AS seq, round(sum(value) OVER (ORDER BY event_id), 4) AS value FROM events")
+def map_list_stateful(spark, d):
+    """A running sum, list after list."""
+
+    def add(values, total):
+        out = []
+        for v in values:
+            total += v
+            out.append(total)
+        return out, total
+
+    return lists.map_list(whole(spark, d), add, "double", 1000, lambda: 0.0).df.select("seq", r4("value").alias("value"))
+
+
+@query("SELECT event_id AS seq, value * 2 AS value FROM events")
+def map_array(spark, d):
+    return lists.map_array(whole(spark, d), lambda x: x * 2).df.select("seq", "value")
+
+
+@query(f"WITH {H} SELECT n AS seq, round(sum(value), 4) AS value FROM k GROUP BY n HAVING count(*) = 2")
+def merge_list(spark, d):
+    return lists.merge_list(halves(spark, d), lambda xs: [a + b for a, b in zip(*xs, strict=True)], size=1000).df.select("seq", r4("value").alias("value"))
+
+
+@query("""WITH s AS (SELECT *, CAST(floor(value) AS BIGINT) % 2 AS i FROM events)
+SELECT CAST(i AS INTEGER) AS i, row_number() OVER (PARTITION BY i ORDER BY event_id) - 1 AS seq, value FROM s WHERE i IN (0, 1)""")
+def split_list(spark, d):
+    """Values with even and with odd whole parts."""
+    f = lambda x: [[v for v in x if v // 1 % 2 == i] for i in (0, 1)]
+    a, b = (p.df.select(F.lit(i).alias("i"), "seq", "value") for i, p in enumerate(lists.split_list(whole(spark, d), f, ["double"] * 2, 1000)))
+    return a.unionAll(b)
+
+
+@query(f"""WITH {H}, z AS (SELECT n, sum(value) AS s, max(value) AS m FROM k GROUP BY n HAVING count(*) = 2)
+SELECT n AS seq, round(s, 4) AS total, m AS top FROM z""")
+def multi_list(spark, d):
+    f = lambda xs: [[a + b for a, b in zip(*xs, strict=True)], [max(a, b) for a, b in zip(*xs, strict=True)]]
+    out = merge.zip_streams(lists.multi_list(halves(spark, d), f, ["double"] * 2, 1000))
+    return out.select("seq", r4("v0").alias("total"), F.col("v1").alias("top"))
+
 
-    def odd(batches):
-        for b in batches:
-            v = pc.cast(pc.floor(b.column("value")), "int64")
-            yield b.filter(pc.equal(pc.subtract(v, pc.multiply(pc.divide(v, 2), 2)), 1))
+@query("SELECT event_id // 2 AS seq, round(sum(value), 4) AS value FROM events GROUP BY 1 HAVING count(*) = 2")
+def iot(spark, d):
+    """Pairs of elements; one that has no partner in its list is left unread."""
+    f = lambda a: ([x + y for x, y in zip(a[::2], a[1::2], strict=False)], len(a) // 2 * 2)
+    return lists.iot(whole(spark, d), f, "double", 999).df.select("seq", r4("value").alias("value"))
 
-    return table(spark, d, "events").select("event_id", "value").mapInArrow(odd, "event_id long, value double")
+
+@query(f"WITH {K} SELECT n AS seq, round(sum(value), 4) AS value FROM k GROUP BY n {WHOLE}")
+def iot_merge(spark, d):
+    """What all types have comes out; the rest is left unread."""
+
+    def f(unread):
+        n = min(map(len, unread))
+        return [sum(v) for v in zip(*(u[:n] for u in unread), strict=True)], [n] * len(unread)
+
+    return lists.iot_merge(kinds(spark, d), f, size=500).df.select("seq", r4("value").alias("value"))
 
 
 @query("SELECT event_id, i AS pos, round(value + 100 * i, 4) AS value FROM events, (VALUES (0), (1)) v(i)")
@@ -235,6 +301,39 @@ def map_window_stateful(spark, d):
     return out.select("user_id", "w", r4(F.sum("s").over(Window.partitionBy("user_id").orderBy("w"))).alias("value"))
 
 
+@query(f"""WITH {E}, w AS (SELECT user_id, n // 4 AS w, sum(value) AS s FROM e GROUP BY 1, 2 HAVING count(*) = 4)
+SELECT user_id, w AS seq, round(sum(s) OVER (PARTITION BY user_id ORDER BY w), 4) AS value FROM w""")
+def map_window_fold(spark, d):
+    """The same by a Python function of windows and a state."""
+    out = windows.window_fold(events(spark, d), 4, 4, lambda x, s: (s + sum(x),) * 2, lambda: 0.0)
+    return out.df.select("user_id", "seq", r4("value").alias("value"))
+
+
+@query("""WITH p AS (SELECT i AS n, 7.0 AS value FROM generate_series(0, 3) g(i) UNION ALL SELECT event_id + 4, value FROM events),
+w AS (SELECT n, sum(value) OVER f AS s, count(*) OVER f AS c FROM p WINDOW f AS (ORDER BY n ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING))
+SELECT n // 2 AS w, round(s, 4) AS value FROM w WHERE n % 2 = 0 AND c = 4""")
+def map_window_initial(spark, d):
+    """Windows that begin with an initial value."""
+    return windows.window(whole(spark, d), 4, 2, r4(F.sum("value")).alias("value"), initial_value=7.0)
+
+
+def _long(size: int, step: int, f: str) -> str:
+    return f"""WITH w AS (SELECT event_id AS n, {f}(value) OVER f AS s, count(*) OVER f AS c FROM events WINDOW f AS (ORDER BY event_id ROWS BETWEEN CURRENT ROW AND {size - 1} FOLLOWING))
+SELECT n // {step} AS w, round(s, 4) AS value FROM w WHERE n % {step} = 0 AND c = {size}"""
+
+
+@query(_long(500, 1, "max"))
+def reduce_window_frame(spark, d):
+    """Long windows of one unkeyed stream, step 1: a row frame in buckets of positions."""
+    return windows.reduce_window(whole(spark, d), 500, 1, "max").select("w", r4("value").alias("value"))
+
+
+@query(_long(500, 20, "avg"))
+def reduce_window_panes(spark, d):
+    """Long windows by panes of 20."""
+    return windows.reduce_window(whole(spark, d), 500, 20, "avg").select("w", r4("value").alias("value"))
+
+
 @query(f"""WITH {E}, w AS (SELECT user_id, n // 3 AS w, sum(value) AS s, max(value) AS m, count(*) AS c FROM e GROUP BY 1, 2)
 SELECT user_id, w, round(s, 4) AS total, m AS top FROM w WHERE c = 3""")
 def split_window(spark, d):
@@ -273,19 +372,33 @@ def timed_window_list(spark, d):
     return out.select("event_type", micros("start").alias("start"), micros("end").alias("stop"), "users")
 
 
+@query("""WITH b AS (SELECT max(ts) AS z FROM events), starts AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-02 01:30:00', z, INTERVAL '5 hours')) AS s FROM b)
+SELECT event_type, CAST(epoch_us(s) AS BIGINT) AS start, CAST(epoch_us(s + INTERVAL '12 hours') AS BIGINT) AS stop, count(*) AS n, round(sum(value), 4) AS total
+FROM starts JOIN events ON ts >= s AND ts < s + INTERVAL '12 hours', b WHERE s + INTERVAL '12 hours' <= z GROUP BY event_type, s""")
+def timed_window_origin(spark, d):
+    """Windows that start at a given time and every five hours after it."""
+    return _timed_frame(windows.timed_window(table(spark, d, "events"), "12 hours", "5 hours", F.count("*").alias("n"), r4(F.sum("value")).alias("total"), keys=["event_type"], origin="2024-01-02 01:30:00"))
+
+
 # several inputs
 
 
-@query(f"WITH {K} SELECT a.n AS seq, round(a.value + b.value + c.value, 4) AS value FROM k a JOIN k b ON b.n = a.n AND b.k = 1 JOIN k c ON c.n = a.n AND c.k = 2 WHERE a.k = 0")
+@query(f"WITH {K} SELECT n AS seq, round(sum(value), 4) AS value FROM k GROUP BY n {WHOLE}")
 def zip_map_add(spark, d):
-    return merge.zip_map(kinds(spark, d), lambda a, b, c: r4(a + b + c)).df
+    return merge.zip_map(kinds(spark, d), lambda *v: r4(sum(v))).df
 
 
-@query(f"""WITH {K} SELECT a.n AS seq, round(x + y, 4) AS plus, round(x - y, 4) AS minus, round(x * y, 4) AS times, CAST(floor(x / y) AS BIGINT) AS floordiv,
+@query(f"""WITH {K}, z AS (SELECT n, sum(value) AS s FROM k GROUP BY n {WHOLE}) SELECT n AS seq, round(sum(s) OVER (ORDER BY n), 4) AS value FROM z""")
+def zip_map_stateful(spark, d):
+    out = merge.zip_map(kinds(spark, d), lambda x, s: (s + sum(x), s + sum(x)), lambda: 0.0)
+    return out.df.select("seq", r4("value").alias("value"))
+
+
+@query(f"""WITH {H} SELECT a.n AS seq, round(x + y, 4) AS plus, round(x - y, 4) AS minus, round(x * y, 4) AS times, CAST(floor(x / y) AS BIGINT) AS floordiv,
 round(x - y * floor(x / y), 4) AS modulo, x < y AS lt, x <= y AS le, x > y AS gt, x >= y AS ge, x = y AS eq, x <> y AS ne
 FROM (SELECT n, value AS x FROM k WHERE k = 0) a JOIN (SELECT n, value - 50.5 AS y FROM k WHERE k = 1) b ON a.n = b.n""")
 def zip_ops(spark, d):
-    a, b, _ = kinds(spark, d)
+    a, b = halves(spark, d)
     y = b - 50.5
     df = merge.zip_streams([a, y])
     x, z = F.col("v0"), F.col("v1")
@@ -315,6 +428,18 @@ def merge_asynch(spark, d):
     return out.select("i", "seq", "value")
 
 
+@query(f"WITH {K} SELECT row_number() OVER w - 1 AS seq, round(sum(k * value) OVER w, 4) AS value FROM k WINDOW w AS (ORDER BY ts, k, n)")
+def merge_asynch_stateful(spark, d):
+    out = merge.merge_asynch(kinds(spark, d), lambda x, s: (s + x[0] * x[1],) * 2, initial=lambda: 0.0)
+    return out.select("seq", r4("value").alias("value"))
+
+
+@query(f"WITH {K} SELECT row_number() OVER w - 1 AS seq, max(value) OVER w AS value FROM k WINDOW w AS (ORDER BY ts, k, n)")
+def blend_stateful(spark, d):
+    """The greatest so far."""
+    return merge.blend(kinds(spark, d), lambda x, s: (max(x, s),) * 2, initial=lambda: float("-inf")).select("seq", "value")
+
+
 @query(f"WITH {K} SELECT CAST(epoch_us(ts) AS BIGINT) AS at, round(2 * value, 4) AS value FROM k")
 def blend(spark, d):
     return merge.blend(kinds(spark, d), lambda v: r4(2 * v)).select(micros("ts").alias("at"), "value")
@@ -332,63 +457,105 @@ def timed_mix(spark, d):
     return merge.timed_mix(table(spark, d, "orders"), "o_orderdate", ["o_custkey"], ["o_orderkey"]).select("o_custkey", "o_orderkey")
 
 
+@query(f"""WITH {K}, w AS (SELECT k, n // 3 AS w, sum(value) AS s FROM k GROUP BY 1, 2 HAVING count(*) = 3)
+SELECT w, round(sum(s), 4) AS value FROM w GROUP BY w {WHOLE}""")
+def merge_window(spark, d):
+    streams = kinds(spark, d)
+    out = merge.merge_window(streams, 3, 3, F.sum)
+    return out.select("w", r4(sum(F.col(f"v{i}") for i in range(len(streams)))).alias("value"))
 
 
-
-@query(f"""WITH {K}, w AS (SELECT k, n // 3 AS w, sum(value) AS s, count(*) AS c FROM k WHERE k < 2 GROUP BY 1, 2)
-SELECT a.w, round(a.s + b.s, 4) AS value FROM w a JOIN w b ON a.w = b.w WHERE a.k = 0 AND b.k = 1 AND a.c = 3 AND b.c = 3""")
-def merge_window(spark, d):
-    out = merge.merge_window(kinds(spark, d)[:2], 3, 3, F.sum)
-    return out.select("w", r4(F.col("v0") + F.col("v1")).alias("value"))
+@query(f"""WITH {K}, w AS (SELECT k, n // 3 AS w, sum(value) AS s FROM k GROUP BY 1, 2 HAVING count(*) = 3), z AS (SELECT w, sum(s) AS s FROM w GROUP BY w {WHOLE})
+SELECT w AS seq, round(sum(s) OVER (ORDER BY w), 4) AS value FROM z""")
+def merge_window_stateful(spark, d):
+    out = merge.merge_window_fold(kinds(spark, d), 3, 3, lambda x, s: (s + sum(map(sum, x)),) * 2, lambda: 0.0)
+    return out.df.select("seq", r4("value").alias("value"))
 
 
-@query(f"""WITH {K}, x AS (SELECT n, sum(value) OVER f AS s, count(*) OVER f AS c FROM k WHERE k = 0 WINDOW f AS (ORDER BY n ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING))
+@query(f"""WITH {H}, x AS (SELECT n, sum(value) OVER f AS s, count(*) OVER f AS c FROM k WHERE k = 0 WINDOW f AS (ORDER BY n ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING))
 SELECT n // 2 AS w, round(s + value, 4) AS value FROM x JOIN (SELECT n AS m, value FROM k WHERE k = 1) ON m = n // 2 WHERE n % 2 = 0 AND c = 3""")
 def merge_multiple_windows(spark, d):
-    out = merge.merge_windows(kinds(spark, d)[:2], [3, 1], [2, 1], F.sum)
+    out = merge.merge_windows(halves(spark, d), [3, 1], [2, 1], F.sum)
     return out.select("w", r4(F.col("v0") + F.col("v1")).alias("value"))
 
 
+#: The number of types in the tables, for SQL with a column for each.
+TYPES = 5
 _HOURS = f"""{K}, h AS (SELECT k, CAST(epoch_us(date_trunc('hour', ts)) AS BIGINT) AS hour_us, round(sum(value), 4) AS v FROM k GROUP BY 1, 2),
-z AS (SELECT hour_us, max(CASE k WHEN 0 THEN v END) AS v0, max(CASE k WHEN 1 THEN v END) AS v1, max(CASE k WHEN 2 THEN v END) AS v2 FROM h
+z AS (SELECT hour_us, {', '.join(f'max(CASE k WHEN {i} THEN v END) AS v{i}' for i in range(TYPES))} FROM h
 WHERE hour_us <= (SELECT min(m) FROM (SELECT max(hour_us) AS m FROM h GROUP BY k)) GROUP BY hour_us)"""
 
 
+def _hours(spark, d) -> list[OrderedStream]:
+    """Each type's hourly sums, by time."""
+    return [OrderedStream(s.df.groupBy(micros(F.date_trunc("hour", "ts")).alias("ts")).agg(r4(F.sum("value")).alias("value")), seq="ts") for s in kinds(spark, d)]
+
+
 def _hourly(spark, d) -> DataFrame:
-    hours = [OrderedStream(s.df.groupBy(micros(F.date_trunc("hour", "ts")).alias("ts")).agg(r4(F.sum("value")).alias("value")), seq="ts") for s in kinds(spark, d)]
-    return merge.timed_zip(hours)
+    return merge.timed_zip(_hours(spark, d))
 
 
-@query(f"WITH {_HOURS} SELECT hour_us, v0, v1, v2 FROM z")
+@query(f"WITH {_HOURS} SELECT hour_us, {', '.join(f'v{i}' for i in range(TYPES))} FROM z")
 def timed_zip(spark, d):
     return _hourly(spark, d).withColumnRenamed("ts", "hour_us")
 
 
-@query(f"WITH {_HOURS} SELECT hour_us, round(coalesce(v0, 0) + coalesce(v1, 0) + coalesce(v2, 0), 4) AS value FROM z")
+@query(f"WITH {_HOURS} SELECT hour_us, round({' + '.join(f'coalesce(v{i}, 0)' for i in range(TYPES))}, 4) AS value FROM z")
 def timed_zip_map(spark, d):
-    v = [F.coalesce(f"v{i}", F.lit(0.0)) for i in range(3)]
-    return _hourly(spark, d).select(F.col("ts").alias("hour_us"), r4(v[0] + v[1] + v[2]).alias("value"))
+    out = merge.timed_zip_map(_hours(spark, d), lambda *v: r4(sum(F.coalesce(x, F.lit(0.0)) for x in v)))
+    return out.withColumnRenamed("ts", "hour_us")
 
 
-@query(f"WITH {_HOURS} SELECT hour_us, 0 AS i, v0 AS value FROM z WHERE v0 IS NOT NULL UNION ALL SELECT hour_us, 1, v1 FROM z WHERE v1 IS NOT NULL UNION ALL SELECT hour_us, 2, v2 FROM z WHERE v2 IS NOT NULL")
+@query(f"WITH {_HOURS} SELECT hour_us, {', '.join(f'v{i}' for i in range(TYPES))} FROM z")
+def join_timed(spark, d):
+    """The same, by a time that is got from whole items."""
+    items = [OrderedStream(s.df.select("ts", F.struct(F.col("ts").alias("t"), "value").alias("value")), seq="ts") for s in _hours(spark, d)]
+    out = merge.join_timed(items, lambda v: v["t"])
+    return out.select(F.col("time").alias("hour_us"), *(F.col(f"v{i}.value").alias(f"v{i}") for i in range(len(items))))
+
+
+@query(f"WITH {_HOURS} {' UNION ALL '.join(f'SELECT hour_us, {i} AS i, v{i} AS value FROM z WHERE v{i} IS NOT NULL' for i in range(TYPES))}")
 def timed_unzip(spark, d):
-    a, b, c = (p.select(F.col("ts").alias("hour_us"), F.lit(i).alias("i"), "value") for i, p in enumerate(split.timed_unzip(_hourly(spark, d), 3)))
-    return a.unionAll(b).unionAll(c)
+    from functools import reduce
+
+    zipped = _hourly(spark, d)
+    parts = [p.select(F.col("ts").alias("hour_us"), F.lit(i).alias("i"), "value") for i, p in enumerate(split.timed_unzip(zipped, len(zipped.columns) - 1))]
+    return reduce(DataFrame.unionAll, parts)
+
 
+@query(f"""WITH {_HOURS}, b AS (SELECT max(hour_us) AS z FROM z), s AS (SELECT unnest(generate_series(TIMESTAMP '2023-12-01 00:00:00', make_timestamp(z), INTERVAL '4 hours')) AS s FROM b),
+c AS (SELECT s, {', '.join(f'max(CASE WHEN v{i} > 300 THEN 1 ELSE 0 END) AS c{i}' for i in range(TYPES))} FROM s JOIN z ON make_timestamp(hour_us) >= s AND make_timestamp(hour_us) < s + INTERVAL '4 hours', b
+WHERE s + INTERVAL '4 hours' <= make_timestamp(z) GROUP BY s)
+SELECT CAST(epoch_us(s) AS BIGINT) AS start, {' + '.join(f'c{i}' for i in range(TYPES))} AS sensors FROM c WHERE {' + '.join(f'c{i}' for i in range(TYPES))} >= 2""")
+def coincidences(spark, d):
+    """Four hours in which two types or more have an hour of over 300; types without such hours still tell how far they have come."""
+    hours = [OrderedStream(s.df.select(F.timestamp_micros("ts").alias("ts"), F.when(F.col("value") > 300, F.col("value")).alias("value")), seq="ts") for s in _hours(spark, d)]
+    out = signal.coincidences(hours, "4 hours", "4 hours", 2)
+    return out.select(micros("start").alias("start"), F.col("sensors").cast("long").alias("sensors"))
 
-@query(f"WITH {K} SELECT a.n AS seq, greatest(a.value, b.value) AS top, round(a.value + b.value, 4) AS total FROM k a JOIN k b ON a.n = b.n WHERE a.k = 0 AND b.k = 1")
+
+@query(f"WITH {K} SELECT n AS seq, max(value) AS top, round(sum(value), 4) AS total FROM k GROUP BY n {WHOLE}")
 def multi_element(spark, d):
-    a, b = merge.multi_element(kinds(spark, d)[:2], lambda x, y: [F.greatest(x, y), r4(x + y)])
+    a, b = merge.multi_element(kinds(spark, d), lambda *v: [F.greatest(*v), r4(sum(v))])
     return merge.zip_streams([a, b]).select("seq", F.col("v0").alias("top"), F.col("v1").alias("total"))
 
 
-@query(f"""WITH {K}, w AS (SELECT k, n // 2 AS w, sum(value) AS s, max(value) AS m, count(*) AS c FROM k WHERE k < 2 GROUP BY 1, 2)
-SELECT a.w, round(a.s + b.m, 4) AS x, round(a.m + b.s, 4) AS y FROM w a JOIN w b ON a.w = b.w WHERE a.k = 0 AND b.k = 1 AND a.c = 2 AND b.c = 2""")
+@query(f"""WITH {K}, z AS (SELECT n, sum(value) AS s, max(value) AS m FROM k GROUP BY n {WHOLE})
+SELECT n AS seq, round(sum(s) OVER (ORDER BY n), 4) AS total, max(m) OVER (ORDER BY n) AS top FROM z""")
+def multi_element_stateful(spark, d):
+    def step(x, state):
+        state = [state[0] + sum(x), max(state[1], *x)]
+        return state, state
+
+    out = merge.zip_streams(merge.multi_element(kinds(spark, d), step, lambda: [0.0, float("-inf")], ["double", "double"]))
+    return out.select("seq", r4("v0").alias("total"), F.col("v1").alias("top"))
+
+
+@query(f"""WITH {H}, w AS (SELECT k, n // 2 AS w, sum(value) AS s, max(value) AS m FROM k GROUP BY 1, 2 HAVING count(*) = 2)
+SELECT a.w, round(a.s + b.m, 4) AS x, round(a.m + b.s, 4) AS y FROM w a JOIN w b ON a.w = b.w WHERE a.k = 0 AND b.k = 1""")
 def multi_window(spark, d):
-    a, b, _ = kinds(spark, d)
-    x = windows.window(a, 2, 2, F.sum("value").alias("s0"), F.max("value").alias("m0"))
-    y = windows.window(b, 2, 2, F.sum("value").alias("s1"), F.max("value").alias("m1"))
-    return x.join(y, "w").select("w", r4(F.col("s0") + F.col("m1")).alias("x"), r4(F.col("m0") + F.col("s1")).alias("y"))
+    out = merge.zip_streams(merge.multi_window(halves(spark, d), 2, 2, [F.sum, F.max], lambda s0, m0, s1, m1: [r4(s0 + m1), r4(m0 + s1)]))
+    return out.select(F.col("seq").alias("w"), F.col("v0").alias("x"), F.col("v1").alias("y"))
 
 
 @query("""SELECT event_id, e.user_id, c_name, n_name FROM events e LEFT JOIN customer ON c_custkey = e.user_id LEFT JOIN nation ON n_nationkey = c_nationkey""")
@@ -414,8 +581,44 @@ def call_streams(spark, d):
 
 @query("SELECT event_id, round(value + 1, 4) AS a, round(2 * value, 4) AS b FROM events")
 def split_element(spark, d):
-    v = F.col("value")
-    return split.split_columns(whole(spark, d), a=r4(v + 1), b=r4(2 * v))
+    out = merge.zip_streams(split.split_element(whole(spark, d), lambda v: [r4(v + 1), r4(2 * v)]))
+    return out.select(F.col("seq").alias("event_id"), F.col("v0").alias("a"), F.col("v1").alias("b"))
+
+
+@query("""SELECT 0 AS i, row_number() OVER (ORDER BY event_id) - 1 AS seq, value FROM events WHERE value > 60
+UNION ALL SELECT 1, row_number() OVER (ORDER BY event_id) - 1, value FROM events WHERE value < 40""")
+def split_element_some(spark, d):
+    """Outputs of which each has some elements only."""
+    a, b = split.split_element(whole(spark, d), lambda v: [F.when(v > 60, v), F.when(v < 40, v)])
+    return a.df.select(F.lit(0).alias("i"), F.col("event_id").alias("seq"), "value").unionAll(b.df.select(F.lit(1).alias("i"), F.col("event_id").alias("seq"), "value"))
+
+
+@query(f"""WITH {E}, r AS (SELECT user_id, n, value, round(sum(value) OVER w, 4) AS s, coalesce(max(value) OVER (PARTITION BY user_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1e9) AS m FROM e WINDOW w AS (PARTITION BY user_id ORDER BY n))
+SELECT user_id, 0 AS i, n AS seq, s AS value FROM r UNION ALL SELECT user_id, 1, row_number() OVER (PARTITION BY user_id ORDER BY n) - 1, value FROM r WHERE value > m""")
+def split_element_stateful(spark, d):
+    """Running sums, and the records."""
+
+    def step(x, state):
+        total, top = state
+        return [total + x, x if x > top else None], [total + x, max(x, top)]
+
+    a, b = split.split_element(events(spark, d), step, lambda: [0.0, -1e9], ["double", "double"])
+    return a.df.select("user_id", F.lit(0).alias("i"), "seq", r4("value").alias("value")).unionAll(b.df.select("user_id", F.lit(1).alias("i"), "seq", "value"))
+
+
+@query("SELECT event_id AS seq, user_id, value FROM events")
+def split_tuple(spark, d):
+    s = whole(spark, d)
+    s = s.like(s.df.select("event_id", F.struct("user_id", "value").alias("v")), "v")
+    return merge.zip_streams(split.split_tuple(s)).select("seq", F.col("v0").alias("user_id"), F.col("v1").alias("value"))
+
+
+@query("""SELECT CAST(epoch_us(date_trunc('day', ts)) AS BIGINT) AS batch, 0 AS i, count(*) AS value FROM events GROUP BY 1
+UNION ALL SELECT CAST(epoch_us(date_trunc('day', ts)) AS BIGINT), 1, count(DISTINCT user_id) FROM events GROUP BY 1""")
+def split_signal(spark, d):
+    batches = sinks.batch_reduce(whole(spark, d), F.date_trunc("day", "ts"), F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
+    a, b = split.split_signal(batches, F.col("n"), F.col("users"))
+    return a.select(micros("batch").alias("batch"), F.lit(0).alias("i"), "value").unionAll(b.select(micros("batch").alias("batch"), F.lit(1).alias("i"), "value"))
 
 
 @query("SELECT row_number() OVER (PARTITION BY user_id % 2 ORDER BY event_id) - 1 AS seq, CAST(user_id % 2 AS INTEGER) AS j, value FROM events")
@@ -487,6 +690,58 @@ def quenched_crossing(spark, d):
     return signal.quenched_crossings(events(spark, d), 60.0, 5).select("user_id", "seq", F.col("value").cast("long").alias("at"))
 
 
+@query(_recursive("value AS s", "e.value + 0.37 * r.s", "round(s, 4) AS value FROM r"))
+def smooth_and_add(spark, d):
+    return basics.smooth_and_add(events(spark, d), 0.37).select("user_id", "seq", r4("value").alias("value"))
+
+
+@query(_recursive("value AS s", "0.63 * r.s + 0.37 * e.value", "round(s, 4) AS value FROM r"))
+def seeded_smoothing(spark, d):
+    return basics.seeded_smoothing(events(spark, d), 0.37).select("user_id", "seq", r4("value").alias("value"))
+
+
+@query(_recursive("value AS h1, 0.0::DOUBLE AS h2, 0.0::DOUBLE AS h3", "e.value + 0.4 * r.h1 + 0.2 * r.h2 + 0.1 * r.h3, r.h1, r.h2", "round(h1, 4) AS value FROM r"))
+def multi_echo(spark, d):
+    """An echo after one element, and one of two attenuations after two."""
+    return basics.multi_echo(events(spark, d), [(1, [0.4]), (2, [0.2, 0.1])]).select("user_id", "seq", r4("value").alias("value"))
+
+
+_PICKS = f"""{E}, b AS (SELECT user_id, n // 2 AS w, avg(value) AS x, max(epoch_us(ts)) / 1e6 AS t FROM e GROUP BY 1, 2 HAVING count(*) = 2),
+m AS (SELECT user_id, w, t, CASE WHEN w < 1 THEN 0 ELSE x - avg(x) OVER (PARTITION BY user_id ORDER BY w ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) END AS v FROM b),
+p AS (SELECT user_id, t, v, row_number() OVER (PARTITION BY user_id ORDER BY w) AS i FROM m WHERE abs(v) > 8)"""
+
+
+@query(f"""WITH RECURSIVE {_PICKS}, r AS (SELECT user_id, i, t, v, t > 36000 AS keep, CASE WHEN t > 36000 THEN t ELSE 0 END AS last FROM p WHERE i = 1
+UNION ALL SELECT p.user_id, p.i, p.t, p.v, p.t > 36000 + r.last, CASE WHEN p.t > 36000 + r.last THEN p.t ELSE r.last END FROM r JOIN p ON p.user_id = r.user_id AND p.i = r.i + 1)
+SELECT user_id, CAST(round(t * 1e6, 0) AS BIGINT) AS t, round(v, 4) AS value FROM r WHERE keep""")
+def pick_orientation(spark, d):
+    """Blocks of two, less their running mean, over 8, ten hours apart."""
+    s = events(spark, d)
+    s = s.like(s.df.withColumn("t", micros("ts") / 1e6))
+    out = signal.pick_orientation(s, "t", threshold=8.0, pause=36000.0)
+    return out.df.select("user_id", F.round(F.col("value.t") * 1e6, 0).cast("long").alias("t"), r4("value.value").alias("value"))
+
+
+_READINGS = f"""{E}, b AS (SELECT user_id, n // 2 AS w, avg(value * 0.5) AS x, max(epoch_us(ts)) / 1e6 AS t FROM e GROUP BY 1, 2 HAVING count(*) = 2)"""
+
+
+@query(f"""WITH RECURSIVE {_READINGS}, r AS (SELECT user_id, w, x, t, t - 0 <= 1.7e9 + 7.2e4 AS keep, CASE WHEN t > 1.7e9 + 7.2e4 THEN t ELSE 0 END AS last FROM b WHERE w = 0
+UNION ALL SELECT b.user_id, b.w, b.x, b.t, b.t - r.last <= 1.7e9 + 7.2e4, CASE WHEN b.t - r.last > 1.7e9 + 7.2e4 THEN b.t ELSE r.last END FROM r JOIN b ON b.user_id = r.user_id AND b.w = r.w + 1)
+SELECT user_id, round(x, 4) AS x, CAST(round(t * 1e6, 0) AS BIGINT) AS t FROM r WHERE keep""")
+def sensor_reader(spark, d):
+    """Averaged readings, thinned by the clock."""
+    s = events(spark, d)
+    s = s.like(s.df.withColumns({"t": micros("ts") / 1e6, "x": F.col("value")}))
+    out = signal.sensor_reader(s, {"x": 0.5}, "t", 2, 1.7e9 + 7.2e4)
+    return out.df.select("user_id", r4("value.x").alias("x"), F.round(F.col("value.t") * 1e6, 0).cast("long").alias("t"))
+
+
+@query("SELECT seq, value FROM (SELECT event_id, value FROM events) JOIN (SELECT k AS seq, CAST(round_even(k * 1.5, 0) AS BIGINT) AS place FROM (SELECT unnest(generate_series(0, (SELECT max(event_id) FROM events))) AS k)) ON place = event_id")
+def speed(spark, d):
+    """One and a half times as fast."""
+    return signal.speed(whole(spark, d), 1.5).df.select("seq", "value")
+
+
 @query()
 def detect_anomaly(spark, d):
     """A state machine whose consumption jumps: no SQL; tested on a fixture."""
@@ -547,7 +802,7 @@ def polynomial(spark, d):
     return whole(spark, d).map(lambda v: r4(signal.polynomial(v, [2, -3, 1]))).df.select("event_id", "value")
 
 
-@query(f"WITH {K} SELECT a.n AS seq, round(sqrt(a.value * a.value + b.value * b.value + c.value * c.value), 4) AS value FROM k a JOIN k b ON a.n = b.n AND b.k = 1 JOIN k c ON a.n = c.n AND c.k = 2 WHERE a.k = 0")
+@query(f"WITH {K} SELECT n AS seq, round(sqrt(sum(value * value)), 4) AS value FROM k GROUP BY n {WHOLE}")
 def magnitude(spark, d):
     return merge.zip_map(kinds(spark, d), lambda *v: r4(signal.magnitude(*v))).df
 
@@ -585,12 +840,12 @@ def k_sigma(spark, d):
 
 
 @query(f"""WITH {K}, w AS (SELECT k, n // 10 AS w, bool_or(value > 60) AS a, count(*) AS c FROM k GROUP BY 1, 2)
-SELECT w, count(*) FILTER (a) > 1 AS anomaly FROM w WHERE c = 10 GROUP BY w HAVING count(*) = 3""")
+SELECT w, count(*) FILTER (a) > 1 AS anomaly FROM w WHERE c = 10 GROUP BY w {WHOLE}""")
 def regional_anomaly(spark, d):
-    """Windows in which more than one of three streams has an anomaly."""
+    """Windows in which more than one of the streams has an anomaly."""
     streams = [s.map(lambda v: v > 60) for s in kinds(spark, d)]
     out = merge.merge_window(streams, 10, 10, F.bool_or)
-    return out.select("w", (sum(F.col(f"v{i}").cast("int") for i in range(3)) > 1).alias("anomaly"))
+    return out.select("w", (sum(F.col(f"v{i}").cast("int") for i in range(len(streams))) > 1).alias("anomaly"))
 
 
 @query(f"""WITH {E}, w AS (SELECT user_id, n // 4 AS w, avg(value) AS m, count(*) AS c FROM e GROUP BY 1, 2), g AS (SELECT user_id, w, m, greatest(0, max(m) OVER (PARTITION BY user_id ORDER BY w)) - m AS g FROM w WHERE c = 4)
@@ -604,24 +859,44 @@ def decimate(spark, d):
     return signal.decimate(whole(spark, d), 10).select("w", r4("value").alias("value"))
 
 
-@query("SELECT event_id AS seq, round(3 * sin(2 * pi() * event_id / 50), 4) + 0.0 AS value FROM events")
-def sine_wave(spark, d):
-    n = table(spark, d, "events").count()
-    return signal.wave(spark, "sine", 1.0, 3.0, 50.0, n).df.select("seq", (r4("value") + 0.0).alias("value"))
+@query("""SELECT i AS seq, round(3 * sin(2 * pi() * i / 50), 4) + 0.0 AS sine, round(3 * cos(2 * pi() * i / 50), 4) + 0.0 AS cosine,
+CAST(CASE WHEN sin(2 * pi() * (i + 0.5) / 50) >= 0 THEN 3 ELSE -3 END AS DOUBLE) AS square FROM generate_series(0, 9999) g(i)""")
+def waves(spark, d):
+    """Ten thousand samples of each wave; the square wave half a sample on."""
+    a, b = (signal.wave(spark, kind, 1.0, 3.0, 50.0, 10_000) for kind in ("sine", "cosine"))
+    c = signal.wave(spark, "square", 1.0, 3.0, 50.0, 10_000, 0.5)
+    return merge.zip_streams([a, b, c]).select("seq", (r4("v0") + 0.0).alias("sine"), (r4("v1") + 0.0).alias("cosine"), F.col("v2").alias("square"))
 
 
-@query(f"WITH {K} SELECT a.n AS seq, list_sort([a.value, b.value, c.value])[2] AS value FROM k a JOIN k b ON a.n = b.n AND b.k = 1 JOIN k c ON a.n = c.n AND c.k = 2 WHERE a.k = 0")
+@query(f"WITH {K} SELECT n AS seq, list_sort(list(value))[(count(*) + 1) // 2] AS value FROM k GROUP BY n {WHOLE}")
 def median_streams(spark, d):
-    return merge.zip_map(kinds(spark, d), lambda *v: F.array_sort(F.array(*v))[1]).df
+    return merge.zip_map(kinds(spark, d), lambda *v: F.array_sort(F.array(*v))[(len(v) - 1) // 2]).df
 
 
-@query("SELECT a.vec_id AS seq, list_transform(list_zip(a.embedding, b.embedding), lambda x: round(CAST(x[1] AS DOUBLE) + CAST(x[2] AS DOUBLE), 4)) AS value FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
-def array_add(spark, d):
-    """Vectors plus the next ones."""
+def _next_vectors(spark, d) -> list[OrderedStream]:
+    """Vectors, and those after them."""
     base = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    a = OrderedStream(base, "embedding", "vec_id")
-    b = OrderedStream(base.select((F.col("vec_id") - 1).alias("vec_id"), "embedding"), "embedding", "vec_id")
-    return merge.zip_map([a, b], lambda x, y: F.transform(basics.to_array_sum(x, y), lambda v: F.round(v, 4))).df
+    return [OrderedStream(base, "embedding", "vec_id"), OrderedStream(base.select((F.col("vec_id") - 1).alias("vec_id"), "embedding"), "embedding", "vec_id")]
+
+
+def _vectors(f: str) -> str:
+    """Sums, differences and products of two single-precision numbers are exact in double precision."""
+    return f"SELECT a.vec_id AS seq, list_transform(list_zip(a.embedding, b.embedding), lambda x: CAST(x[1] AS DOUBLE) {f} CAST(x[2] AS DOUBLE)) AS value FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"
+
+
+@query(_vectors("+"))
+def array_add(spark, d):
+    return merge.zip_map(_next_vectors(spark, d), basics.to_array_sum).df
+
+
+@query(_vectors("-"))
+def array_subtract(spark, d):
+    return merge.zip_map(_next_vectors(spark, d), basics.to_array_difference).df
+
+
+@query(_vectors("*"))
+def array_multiply(spark, d):
+    return merge.zip_map(_next_vectors(spark, d), basics.to_array_product).df
 
 
 @query("""WITH v AS (SELECT vec_id, i, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, generate_series(1, 64) g(i))
@@ -658,6 +933,18 @@ def count_protocol(spark, d):
     return sketches.counts(_commands(spark, d))
 
 
+@query(f"WITH {_COMMANDS} SELECT seq, key, EXISTS (SELECT 1 FROM c a WHERE a.cmd = 'add' AND a.key = c.key AND a.seq < c.seq) AS found FROM c WHERE cmd = 'check'")
+def bloom_filter(spark, d):
+    """By a Bloom filter, large enough to be exact for these keys."""
+    return sketches.approximate_members(_commands(spark, d), 24)
+
+
+@query(f"WITH {_COMMANDS}, r AS (SELECT *, count(*) FILTER (cmd = 'add') OVER (PARTITION BY key ORDER BY seq) AS n FROM c) SELECT seq, key, n FROM r WHERE cmd = 'check'")
+def count_min_sketch(spark, d):
+    """By a count-min sketch, large enough to be exact for these keys."""
+    return sketches.approximate_counts(_commands(spark, d), 20)
+
+
 @query("SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 0.0001 * (SELECT count(*) FROM lineitem)")
 def heavy_hitters(spark, d):
     return sketches.heavy_hitters(table(spark, d, "lineitem"), "l_suppkey", 0.0001)
@@ -728,3 +1015,88 @@ def shortest_paths(spark, d):
     n = F.col("n_nationkey").cast("long")
     legs = table(spark, d, "nation").select(n.alias("i"), ((n * 7 + 3) % 25).alias("j"), (n % 5 + 1).alias("d"))
     return graph.shortest_paths(legs)
+
+
+_MESSAGES = """m AS (SELECT event_id, user_id, CASE WHEN event_id % 3 = 0 THEN user_id END AS followers, CASE WHEN event_id % 5 = 0 THEN event_id END AS retweets FROM events)"""
+
+
+@query(f"WITH {_MESSAGES} SELECT event_id AS seq, event_type AS text, coalesce(followers, 0) AS followers, coalesce(retweets, 0) AS retweets FROM m JOIN events USING (event_id)")
+def judged_messages(spark, d):
+    """Followers, retweets and clean text of JSON messages."""
+    user = F.when(F.col("event_id") % 3 == 0, F.struct(F.col("user_id").alias("followers_count")))
+    passed = F.when(F.col("event_id") % 5 == 0, F.struct(F.col("event_id").alias("retweet_count")))
+    words = F.concat(F.lit("RT "), F.col("event_type"), F.lit(" http://a.b/c"))
+    rows = table(spark, d, "events").select(F.col("event_id").alias("seq"), F.to_json(F.struct(words.alias("text"), user.alias("user"), passed.alias("retweeted_status"))).alias("value"))
+    return text.judged_messages(rows, ["click"], ["error"]).select("seq", "text", "followers", "retweets")
+
+
+@query("""WITH c AS (SELECT ts, user_id % 10 AS g, event_id AS c FROM events WHERE event_type = 'click'), x AS (SELECT event_id, user_id % 10 AS g, ts FROM events WHERE event_type <> 'click')
+SELECT event_id, c FROM x ASOF LEFT JOIN (SELECT g, ts, max(c) AS c FROM c GROUP BY g, ts) c ON x.g = c.g AND x.ts >= c.ts""")
+def as_of(spark, d):
+    """Each event with the last click before it in its group."""
+    rows = table(spark, d, "events").withColumn("g", F.col("user_id") % 10)
+    clicks = rows.filter("event_type = 'click'").groupBy("g", "ts").agg(F.max("event_id").alias("c"))
+    s = OrderedStream(rows.filter("event_type <> 'click'"), seq="event_id", keys=["g"])
+    return merge.as_of(s, clicks, ["c"]).select("event_id", "c")
+
+
+@query(f"WITH {E} SELECT user_id, n AS seq, value FROM e WHERE n < 3")
+def first_n(spark, d):
+    return basics.first_n(events(spark, d), 3).select("user_id", "seq", "value")
+
+
+@query(f"WITH {K} SELECT n AS seq, list(value ORDER BY k) AS value FROM k GROUP BY n {WHOLE}")
+def append_items(spark, d):
+    return basics.append_items(kinds(spark, d)).df
+
+
+@query("SELECT event_id, value FROM events")
+def copy_stream(spark, d):
+    return whole(spark, d).copy().df.select("event_id", "value")
+
+
+@query("SELECT row_number() OVER (ORDER BY event_id) - 1 AS seq, CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) AS value FROM events")
+def stream_to_file(spark, d):
+    """Written as lines, and read again in order."""
+    path = _folder(spark)
+    files.to_text(whole(spark, d).map(lambda v: F.floor(v)), path)
+    return files.text_lines(spark, path).df.select("seq", "value")
+
+
+@query("SELECT event_id, value FROM events")
+def stream_to_json(spark, d):
+    """Written as JSON lines, made CSV, and read again."""
+    path = _folder(spark)
+    s = whole(spark, d)
+    files.to_json(s.like(s.df.select("event_id", "value")), f"{path}/json")
+    files.json_to_csv(spark, f"{path}/json", f"{path}/csv", "event_id long, value double")
+    return spark.read.schema("event_id long, value double").option("header", True).csv(f"{path}/csv")
+
+
+def _folder(spark) -> str:
+    """A new folder that goes when the application ends."""
+    import uuid
+
+    from ..core import delete_at_end, shared_dir
+
+    path = f"{shared_dir(spark)}/streamloom/files-{uuid.uuid4().hex}"
+    delete_at_end(spark, path)
+    return path
+
+
+def _program():
+    """A network: a source is scaled, then split into what is over and under 100, which are counted by another process."""
+    from ..runtime import Network, Process
+
+    net = Network().source("values", "d")
+    net.add(Process("scale", {"x": "d"}, {"y": "d"}, lambda i: {"y": i["x"].map(basics.multiply, 2)}))
+    net.add(Process("split", {"x": "d"}, {"high": "d", "low": "d"}, lambda i: dict(zip(["high", "low"], split.split_element(i["x"], lambda v: [F.when(v > 100, v), F.when(v <= 100, v)]), strict=True))))
+    net.add(Process("join", {"a": "d", "b": "d"}, {"sum": "d"}, lambda i: {"sum": i["a"] + i["b"]}))
+    return net.connect("values", "values", "scale", "x").connect("scale", "y", "split", "x").connect("split", "high", "join", "a").connect("split", "low", "join", "b")
+
+
+@query("""WITH y AS (SELECT event_id, value * 2 AS v FROM events), a AS (SELECT v, row_number() OVER (ORDER BY event_id) - 1 AS n FROM y WHERE v > 100),
+b AS (SELECT v, row_number() OVER (ORDER BY event_id) - 1 AS n FROM y WHERE v <= 100) SELECT a.n AS seq, round(a.v + b.v, 4) AS value FROM a JOIN b ON a.n = b.n""")
+def network(spark, d):
+    rows = table(spark, d, "events").select(F.col("event_id").alias("seq"), "value")
+    return _program().run({"values": OrderedStream(rows)})["join"]["sum"].df.select("seq", r4("value").alias("value"))
