@@ -396,7 +396,7 @@ def stretch(stream: OrderedStream, factor: float, size: int, hop: int, chunk: in
         zero = c * per - first
         phase += np.asarray(right["__phase"].iloc[0]) - (phase[zero - 1] if zero else 0)
         made = np.fft.irfft(np.abs(spectrum) * np.exp(1j * phase), size, axis=1) * window_ / weight
-        out = np.zeros((len(k) + lap) * hop)
+        out = np.zeros((len(k) + lap - 1) * hop)
         for j in range(lap):
             out[j * hop : (j + len(k)) * hop] += made[:, j * hop : (j + 1) * hop].ravel()
         seq = np.arange(len(out)) + first * hop
@@ -415,7 +415,7 @@ def speed(stream: OrderedStream, factor: float) -> OrderedStream:
     """The stream played factor times as fast: output k is the input at k * factor, rounded to the nearest even
     where it is between two; each sample finds its outputs, so nothing is gathered."""
     n, f = stream.n, F.lit(float(factor))
-    low, high = F.ceil((n - 0.5) / f), F.floor((n + 0.5) / f)
+    low, high = F.floor((n - 0.5) / f), F.ceil((n + 0.5) / f)  # with a margin for rounding
     outs = F.filter(F.sequence(F.greatest(low, F.lit(0)).cast("long"), F.greatest(high, F.lit(0)).cast("long")), lambda k: F.bround(k * f, 0) == n)
     rows = stream.df.select(*stream.keys, F.explode(outs).alias("seq"), stream.v.alias("value"))
     return OrderedStream(rows, keys=stream.keys)

@@ -155,7 +155,10 @@ def subscribe(spark: SparkSession, folder: str, schema: str | None = None) -> Da
     """name and value of a topic's messages as a stream; schema parses the values, JSON, into that type."""
     spark.dataSource.register(QueueSource)
     rows = spark.readStream.format("queue").option("path", folder).load()
-    return rows if schema is None else rows.withColumn("value", F.from_json("value", schema))
+    if schema is None:
+        return rows
+    whole = F.from_json(F.concat(F.lit('{"v":'), F.col("value"), F.lit("}")), f"v {schema}")  # a type may be a plain one
+    return rows.withColumn("value", whole["v"])
 
 
 def func_to_queue(f: Callable, folder: str, name: str, steps: int, state=None) -> None:

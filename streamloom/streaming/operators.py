@@ -175,8 +175,8 @@ def timed_mix(streams: Sequence[DataFrame], time: str = "t", kind: str = "double
                 out.append((t, i, v))
         return out, {"top": top}
 
-    rows = _tagged([s.withColumn("__t", F.col(time).cast("double")) for s in streams], "__t", "value")
-    return _sliced(rows, run, lambda: {"top": None}, ["i", "seq", "__t", "value"], ["i", "seq"], f"t double, i int, value {kind}")
+    rows = _tagged([s.withColumn("at_time", F.col(time).cast("double")) for s in streams], "at_time", "value")
+    return _sliced(rows, run, lambda: {"top": None}, ["i", "seq", "at_time", "value"], ["i", "seq"], f"t double, i int, value {kind}")
 
 
 # windows
@@ -258,8 +258,8 @@ def flag_late(rows: DataFrame, delay_seconds: float, time: str = "ts", kind: str
         out = [(n, t, v, top is not None and t < top - delay_seconds) for n, t, v in batch]
         return out, {"top": max([t for _, t, _ in batch] + ([] if top is None else [top]))}
 
-    known = rows.withColumn("__t", F.col(time).cast("double"))
-    return _sliced(known, run, lambda: {"top": None}, ["seq", "__t", "value"], ["seq"], f"seq long, t double, value {kind}, late boolean")
+    known = rows.withColumn("at_time", F.col(time).cast("double"))
+    return _sliced(known, run, lambda: {"top": None}, ["seq", "at_time", "value"], ["seq"], f"seq long, t double, value {kind}, late boolean")
 
 
 # several outputs
