@@ -27,7 +27,7 @@ SHARD = 1 << 20
 #: Occurrences that make a pair frequent.
 LEAST = 6
 #: Pairs are counted by this many slots (a power of two).
-SLOT_BITS = 20
+SLOT_BITS = 18
 END_ID = 2
 
 FORMAT = "part int, shard int, nulls long, doc_ids binary, ends binary, n_ids long, base int, rules binary, lengths binary, wide boolean, symbols binary"
@@ -38,37 +38,47 @@ def compress(ids: np.ndarray, base: int, least: int = LEAST) -> tuple[np.ndarray
 
     A round counts the pairs of neighbours and replaces, from the left, all that occur least times and
     more.  Pairs are counted by the slots of a hash table, a pair for each; those that share a slot wait
-    for another round, whose hash differs.  The end is when two rounds in turn find no frequent pair.
+    for another round, whose hash differs.  A pair that was counted and is rare stays so, and is passed over
+    until a neighbour is replaced.  The end is when two rounds in turn find no frequent pair.
     """
     bits = min(SLOT_BITS, max(4, int(len(ids)).bit_length()))
     rules, now, made, idle, turn = [], ids.astype(np.uint64), 0, 0, 0
-    table, index = np.zeros(1 << bits, np.int32), np.arange(len(ids), dtype=np.int32)
+    table, number = np.zeros(1 << bits, np.int32), np.zeros(1 << bits, np.uint32)
+    open_ = np.ones(len(ids), bool)  # whether the pair that begins here may be frequent
+    open_[-1:] = False
     while idle < 2 and len(now) >= 2:
         turn += 1
         odd = np.uint64((0x9E3779B97F4A7C15 * (2 * turn + 1)) & (2**64 - 1))
-        pairs = now[:-1] << np.uint64(32) | now[1:]
+        where = np.flatnonzero(open_)
+        pairs = now[where] << np.uint64(32) | now[where + 1]
         slot = (pairs * odd >> np.uint64(64 - bits)).astype(np.int32)
-        table[slot] = index[: len(slot)]  # of several pairs in a slot, the last stands for it
-        hit = pairs[table[slot]] == pairs
-        often = np.bincount(slot[hit], minlength=1 << bits) >= least
-        at = np.flatnonzero(hit & often[slot])
-        if not len(at):
+        table[slot] = np.arange(len(slot), dtype=np.int32)  # of several pairs in a slot, the last stands for it
+        hit = np.flatnonzero(pairs[table[slot]] == pairs)
+        own = slot[hit]
+        often = (np.bincount(own, minlength=1 << bits) >= least)[own]
+        open_[where[hit[~often]]] = False
+        hit = hit[often]
+        if not len(hit):
             idle += 1
             continue
         idle = 0
+        at = where[hit]
         begins = np.flatnonzero(np.diff(at, prepend=-2) != 1)
         within = np.arange(len(at)) - np.repeat(begins, np.diff(begins, append=len(at)))
-        at = at[within % 2 == 0]  # every other one of a run of overlapping pairs
-        used = np.flatnonzero(np.bincount(slot[at], minlength=1 << bits))
+        hit = hit[within % 2 == 0]  # every other one of a run of overlapping pairs
+        at, own = where[hit], slot[hit]
+        used = np.flatnonzero(np.bincount(own, minlength=1 << bits))
         kinds = pairs[table[used]]
         rules.append(np.stack([kinds >> np.uint64(32), kinds & np.uint64(0xFFFFFFFF)], axis=1))
-        number = np.zeros(1 << bits, np.int64)
-        number[used] = base + made + np.arange(len(used))
-        now[at] = number[slot[at]].astype(np.uint64)
+        number[used] = np.arange(base + made, base + made + len(used), dtype=np.uint32)
+        now[at] = number[own]
         made += len(used)
+        open_[at] = True
+        open_[np.maximum(at - 1, 0)] = True
         keep = np.ones(len(now), bool)
         keep[at + 1] = False
-        now = now[keep]
+        now, open_ = now[keep], open_[keep]
+        open_[-1:] = False
     return (np.concatenate(rules) if rules else np.empty((0, 2), np.uint64)).astype(np.uint32), now.astype(np.uint32)
 
 
@@ -141,6 +151,7 @@ def decode_range(row: dict, start: int, stop: int) -> np.ndarray:
 
 #: Characters below it are told apart by kind; a unit with another one is encoded whole.
 LATIN = 0x250
+LIMIT = chr(LATIN)
 # White space beyond them.
 WIDE_SPACES = np.array([0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
 VISIBLE, LETTER, NUMBER, WHITE, BEYOND = range(5)
@@ -183,7 +194,8 @@ class Encoder:
         self.odd[[ord("'"), LATIN]] = True
         for t in spec.get("added_tokens", []):
             self.odd[min(LATIN, ord(t["content"][0]))] = True
-        letters = {c: 1 for c in _byte_letters()}
+        self.model, self.table = self.tokenizer.model, dict(enumerate(_byte_letters()))
+        letters = dict.fromkeys(_byte_letters(), 1)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.bytes = np.zeros(1 + max(vocabulary.values()), np.int64)
         added = {t["content"] for t in spec.get("added_tokens", [])}
@@ -218,13 +230,35 @@ class Encoder:
         return units, safe
 
     def _make(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of units and how many each has; where one ends in the ids of all is told by their bytes."""
+        """The ids of units, and how many each has."""
         if not self.cuts:
             ids = [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
             return np.asarray([i for x in ids for i in x], np.uint32), np.asarray([len(x) for x in ids], np.int64)
+        # A word of letters is one piece: the library's model alone gives its ids, in half the time.
+        tokenize, table = self.model.tokenize, self.table
+        sizes, word_ids, others = np.zeros(len(units), np.int64), [], []
+        for i, u in enumerate(units):
+            if (u[1:] if u[0] == " " else u).isalpha() and (u.isascii() or max(u) < LIMIT):
+                found = [t.id for t in tokenize(u.encode().decode("latin-1").translate(table))]
+                word_ids += found
+                sizes[i] = len(found)
+            else:
+                others.append(i)
+        ids = np.asarray(word_ids, np.uint32)
+        if not others:
+            return ids, sizes
+        more, lengths = self._pieces([units[i] for i in others])
+        words = sizes > 0
+        sizes[others] = lengths
+        starts = np.empty(len(units), np.int64)
+        starts[words] = np.cumsum(sizes[words]) - sizes[words]
+        starts[others] = len(ids) + np.cumsum(lengths) - lengths
+        return gathered(np.concatenate((ids, more)), starts, sizes), sizes
+
+    def _pieces(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of units by the whole tokenizer; where one ends in the ids of all is told by their bytes."""
         ids = np.asarray(self.tokenizer.encode_batch_fast([units], is_pretokenized=True, add_special_tokens=False)[0].ids, np.uint32)
-        lengths = [len(u) if u.isascii() else len(u.encode()) for u in units]
-        at = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum(lengths), side="left") + 1
+        at = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum([len(u.encode()) for u in units]), side="left") + 1
         if at[-1] != len(ids):
             raise ValueError("a token of unknown length")
         return ids, np.diff(at, prepend=0)

@@ -36,7 +36,7 @@ class UnitCoder:
     """
 
     #: Places of the table, as a power of two, and ids that are kept before those of replaced units go.
-    BITS, KEEP = 19, 1 << 22
+    BITS, KEEP = 20, 1 << 22
 
     def __init__(self, starts: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], make: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
         self.starts, self.make = starts, make
