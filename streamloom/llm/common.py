@@ -32,11 +32,18 @@ def written(df: DataFrame, name: str, **options) -> DataFrame:
     return back
 
 
-def forget(df: DataFrame) -> None:
-    """Delete the files of a table from written() that nothing reads any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.streamloom_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def forget(*tables: DataFrame) -> None:
+    """Delete the files of tables from written() that nothing reads any more.
+
+    The shuffle files of the jobs that made them go with the driver's next collection of garbage, which is
+    asked for here: else they stay until its heap happens to be full.
+    """
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.streamloom_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        spark._jvm.System.gc()
 
 
 def give_back() -> None:

@@ -32,12 +32,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Minima come from partial aggregates and the joins are ordinary equi-joins, so a node with very many
     edges is split by adaptive skew handling.  Each round is written to the shared folder; nothing but a
-    node reaches the driver.  Empty input gives an empty result; null ends are ignored.
+    node reaches the driver.  Empty input gives an empty result; null ends are ignored.  forget() may be
+    told of the result.
     """
     now = edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).filter(f"{a} <> {b}").distinct()
-    now = written(now, "cc")
+    now = written(now, "components")
     while _unsettled(now).take(1):
-        new = written(_small_star(_large_star(now)), "cc")
+        new = written(_small_star(_large_star(now)), "components")
         forget(now)
         now = new
-    return now.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    out = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    out.streamloom_path = now.streamloom_path
+    return out

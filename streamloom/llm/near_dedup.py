@@ -25,7 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import WordHasher, arrow_text, distinct_by, give_back, mix, shingles, slices, written
+from .common import WordHasher, arrow_text, distinct_by, forget, give_back, mix, shingles, slices, written
 from .components import connected_components
 
 SAMPLES, ROWS, BITS = 160, 5, 512
@@ -205,18 +205,30 @@ def _judged(docs: DataFrame, words: int, percent: int) -> DataFrame:
     members = buckets.select("rep").distinct()
     sets = _member_sets(docs, reps.join(members, "rep", "left_semi").select("rep", "doc_id", "t1", "t2"), words)
     links = written(_confirm(near, sets, percent), "links")
+    forget(near)
     components = connected_components(links)
     named = written(_named(members, components), "named")
-    crossing, full = _crossing(buckets, named)
-    close = written(_close_components(written(crossing, "crossing"), named, links, sets, percent), "close")
-    small, large = _near_components(close, named, sketches, sets, most, percent)
-    new = written(_confirm(written(small.distinct(), "near"), sets, percent).unionAll(large), "links")
+    pairs, full, used = _crossing(buckets, named)
+    crossing = written(pairs, "crossing")
+    forget(buckets, *used)
+    close = written(_close_components(crossing, named, links, sets, percent), "close")
+    forget(crossing, links)
+    small, large, wanted = _near_components(close, named, sketches, sets, most, percent)
+    near = written(small.distinct(), "near")
+    new = written(_confirm(near, sets, percent).unionAll(large), "links")
+    forget(near, close, named, wanted)
     stars = lambda c: c.select(F.col("id").alias("a"), F.col("component").alias("b"))
     if new.take(1):
-        components = connected_components(stars(components).unionAll(new))
+        merged = connected_components(stars(components).unionAll(new))
+        forget(components)
+        components = merged
+    forget(new)
     if full.take(1):
         new = written(_full_buckets(full, components, reps, sets, most, percent), "links")
-        components = connected_components(stars(components).unionAll(new))
+        merged = connected_components(stars(components).unionAll(new))
+        forget(components, new)
+        components = merged
+    forget(full, sets)
     of_rep = _smallest(reps.select("set_key", "rep", "least"), components)
     out = signed.select("doc_id", "t1", "t2", "row", "n_shingles", "set_key").join(of_rep, "set_key", "left")
     component = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("smallest"))
@@ -230,7 +242,9 @@ def _member_sets(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
     same = rows["doc_id"].eqNullSafe(members["doc_id"]) & (rows["t1"] == members["t1"]) & (rows["t2"] == members["t2"])
     sets = written(shingle_sets(rows.join(members, same).select(members["rep"].alias("id"), rows["text"].alias("text")), words), "shingles")
     if sets.count() > members.count():
-        sets = written(sets.dropDuplicates(["id"]), "shingles")
+        distinct = written(sets.dropDuplicates(["id"]), "shingles")
+        forget(sets)
+        sets = distinct
     return sets
 
 
@@ -255,16 +269,17 @@ def _near_pairs(pairs: DataFrame, sketches: DataFrame, most: int) -> DataFrame:
     return pairs.join(side("b"), "b").join(side("a"), "a").filter(_bits() <= most).select("a", "b")
 
 
-def _crossing(buckets: DataFrame, named: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(ca, cb): the pairs of components that share a bucket of at most CENTRES components; and (h, band, rep)
-    of all fuller buckets, which hold unlike documents that share a common passage."""
+def _crossing(buckets: DataFrame, named: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(ca, cb): the pairs of components that share a bucket of at most CENTRES components; (h, band, rep)
+    of all fuller buckets, which hold unlike documents that share a common passage; and the tables that the
+    pairs are made from."""
     rows = written(buckets.join(named, "rep").select("h", "band", "rep", "component"), "mixed")
     each = rows.select("h", "component").distinct()
     sizes = written(each.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1"), "sizes")
     few = each.join(sizes.filter(F.col("k") <= CENTRES).select("h"), "h")
     pairs = few.withColumnRenamed("component", "ca").join(few.withColumnRenamed("component", "cb"), "h").filter("ca < cb").select("ca", "cb")
     full = rows.join(sizes.filter(F.col("k") > CENTRES).select("h"), "h").select("h", "band", "rep")
-    return pairs.distinct(), written(full, "full")
+    return pairs.distinct(), written(full, "full"), [rows, sizes]
 
 
 def _full_buckets(full: DataFrame, components: DataFrame, reps: DataFrame, sets: DataFrame, most: int, percent: int) -> DataFrame:
@@ -371,9 +386,9 @@ def _close_components(crossing: DataFrame, named: DataFrame, links: DataFrame, s
     return kept.unionAll(pairs.filter("need <= 0").select("ca", "cb"))
 
 
-def _near_components(crossing: DataFrame, named: DataFrame, sketches: DataFrame, sets: DataFrame, most: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def _near_components(crossing: DataFrame, named: DataFrame, sketches: DataFrame, sets: DataFrame, most: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(a, b) of the component pairs (ca, cb): members of small components with near sketches, yet to be
-    confirmed; and links between larger ones.
+    confirmed; and links between larger ones; and the table that both are made from.
 
     Pairs of small components are joined, sketches only.  Otherwise the larger component meets the members
     of all its partners, with their sets, in blocks of about BLOCK x BLOCK; a block gives one link at most
@@ -384,7 +399,7 @@ def _near_components(crossing: DataFrame, named: DataFrame, sketches: DataFrame,
     member = named.join(sizes, "component").join(sketches, "rep")
     member = member.select("component", F.col("rep").alias("id"), "sketch", F.expr("cast(pmod(xxhash64(rep), blocks) as int)").alias("block"))
     a, b = (sizes.select(F.col("component").alias(c), F.col("blocks").alias(f"n{c}"), F.col("n").alias(f"m{c}")) for c in ("ca", "cb"))
-    wanted = written(crossing.join(a, "ca").join(b, "cb"), "wanted")
+    whole_pairs = wanted = written(crossing.join(a, "ca").join(b, "cb"), "wanted")
     small = F.col("mca") * F.col("mcb") <= SMALL
     side = lambda c, x: member.select(F.col("component").alias(c), F.col("id").alias(x), F.col("sketch").alias(f"s{x}"))
     joined = wanted.filter(small).join(side("ca", "a"), "ca").join(side("cb", "b"), "cb").filter(_bits() <= most).select("a", "b")
@@ -400,4 +415,4 @@ def _near_components(crossing: DataFrame, named: DataFrame, sketches: DataFrame,
     def across(group: pd.DataFrame) -> pd.DataFrame:
         return _across(group, most, percent)
 
-    return joined, left.unionAll(right).groupBy("big", "row", "column").applyInPandas(across, "a long, b long")
+    return joined, left.unionAll(right).groupBy("big", "row", "column").applyInPandas(across, "a long, b long"), whole_pairs
