@@ -174,6 +174,13 @@ def timed_window(df: DataFrame, duration: str, step: str, *aggregates: Column, t
     return out.drop("__w", "__last")
 
 
+def session_window(df: DataFrame, gap: str, *aggregates: Column, time: str = "ts", keys: Iterable[str] = ()) -> DataFrame:
+    """keys, start, end and aggregates of sessions: runs of a key's elements less than gap apart; end is the
+    last element's time plus the gap.  Not a refractory filter: for that see functions.signal.quench."""
+    out = df.groupBy(*keys, F.session_window(time, gap).alias("__s")).agg(*aggregates)
+    return out.withColumns({"start": F.col("__s.start"), "end": F.col("__s.end")}).drop("__s")
+
+
 def window_python(stream: OrderedStream, size: int, step: int, f: Callable[[np.ndarray], object], kind: str, bucket: int = 1 << 16) -> DataFrame:
     """keys, w, value = f(window) for a Python function of an array, e.g. a long FIR filter or an FFT.
 

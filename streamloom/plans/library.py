@@ -380,6 +380,15 @@ def timed_window_origin(spark, d):
     return _timed_frame(windows.timed_window(table(spark, d, "events"), "12 hours", "5 hours", F.count("*").alias("n"), r4(F.sum("value")).alias("total"), keys=["event_type"], origin="2024-01-02 01:30:00"))
 
 
+@query("""WITH g AS (SELECT *, coalesce(ts - lag(ts) OVER w >= INTERVAL '6 hours', true) AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g)
+SELECT user_id, CAST(epoch_us(min(ts)) AS BIGINT) AS start, CAST(epoch_us(max(ts) + INTERVAL '6 hours') AS BIGINT) AS stop, count(*) AS n FROM s GROUP BY user_id, s""")
+def session_window(spark, d):
+    """Users' sessions with gaps of less than six hours."""
+    out = windows.session_window(table(spark, d, "events"), "6 hours", F.count("*").alias("n"), keys=["user_id"])
+    return out.select("user_id", micros("start").alias("start"), micros("end").alias("stop"), "n")
+
+
 # several inputs
 
 
