@@ -156,18 +156,23 @@ def timed_window(df: DataFrame, duration: str, step: str, *aggregates: Column, t
     keys = list(keys)
     end = df.groupBy(*keys).agg(F.max(time).alias("__last")) if closed_by == "key" and keys else df.agg(F.max(time).alias("__last"))
     offset, kind = "0 seconds", df.schema[time].dataType.simpleString()
+    micros = lambda x: F.expr(f"unix_micros(timestamp_micros(0) + interval '{x}')")
+    length, width = df.sparkSession.range(1).select(micros(duration), micros(step)).first()
     start = F.lit(origin).cast(kind)  # df's own kind of timestamp, with or without zone
     if origin:
         # The window function wants an offset within a step.
         at = F.unix_micros(start) if kind == "timestamp" else F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz '1970-01-01 00:00:00', timestamp_ntz '{origin}')")
-        at, width = df.sparkSession.range(1).select(at, F.expr(f"unix_micros(timestamp_micros(0) + interval '{step}')")).first()
-        offset = f"{at % width} microseconds"
+        offset = f"{df.sparkSession.range(1).select(at).first()[0] % width} microseconds"
     rows = df.filter(F.col(time) >= start) if origin else df
-    out = rows.groupBy(*keys, F.window(time, duration, step, offset).alias("__w")).agg(*aggregates)
+    if width > length:  # gaps between windows: steps that don't overlap, and what lies in the gaps goes
+        rows = rows.withColumn("__w", F.window(time, step, step, offset)).filter(F.col(time) < F.col("__w.start") + F.expr(f"interval '{duration}'"))
+        out = rows.groupBy(*keys, "__w").agg(*aggregates)
+    else:
+        out = rows.groupBy(*keys, F.window(time, duration, step, offset).alias("__w")).agg(*aggregates)
     if origin:
         out = out.filter(F.col("__w.start") >= start)
     out = out.join(end, keys) if closed_by == "key" and keys else out.crossJoin(F.broadcast(end))  # one row
-    out = out.filter(F.col("__w.end") <= F.col("__last")).withColumns({"start": F.col("__w.start"), "end": F.col("__w.end")})
+    out = out.withColumns({"start": F.col("__w.start"), "end": F.col("__w.start") + F.expr(f"interval '{duration}'")}).filter(F.col("end") <= F.col("__last"))
     names = [c for c in out.columns if c not in (*keys, "__w", "__last", "start", "end")]
     if names:
         out = out.filter(~F.expr(" and ".join(f"`{c}` is null" for c in names)))

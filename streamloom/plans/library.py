@@ -535,7 +535,7 @@ def timed_unzip(spark, d):
 @query(f"""WITH {_HOURS}, b AS (SELECT max(hour_us) AS z FROM z), s AS (SELECT unnest(generate_series(TIMESTAMP '2023-12-01 00:00:00', make_timestamp(z), INTERVAL '4 hours')) AS s FROM b),
 c AS (SELECT s, {', '.join(f'max(CASE WHEN v{i} > 300 THEN 1 ELSE 0 END) AS c{i}' for i in range(TYPES))} FROM s JOIN z ON make_timestamp(hour_us) >= s AND make_timestamp(hour_us) < s + INTERVAL '4 hours', b
 WHERE s + INTERVAL '4 hours' <= make_timestamp(z) GROUP BY s)
-SELECT CAST(epoch_us(s) AS BIGINT) AS start, {' + '.join(f'c{i}' for i in range(TYPES))} AS sensors FROM c WHERE {' + '.join(f'c{i}' for i in range(TYPES))} >= 2""")
+SELECT CAST(epoch_us(s) AS BIGINT) AS start, CAST({' + '.join(f'c{i}' for i in range(TYPES))} AS BIGINT) AS sensors FROM c WHERE {' + '.join(f'c{i}' for i in range(TYPES))} >= 2""")
 def coincidences(spark, d):
     """Four hours in which two types or more have an hour of over 300; types without such hours still tell how far they have come."""
     hours = [OrderedStream(s.df.select(F.timestamp_micros("ts").alias("ts"), F.when(F.col("value") > 300, F.col("value")).alias("value")), seq="ts") for s in _hours(spark, d)]

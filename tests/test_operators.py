@@ -1,4 +1,6 @@
-"""Golden cases of the ordered operators."""
+"""The ordered operators against plain loops over small inputs."""
+
+import random
 
 from pyspark.sql import functions as F
 
@@ -6,6 +8,9 @@ from streamloom.core import OrderedStream, dense_positions
 from streamloom.functions import basics, graph, signal, sketches
 from streamloom.operators import fold as folds, merge, sinks, split, windows
 
+DRAW = random.Random(17)
+NUMBERS = [DRAW.randrange(-40, 40) for _ in range(37)]
+
 
 def ints(spark, values):
     return OrderedStream.from_list(spark, values, "long")
@@ -20,111 +25,136 @@ def column(df, name="value", order="w"):
 
 
 def test_elements(spark):
-    assert ints(spark, range(5)).map(basics.multiply, 2).values() == [0, 2, 4, 6, 8]
-    kept = ints(spark, range(5)).filter(lambda v: v >= 3)
-    assert kept.values() == [3, 4]
-    assert column(kept.df, "seq", "seq") == [0, 1]
-    assert ints(spark, [0, None, 1, None, 2]).values() == [0, 1, 2]
-    assert OrderedStream.from_list(spark, [0, None, 1], "long", keep_none=True).values() == [0, None, 1]
-    assert ints(spark, [0, 1, 2, 3, -1, -2, -3]).map(basics.clip, 2).values() == [0, 1, 2, 2, -1, -2, -2]
-    assert ints(spark, range(5)).map(basics.at_most, 2).values() == [0, 1, 2, 2, 2]
-    assert floats(spark, [64, 1, 0.5, 0.25]).filter(basics.large, 0.5).values() == [64, 1, 0.5]
-    assert ints(spark, [1, 2]).map_many(lambda v: F.array(v, v + 100)).values() == [1, 101, 2, 102]
-    assert ints(spark, [5, 6]).prepend([0, 1]).values() == [0, 1, 5, 6]
-    assert basics.sieve(ints(spark, range(2, 30))).values() == [2, 3, 5, 7, 11, 13, 17, 19, 23, 29]
-    assert ints(spark, range(10)).prepend([]).bounds().first().asDict() == {"first": 0, "last": 9, "n": 10}
+    s = ints(spark, NUMBERS)
+    assert s.map(basics.multiply, 3).values() == [3 * v for v in NUMBERS]
+    kept = s.filter(lambda v: v >= 11)
+    assert kept.values() == [v for v in NUMBERS if v >= 11]
+    assert column(kept.df, "seq", "seq") == list(range(kept.df.count()))
+    assert ints(spark, [7, None, 3, None]).values() == [7, 3]
+    assert OrderedStream.from_list(spark, [7, None, 3], "long", keep_none=True).values() == [7, None, 3]
+    assert s.map(basics.clip, 9).values() == [max(-9, min(9, v)) for v in NUMBERS]
+    assert s.map(basics.at_most, 5).values() == [min(5, v) for v in NUMBERS] and s.map(basics.at_least, 5).values() == [max(5, v) for v in NUMBERS]
+    assert s.filter(basics.large, 20).values() == [v for v in NUMBERS if abs(v) >= 20]
+    assert ints(spark, [4, 9]).map_many(lambda v: F.array(v, -v, v)).values() == [4, -4, 4, 9, -9, 9]
+    assert ints(spark, [4, 9]).prepend([8, 8]).values() == [8, 8, 4, 9]
+    assert s.prepend([]).bounds().first().asDict() == {"first": 0, "last": 36, "n": 37}
+    assert column(s.latest(2), "seq", "seq") == [35, 36] and s.after(30).count() == 7
 
 
 def test_operators_on_streams(spark):
-    x, y, u = ints(spark, range(100, 120, 2)), ints(spark, range(10)), ints(spark, range(1, 11))
-    assert (x + y).values() == list(range(100, 130, 3))
-    assert (x % u).values() == [0, 0, 2, 2, 3, 2, 0, 2, 8, 8]
-    assert (x // u).values() == [100, 51, 34, 26, 21, 18, 16, 14, 12, 11]
-    assert (floats(spark, [7]) % floats(spark, [-3])).values() == [-2.0]
-    assert (x <= y).values() == [False] * 10 and (x >= y).values() == [True] * 10
+    other = [v * v % 13 + 1 for v in NUMBERS[:30]]
+    x, y = ints(spark, NUMBERS), ints(spark, other)
+    pairs = list(zip(NUMBERS, other, strict=False))
+    assert (x + y).values() == [a + b for a, b in pairs] and (x - y).values() == [a - b for a, b in pairs]
+    assert (x * y).values() == [a * b for a, b in pairs] and (x // y).values() == [a // b for a, b in pairs]
+    assert (x % y).values() == [a % b for a, b in pairs]
+    assert (x % (y * -1)).values() == [a % -b for a, b in pairs]  # the divisor's sign
+    assert (x / y).values() == [a / b for a, b in pairs]
+    assert (x <= y).values() == [a <= b for a, b in pairs] and (x >= y).values() == [a >= b for a, b in pairs]
+    assert (x < y).values() == [a < b for a, b in pairs] and (x > y).values() == [a > b for a, b in pairs]
+    assert x.equals(y).values() == [a == b for a, b in pairs] and x.differs(y).values() == [a != b for a, b in pairs]
     same = merge.zip_streams([x, x.map(basics.add, 1)])
     assert "Join" not in same._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_count_windows(spark):
-    s = ints(spark, range(16))
-    assert column(windows.window(s, 4, 4, F.sum("value").alias("value"))) == [6, 22, 38, 54]
-    s = ints(spark, range(10))
-    assert column(windows.window(s, 3, 2, F.sum("value").alias("value"))) == [3, 9, 15, 21]
-    assert column(windows.window(s, 2, 5, F.sum("value").alias("value"))) == [1, 11]
-    assert column(windows.window_sums(s, 3, 2, "sum"), "sum") == [3, 9, 15, 21]
-    assert column(windows.window_frame(s, 3, 2, m=F.sum("value")), "m") == [3, 9, 15, 21]
-    assert column(windows.window_python(s, 3, 2, lambda a: float(a.sum()), "double", bucket=4)) == [3, 9, 15, 21]
-    grow = windows.startup_window(ints(spark, range(30)), 10, 3, s=F.sum("value"))
-    assert column(grow, "s") == [3, 15, 36, 65, 95, 125, 155, 185, 215, 245]
+    s = ints(spark, NUMBERS)
+    for size, step in ((5, 5), (4, 3), (3, 7), (1, 1), (37, 2), (38, 1)):
+        want = [sum(NUMBERS[k : k + size]) for k in range(0, len(NUMBERS) - size + 1, step)]
+        assert column(windows.window(s, size, step, F.sum("value").alias("value"))) == want
+        assert column(windows.window_sums(s, size, step, "sum"), "sum") == want
+        assert column(windows.window_frame(s, size, step, m=F.sum("value")), "m") == want
+        assert column(windows.window_python(s, size, step, lambda a: float(a.sum()), "double", bucket=6)) == want
+    grow = windows.startup_window(s, 9, 2, s=F.sum("value"))
+    assert column(grow, "s") == [sum(NUMBERS[max(0, k - 8) : k + 1]) for k in range(1, 37, 2)]
 
 
 def test_timed_windows(spark):
-    rows = [(1, "a"), (3, "b"), (10, "d"), (15, "e"), (17, "f"), (20, "g"), (22, "h"), (40, "i"), (56, "j"), (97, "k"), (104, "l"), (105, "m"), (109, "n"), (110, "p")]
+    times = sorted(DRAW.sample(range(1, 130), 25))
+    rows = [(t, chr(97 + i)) for i, t in enumerate(times)]
     df = spark.createDataFrame(rows, "t long, v string").withColumn("ts", F.timestamp_seconds("t"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t", "v"))), lambda x: x["v"]), "").alias("value")
-    out = windows.timed_window(df, "5 seconds", "5 seconds", text)
-    found = [(r["end"].timestamp(), r["value"]) for r in out.orderBy("end").collect()]
-    assert found == [(5, "ab"), (15, "d"), (20, "ef"), (25, "gh"), (45, "i"), (60, "j"), (100, "k"), (105, "l"), (110, "mn")]
-    out = windows.timed_window(df, "20 seconds", "10 seconds", text, origin="1970-01-01 00:00:00")
-    found = [(r["end"].timestamp(), r["value"]) for r in out.orderBy("end").collect()]
-    assert found == [(20, "abdef"), (30, "defgh"), (40, "gh"), (50, "i"), (60, "ij"), (70, "j"), (100, "k"), (110, "klmn")]
+    for duration, step in ((7, 7), (20, 10), (5, 9)):
+        out = windows.timed_window(df, f"{duration} seconds", f"{step} seconds", text, origin="1970-01-01 00:00:00")
+        found = {int(r["end"].timestamp()): r["value"] for r in out.collect()}
+        want = {s + duration: "".join(v for t, v in rows if s <= t < s + duration) for s in range(0, 140, step) if s + duration <= times[-1]}
+        assert found == {k: v for k, v in want.items() if v}
 
 
 def test_merge(spark):
-    x, y = ints(spark, range(4)), ints(spark, [10, 12, 14, 16, 18])
-    assert merge.zip_map([x, y], lambda a, b: 2 * (a + b)).values() == [20, 26, 32, 38]
-    a, b = merge.multi_element([ints(spark, [8, 10, 12, 14, 16]), ints(spark, [10, 11, 12, 13])], lambda p, q: [F.greatest(p, q), p + q])
-    assert a.values() == [10, 11, 12, 14] and b.values() == [18, 21, 24, 27]
-    out = merge.merge_windows([ints(spark, range(12)), ints(spark, range(10))], [3, 1], [2, 1], F.sum)
-    assert column(out.withColumn("value", F.col("v0") + F.col("v1"))) == [3, 10, 17, 24, 31]
-    rows = [(0, 0, 0, "a"), (1, 1, 0, "b"), (2, 2, 1, "A"), (3, 5, 1, "B"), (4, 3, 0, "c"), (5, 4, 0, "d"), (6, 8, 0, "e")]
-    mixed = merge.timed_mix(spark.createDataFrame(rows, "seq long, ts long, i int, value string"))
-    assert column(mixed, "value", "seq") == ["a", "b", "A", "B", "e"]
-    p = OrderedStream(spark.createDataFrame([(0, 1, "a"), (1, 3, "b"), (2, 10, "d"), (3, 15, "e"), (4, 17, "f")], "seq long, ts long, value string"))
-    q = OrderedStream(spark.createDataFrame([(0, 2, "A"), (1, 3, "B"), (2, 9, "D"), (3, 20, "E")], "seq long, ts long, value string"))
-    zipped = merge.timed_zip([p, q])
-    found = [tuple(r) for r in zipped.orderBy("ts").collect()]
-    assert found == [(1, "a", None), (2, None, "A"), (3, "b", "B"), (9, None, "D"), (10, "d", None), (15, "e", None), (17, "f", None)]
-    back = split.timed_unzip(zipped, 2)
-    assert column(back[1], "value", "ts") == ["A", "B", "D"]
+    x, y = ints(spark, NUMBERS[:9]), ints(spark, NUMBERS[9:21])
+    pairs = list(zip(NUMBERS[:9], NUMBERS[9:21], strict=False))
+    assert merge.zip_map([x, y], lambda a, b: 5 * a - b).values() == [5 * a - b for a, b in pairs]
+    a, b = merge.multi_element([x, y], lambda p, q: [F.greatest(p, q), p + q])
+    assert a.values() == [max(p) for p in pairs] and b.values() == [sum(p) for p in pairs]
+    out = merge.merge_windows([x, y], [3, 2], [1, 2], F.sum)
+    want = [sum(NUMBERS[k : k + 3]) + sum(NUMBERS[9 + 2 * k : 11 + 2 * k]) for k in range(6)]
+    assert column(out.withColumn("value", F.col("v0") + F.col("v1"))) == want
+    arrivals = [(n, DRAW.randrange(30), n % 2, f"x{n}") for n in range(20)]
+    top, kept = -1, []
+    for n, t, _, v in arrivals:
+        if t > top:
+            top = t
+            kept.append(v)
+    assert column(merge.timed_mix(spark.createDataFrame(arrivals, "seq long, ts long, i int, value string")), "value", "seq") == kept
+    sides = [sorted(DRAW.sample(range(60), 12)) for _ in range(3)]
+    streams = [OrderedStream(spark.createDataFrame([(i, t, f"{k}.{t}") for i, t in enumerate(ts)], "seq long, ts long, value string")) for k, ts in enumerate(sides)]
+    zipped = merge.timed_zip(streams)
+    end = min(ts[-1] for ts in sides)
+    want = [(t, *(f"{k}.{t}" if t in ts else None for k, ts in enumerate(sides))) for t in sorted(set().union(*sides)) if t <= end]
+    assert [tuple(r) for r in zipped.orderBy("ts").collect()] == want
+    assert [column(p, "value", "ts") for p in split.timed_unzip(zipped, 3)] == [[f"{k}.{t}" for t in ts if t <= end] for k, ts in enumerate(sides)]
 
 
 def test_split(spark):
-    a, b = split.split_element(ints(spark, range(5)), lambda v: [v + 1, F.when(v % 2 == 0, 2 * v)])
-    assert a.values() == [1, 2, 3, 4, 5] and b.values() == [0, 4, 8]
-    tagged = OrderedStream(spark.createDataFrame([(0, 0, 10), (1, 1, 15), (2, 0, 20), (3, 1, 96)], "seq long, tag int, value long"))
-    assert [s.values() for s in split.separate(tagged, "tag", 2)] == [[10, 20], [15, 96]]
-    pairs = OrderedStream.from_list(spark, [[1, 10], [2, 15], [3]], "array<long>")
-    assert [s.values() for s in split.unzip(pairs, 2)] == [[1, 2, 3], [10, 15, None]]
+    a, b = split.split_element(ints(spark, NUMBERS), lambda v: [v - 1, F.when(v % 3 == 0, v * 5)])
+    assert a.values() == [v - 1 for v in NUMBERS] and b.values() == [5 * v for v in NUMBERS if v % 3 == 0]
+    tagged = OrderedStream(spark.createDataFrame([(n, n * n % 3, v) for n, v in enumerate(NUMBERS)], "seq long, tag int, value long"))
+    assert [s.values() for s in split.separate(tagged, "tag", 3)] == [[v for n, v in enumerate(NUMBERS) if n * n % 3 == j] for j in range(3)]
+    uneven = OrderedStream.from_list(spark, [[3, 1, 9], [], [4, 8]], "array<long>")
+    assert [s.values() for s in split.unzip(uneven, 2)] == [[3, None, 4], [1, None, 8]]
 
 
 def test_folds(spark):
-    s = floats(spark, [64, 32, 16, 8, 4, 2, 1])
-    assert column(basics.exponential_smoothing(s, 0.5), order="seq") == [32, 32, 24, 16, 10, 6, 3.5]
-    heard = basics.make_echo(floats(spark, [64, 32, 16, 8, 4, 2, 1, 0, 0, 0, 0]), 1, 0.5)
-    assert column(heard, order="seq") == [64, 64, 48, 32, 20, 12, 7, 3.5, 1.75, 0.875, 0.4375]
-    two = floats(spark, [1, 2, 3, 4])
-    assert column(basics.make_echo(two, 2, 0.5), order="seq") == [1, 2, 3.5, 5]
-    scanned = folds.affine_scan(s, 0.5, 0.5, chunk=2)
-    assert column(scanned, order="seq") == [32, 32, 24, 16, 10, 6, 3.5]
-    running = folds.fold(ints(spark, range(5)), lambda v, t: (v + t, t + 1), lambda: 0, "long")
-    assert column(running, order="seq") == [0, 2, 4, 6, 8]
-    assert column(signal.window_dot(ints(spark, range(8)), [2, 100])) == [100, 202, 304, 406, 508, 610, 712]
-    assert column(sinks.take_while(ints(spark, [1, 2, 9, 1]), lambda v: v < 5), order="seq") == [1, 2]
-    jump = signal.detect_anomaly(floats(spark, [0, 1, 0, 1, 0, 1, 50, 60, 70, 80, 1, 0]), 6, 3, 4, 2.0)
-    assert sorted(column(jump, order="seq")) == [0.0, 1.0, 50.0, 60.0]
+    values = [float(v) for v in NUMBERS]
+    s = floats(spark, values)
+    smooth, echo, late = [], [], []
+    for n, v in enumerate(values):
+        smooth.append(0.25 * (smooth[-1] if smooth else 0) + 0.75 * v)
+        echo.append(v + 0.25 * (echo[-1] if echo else 0))
+        late.append(v + 0.5 * (late[n - 4] if n >= 4 else 0))
+    close = lambda got, want: all(abs(a - b) < 1e-9 for a, b in zip(got, want, strict=True))
+    assert close(column(basics.exponential_smoothing(s, 0.25), order="seq"), smooth)
+    assert close(column(basics.make_echo(s, 1, 0.25), order="seq"), echo) and close(column(basics.make_echo(s, 4, 0.5), order="seq"), late)
+    for chunk in (1, 5, 100):
+        assert close(column(folds.affine_scan(s, 0.25, 0.75, chunk=chunk), order="seq"), smooth)
+    running = folds.fold(ints(spark, NUMBERS), lambda v, t: (v * t, t + 1), lambda: 2, "long")
+    assert column(running, order="seq") == [v * (n + 2) for n, v in enumerate(NUMBERS)]
+    dot = signal.window_dot(ints(spark, NUMBERS), [3, -1, 7])
+    assert column(dot) == [3 * a - b + 7 * c for a, b, c in zip(NUMBERS, NUMBERS[1:], NUMBERS[2:], strict=False)]
+    stop = next(n for n, v in enumerate(NUMBERS) if v >= 30)
+    assert column(sinks.take_while(ints(spark, NUMBERS), lambda v: v < 30), order="seq") == NUMBERS[:stop]
+    mean = signal.subtract_mean(floats(spark, NUMBERS), 6)
+    assert close(column(mean, order="seq"), [NUMBERS[k] - sum(NUMBERS[k - 5 : k + 1]) / 6 for k in range(5, 37)])
 
 
 def test_sketches_and_graphs(spark):
-    rows = [(0, "check", "a"), (1, "add", "a"), (2, "check", "a"), (3, "add", "a"), (4, "check", "a"), (5, "check", "b")]
+    rows = [(n, DRAW.choice(["add", "check"]), DRAW.choice("pqrs")) for n in range(60)]
     df = spark.createDataFrame(rows, "seq long, cmd string, key string")
-    assert column(sketches.members(df), "found", "seq") == [False, True, True, False]
-    assert column(sketches.counts(df), "n", "seq") == [0, 1, 2, 0]
-    top = sketches.misra_gries(OrderedStream.from_list(spark, list("aabac"), "string"), 2)
-    assert column(top, order="seq")[-1] == '{"a": 1}'
-    edges = spark.createDataFrame([(0, 1, 5), (1, 2, 2), (0, 2, 9)], "i long, j long, d long")
-    assert {(r.i, r.j): r.d for r in graph.shortest_paths(edges).collect()}[0, 2] == 7
+    adds = [[m for m, c, k in rows if c == "add" and k == key and m < n] for n, cmd, key in rows if cmd == "check"]
+    assert column(sketches.members(df), "found", "seq") == [bool(a) for a in adds]
+    assert column(sketches.counts(df), "n", "seq") == [len(a) for a in adds]
+    edges = [(DRAW.randrange(12), DRAW.randrange(12), DRAW.randrange(1, 9)) for _ in range(40)]
+    best = {}
+    for i, j, d in edges:
+        best[i, j] = min(d, best.get((i, j), d))
+    for k in range(12):
+        for i in range(12):
+            for j in range(12):
+                if (i, k) in best and (k, j) in best:
+                    best[i, j] = min(best[i, k] + best[k, j], best.get((i, j), 10**9))
+    found = graph.shortest_paths(spark.createDataFrame(edges, "i long, j long, d long"))
+    assert {(r.i, r.j): r.d for r in found.collect()} == best
 
 
 def test_positions(spark):
