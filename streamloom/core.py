@@ -42,18 +42,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def dense_positions(df: DataFrame, order: Sequence[str], name: str = "seq") -> DataFrame:
-    """Number the rows of df from 0 in the given order, without gathering them in one task.
+def dense_positions(df: DataFrame, order: Sequence[str], name: str = "seq", keys: Sequence[str] = ()) -> DataFrame:
+    """Number the rows of df from 0 in the given order, for each key if there are keys, without gathering the
+    rows, or a key's rows, in one task.
 
-    Rows are sorted by ranges; the counts of the partitions, one number each, give their first positions.
+    Rows are sorted by ranges of keys and order; the counts of the partitions (of each key in them), a
+    number each, give their first positions.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    keys = list(keys)
+    ranged = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
     ranged = cut(ranged.withColumns({"__p": F.spark_partition_id(), "__m": F.monotonically_increasing_id()}))
-    counts = ranged.groupBy("__p").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("__p", before.alias("__s"))
-    inner = F.col("__m").bitwiseAND((1 << 33) - 1)
-    return ranged.join(F.broadcast(starts), "__p").withColumn(name, inner + F.col("__s")).drop("__p", "__m", "__s")
+    counts = ranged.groupBy("__p", *keys).agg(F.count("*").alias("n"), F.min("__m").alias("__f"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("__p", *keys, (before - F.col("__f")).alias("__s"))
+    if not keys:
+        return ranged.join(F.broadcast(starts), "__p").withColumn(name, F.col("__m") + F.col("__s")).drop("__p", "__m", "__s")
+    return with_rows(ranged, starts, ["__p"], keys).withColumn(name, F.col("__m") + F.col("__s")).drop("__p", "__m", "__s")
+
+
+def with_rows(left: DataFrame, right: DataFrame, on: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """left's rows with right's other columns, by columns that aren't null and by keys, of which null is one."""
+    named = {k: f"__k{i}" for i, k in enumerate(keys)}
+    right = right.withColumnsRenamed({**named, **{c: f"__on{i}" for i, c in enumerate(on)}})
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in named.items()] + [F.col(c) == F.col(f"__on{i}") for i, c in enumerate(on)]
+    return left.join(right, same).drop(*named.values(), *(f"__on{i}" for i in range(len(on))))
 
 
 class OrderedStream:
@@ -71,10 +83,15 @@ class OrderedStream:
     # construction
 
     @classmethod
-    def of(cls, df: DataFrame, order: Sequence[str], value: str = "value", keys: Sequence[str] = (), ts: str | None = None, seq: str | None = None) -> OrderedStream:
-        """A stream of df's rows in the given order; seq names a column that already is the position."""
+    def of(cls, df: DataFrame, order: Sequence[str], value: str = "value", keys: Sequence[str] = (), ts: str | None = None, seq: str | None = None, spread: bool = False) -> OrderedStream:
+        """A stream of df's rows in the given order; seq names a column that already is the position.
+
+        A key's rows are numbered by one task; with spread, by ranges, whatever share of all rows a key has.
+        """
         if seq:
             return cls(df, value, seq, keys, ts)
+        if keys and spread:
+            return cls(dense_positions(df, order, keys=keys), value, "seq", keys, ts)
         if keys:
             return cls(df.withColumn("seq", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long") - 1), value, "seq", keys, ts)
         return cls(dense_positions(df, order), value, "seq", (), ts)
@@ -122,18 +139,17 @@ class OrderedStream:
     def renumber(self) -> OrderedStream:
         """Positions from 0 without gaps.
 
-        With keys, rows are ranked within the key.  Without, they are counted by buckets of BUCKET old
-        positions, and ranked within a bucket, so that no task orders the whole stream.
+        Rows are ranked within buckets of BUCKET old positions of a key, and the buckets' counts give their
+        first positions, so that no task orders a whole stream.
         """
-        if self.keys:
-            return self.like(self.df.withColumn(self.seq, F.row_number().over(self.order).cast("long") - 1))
-        bucket = F.floor(self.n / BUCKET)
-        df = self.df.withColumn("__b", bucket)
-        counts = df.groupBy("__b").agg(F.count("*").alias("n"))
-        before = F.coalesce(F.sum("n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        counts = counts.select("__b", before.alias("__s"))
-        rank = F.row_number().over(Window.partitionBy("__b").orderBy(self.seq)) - 1
-        return self.like(df.withColumn("__r", rank).join(counts, "__b").withColumn(self.seq, (F.col("__r") + F.col("__s")).cast("long")).drop("__b", "__r", "__s"))
+        keys = list(self.keys)
+        df = self.df.withColumn("__b", F.floor(self.n / BUCKET))
+        rank = F.row_number().over(Window.partitionBy(*keys, "__b").orderBy(self.seq)) - 1
+        df = df.withColumn("__r", rank)
+        before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+        counts = df.groupBy(*keys, "__b").agg(F.count("*").alias("__c"))
+        starts = counts.select(*keys, "__b", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__s"))
+        return self.like(with_rows(df, starts, ["__b"], keys).withColumn(self.seq, (F.col("__r") + F.col("__s")).cast("long")).drop("__b", "__r", "__s"))
 
     def map_many(self, f: Callable[[Column], Column], renumber: bool = True) -> OrderedStream:
         """The elements of the arrays f(x[n]), in order; an empty or null array gives none."""

@@ -166,3 +166,18 @@ def test_positions(spark):
     for parts in (1, 5):
         s = OrderedStream(spark.range(50).repartition(parts).select(F.col("id").alias("seq"), F.col("id").alias("value")))
         assert column(windows.window(s, 7, 3, F.sum("value").alias("value"))) == [sum(range(3 * k, 3 * k + 7)) for k in range(15)]
+
+
+def test_positions_of_a_hot_key(spark):
+    rows = [("hot" if n % 3 else f"k{n % 7}" if n % 5 else None, n * 7919 % 1000) for n in range(1000)]
+    df = spark.createDataFrame(rows, "k string, x long")
+    found = [tuple(r) for r in OrderedStream.of(df, ["x"], "x", ["k"], spread=True).df.select("k", "seq", "x").collect()]
+    want = []
+    for key in {k for k, _ in rows}:
+        want += [(key, i, x) for i, x in enumerate(sorted(x for k, x in rows if k == key))]
+    order = lambda r: (r[0] or "", r[1])
+    assert sorted(found, key=order) == sorted(want, key=order)
+    kept = OrderedStream.of(df.filter("k is not null"), ["x"], "x", ["k"]).filter(lambda x: x % 2 == 1)
+    for key in ("hot", "k3"):
+        assert column(kept.df.filter(F.col("k") == key), "x", "seq") == sorted(x for k, x in rows if k == key and x % 2)
+        assert column(kept.df.filter(F.col("k") == key), "seq", "seq") == list(range(sum(k == key and x % 2 == 1 for k, x in rows)))
