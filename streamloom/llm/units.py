@@ -41,7 +41,7 @@ class UnitCoder:
     def __init__(self, starts: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], make: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
         self.starts, self.make = starts, make
         self.keys = np.zeros(1 << self.BITS, np.uint64)
-        self.at = np.zeros(1 << self.BITS, np.int64)
+        self.at = np.zeros(1 << self.BITS, np.int32)
         self.sizes = np.zeros(1 << self.BITS, np.int32)
         self.flat, self.used = np.empty(1 << 16, np.uint32), 0
         rng = np.random.Generator(np.random.PCG64(5))
@@ -65,7 +65,7 @@ class UnitCoder:
         """Keep ids; where they begin."""
         if self.used + len(ids) > self.KEEP and self.used:
             live = np.flatnonzero(self.keys)
-            flat = gathered(self.flat, self.at[live], self.sizes[live].astype(np.int64))
+            flat = gathered(self.flat, self.at[live].astype(np.int64), self.sizes[live].astype(np.int64))
             if len(flat) > self.KEEP // 2:
                 self.keys[:], flat = 0, flat[:0]
             else:
@@ -99,7 +99,7 @@ class UnitCoder:
             lost = np.flatnonzero(self.keys[place] != hashes) if not self.keys.any() else lost
             if len(lost) != len(which):  # the table was emptied to make room
                 return self._window(text, bounds)
-        starts, lengths = self.at[place], self.sizes[place].astype(np.int64)
+        starts, lengths = self.at[place].astype(np.int64), self.sizes[place].astype(np.int64)
         if len(lost):
             starts[lost], lengths[lost] = at[which], sizes[which]
             there = place[some]
