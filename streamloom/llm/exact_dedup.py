@@ -9,16 +9,35 @@ from .common import forget, written
 #: Bytes of the first rounds' digits, which split almost all different texts; then the width doubles up to MOST.
 WIDTHS = (24, 232, 3840, 61440, 1 << 20)
 MOST = 1 << 26
+#: Bytes of a group's texts that one task takes; a larger group is dealt out.
+HOT_BYTES = 1 << 25
 
 
-def exact_duplicates(docs: DataFrame, normalise=None) -> DataFrame:
+def _labelled(digit: DataFrame, groups: DataFrame, hot_bytes: int) -> DataFrame:
+    """digit's rows with their group's columns, null without a group.
+
+    Both sides are shuffled, at every size alike.  A group of over hot_bytes is dealt to as many tasks as it
+    needs: its row is repeated, and its members take one of them by turns.  Such groups are known by a
+    64-bit hash of their keys, of which there are at most all bytes / hot_bytes: that is broadcast.
+    """
+    keys = ["group", "digit", "ended"]
+    deals = F.ceil(F.col("size") / hot_bytes).cast("int")
+    hot = groups.select(F.xxhash64(*keys).alias("hash"), deals.alias("deals")).filter("deals > 1").groupBy("hash").agg(F.max("deals").alias("deals"))
+    if hot.take(1):
+        own = lambda df: df.withColumn("hash", F.xxhash64(*keys)).join(F.broadcast(hot), "hash", "left").drop("hash")
+        digit = own(digit).withColumn("deal", F.pmod(F.monotonically_increasing_id(), F.coalesce("deals", F.lit(1))).cast("int")).drop("deals")
+        groups = own(groups).withColumn("deal", F.explode(F.sequence(F.lit(0), F.coalesce("deals", F.lit(1)) - 1))).drop("deals")
+        keys = [*keys, "deal"]
+    return digit.join(groups.drop("size").hint("merge"), keys, "left")
+
+
+def exact_duplicates(docs: DataFrame, normalise=None, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """Groups of documents with equal texts, by splitting on successive bytes; no digest decides equality.
 
     Round r splits each group by the next bytes of its texts and by whether they end there.  A group of one
     is done; a group whose texts have ended is a class of equal texts; other groups go on.  Counts are
     pre-aggregated before the shuffle, so copies of one text meet as one row for each task, and are
-    written: the join that labels members has two shuffled sides, of which adaptive execution splits a
-    hot group's, or a broadcast of groups that measured small.
+    written; the join that labels members deals a group of over hot_bytes to several tasks.
 
     Returns doc_id, keep_id (the largest doc_id of the class), group_size (its rows), kept and
     text_sha256, a row for each row of docs.  Null counts as empty.  normalise, if given, maps the text
@@ -35,10 +54,11 @@ def exact_duplicates(docs: DataFrame, normalise=None) -> DataFrame:
     while True:
         width = WIDTHS[r] if r < len(WIDTHS) else min(MOST, WIDTHS[-1] << (r - len(WIDTHS) + 1))
         digit = active.withColumns({"digit": F.substring("bytes", 1, width), "ended": F.octet_length("bytes") <= width})
-        groups = digit.groupBy("group", "digit", "ended").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep_id")).filter("n > 1")
+        size = F.sum(F.octet_length("bytes").cast("long")).alias("size")
+        groups = digit.groupBy("group", "digit", "ended").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep_id"), size).filter("n > 1")
         groups = written(groups.withColumn("next", F.monotonically_increasing_id()), "radix")
         over = F.col("n").isNull() | F.col("ended")
-        label = digit.join(groups, ["group", "digit", "ended"], "left")
+        label = _labelled(digit, groups, hot_bytes)
         label = label.select("doc_id", "sha", over.alias("over"), F.col("next").alias("group"), "n", "keep_id", F.when(~over, F.expr(f"substring(bytes, {width + 1})")).alias("bytes"))
         label = written(label, "radix")
         done.append(label.filter("over").select("doc_id", "sha", "n", "keep_id"))

@@ -90,6 +90,8 @@ def test_exact_duplicates(spark, texts):
         assert (rows[i].keep_id, rows[i].group_size, rows[i].kept) == (max(g), len(g), i == max(g))
         assert rows[i].text_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
     assert exact_dedup.exact_duplicates(docs(spark, [])).collect() == []
+    dealt = exact_dedup.exact_duplicates(docs(spark, texts), hot_bytes=300)  # groups of several tasks
+    assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, rows.values()))
 
 
 def test_sharding(spark, texts):
