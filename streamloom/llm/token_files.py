@@ -173,8 +173,8 @@ class Encoder:
     """Ids of whole texts, as the tokenizers library gives them, for byte-level tokenizers.
 
     Before such a tokenizer joins anything it cuts a text: a single space between visible characters
-    begins a new piece, and so does a letter, number or other character after one of another kind (but for
-    apostrophes, which begin endings like 's).  So a text's ids are those of these pieces, and each
+    begins a new piece, a single line feed or other white space there is one, and a letter, number or other
+    character after one of another kind begins one (but for apostrophes, which begin endings like 's).  So a text's ids are those of these pieces, and each
     distinct piece goes through the library once.  Pieces are not cut further where they have an
     apostrophe, the beginning of an added token, more white space or characters beyond LATIN.  A
     tokenizer that cuts otherwise gets whole texts.
@@ -217,12 +217,13 @@ class Encoder:
         beyond = np.flatnonzero(kind == BEYOND)
         kind[beyond[np.isin(points[beyond], WIDE_SPACES)]] = WHITE
         white = kind == WHITE
-        safe = points == 32
-        safe[:1] = safe[-1:] = False
-        safe[1:] &= ~white[:-1] & ~first[1:]
-        safe[:-1] &= ~white[1:] & ~first[1:]
-        odd = self.odd[low] | (white & ~safe)
-        safe |= first
+        alone = white.copy()  # white space between visible characters
+        alone[:1] = alone[-1:] = False
+        alone[1:] &= ~white[:-1] & ~first[1:]
+        alone[:-1] &= ~white[1:] & ~first[1:]
+        odd = self.odd[low] | (white & ~alone)
+        safe = alone | first
+        safe[1:] |= alone[:-1] & (points[:-1] != 32)  # a line feed or tab is a piece of its own
         at = np.flatnonzero(safe)
         whole = np.repeat(np.logical_or.reduceat(odd, at), np.diff(at, append=len(points))) if len(at) else safe
         units = safe.copy()
@@ -235,15 +236,22 @@ class Encoder:
             ids = [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
             return np.asarray([i for x in ids for i in x], np.uint32), np.asarray([len(x) for x in ids], np.int64)
         # A word of letters is one piece: the library's model alone gives its ids, in half the time.
-        tokenize, table = self.model.tokenize, self.table
+        tokenize, table, space = self.model.tokenize, self.table, self.table[32]
         sizes, word_ids, others = np.zeros(len(units), np.int64), [], []
         for i, u in enumerate(units):
-            if (u[1:] if u[0] == " " else u).isalpha() and (u.isascii() or max(u) < LIMIT):
+            spaced = u[0] == " "
+            if not (u[1:] if spaced else u).isalpha():
+                others.append(i)
+                continue
+            if u.isascii():
+                found = [t.id for t in tokenize(space + u[1:] if spaced else u)]
+            elif max(u) < LIMIT:
                 found = [t.id for t in tokenize(u.encode().decode("latin-1").translate(table))]
-                word_ids += found
-                sizes[i] = len(found)
             else:
                 others.append(i)
+                continue
+            word_ids += found
+            sizes[i] = len(found)
         ids = np.asarray(word_ids, np.uint32)
         if not others:
             return ids, sizes
