@@ -23,6 +23,9 @@ from .common import SLICE_BYTES, arrow_text, give_back, mix, powers, slices, wri
 GRAM, SEEN = 48, 256
 #: Occurrences of one anchor that one task takes; beyond that its different contexts' windows are counted by key.
 MOST = 50_000
+#: Occurrences that make an anchor frequent, at least; and how many frequent anchors there are at most, by that or
+#: a greater bound.  Their few rows go to all tasks, instead of all their occurrences to one.
+OFTEN, OFTEN_ANCHORS = 10_000, 500_000
 #: Different contexts of an anchor up to which Python lists are quicker than arrays.
 FEW = 24
 
@@ -370,7 +373,20 @@ def _cut(rows: DataFrame, length: int, words: int) -> DataFrame:
     return rows.select("d", "k", "bytes", "spans").mapInArrow(run, CUT)
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, most: int = MOST, words: int = 50, seen: int = SEEN) -> DataFrame:
+def _shared(anchors: DataFrame, often: int) -> DataFrame:
+    """(d, k, h, at, n) of the anchors that occur n times, more than once.
+
+    The rows of frequent anchors, a bounded number, are broadcast; the others' are joined by h.
+    """
+    counts = written(anchors.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    bound = max(often, total // OFTEN_ANCHORS)
+    frequent = F.broadcast(counts.filter(F.col("n") > bound))
+    rest = anchors.join(frequent.select("h"), "h", "left_anti").join(counts.filter(F.col("n") <= bound), "h")
+    return rest.unionByName(anchors.join(frequent, "h")).select("d", "k", "h", "at", "n")
+
+
+def remove_repeats(docs: DataFrame, length: int = 400, most: int = MOST, words: int = 50, seen: int = SEEN, often: int = OFTEN) -> DataFrame:
     """What is left of every document without the bytes of repeated strings of length bytes.
 
     A byte goes if a string of length bytes that covers it also starts anywhere else, in the same or
@@ -398,13 +414,12 @@ def remove_repeats(docs: DataFrame, length: int = 400, most: int = MOST, words:
     copied = written(meta.select("d", "n_bytes", "k", "k2").join(copies, ["n_bytes", "k", "k2"]).select("d", "k", "rep", "copies").distinct(), "copied")
     later = copied.filter("d <> rep").select("d", "k")
     anchors = written(_anchored(base, seen), "anchors").join(later, ["d", "k"], "left_anti")
-    shared = anchors.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
-    wanted = anchors.join(shared, "h").select("d", "k", "h", "at", "n")
+    wanted = _shared(anchors, often)
     wanted = written(wanted.groupBy("d", "k").agg(F.collect_list(F.struct("h", "at", "n")).alias("anchors")), "wanted")
     read = written(base.select("d", "k", "bytes").join(wanted, ["d", "k"]), "read")
     pick = lambda test: read.select("d", "k", "bytes", F.filter("anchors", test).alias("anchors")).filter(F.size("anchors") > 0)
     spans = _spans_in_tasks(_contexts(pick(lambda x: x["n"] <= most), seen, length), seen)
-    if shared.filter(F.col("n") > most).take(1):
+    if wanted.filter(F.exists("anchors", lambda x: x["n"] > most)).take(1):
         spans = spans.unionAll(_spans_by_key(_contexts(pick(lambda x: x["n"] > most), seen, length), seen, length))
     spans = written(spans.groupBy("d", "k").agg(F.collect_set(F.struct("a", "b", "n")).alias("spans")), "spans")
     cut = written(_cut(read.select("d", "k", "bytes").join(spans, ["d", "k"]), length, words), "cut").dropDuplicates(["d", "k"])

@@ -289,8 +289,8 @@ def test_alignment():
         assert decontaminate.align(a, b)[0] == naive_align(a, b)
 
 
-@pytest.mark.parametrize("most", [50_000, 2])
-def test_repeats(spark, most):
+@pytest.mark.parametrize("most, often", [(50_000, 10_000), (2, 1)])
+def test_repeats(spark, most, often):
     rng = random.Random(9)
     text = lambda n: "".join(rng.choices("abcdé ", k=n))
     passage, n = text(60), 40
@@ -298,7 +298,7 @@ def test_repeats(spark, most):
     texts += [texts[7], texts[7]]
     blobs = [(t or "").encode() for t in texts]
     seen = Counter(b[i : i + n] for b in blobs for i in range(len(b) - n + 1))
-    got = {r.doc_id: r for r in substrings.remove_repeats(docs(spark, texts), n, most).collect()}
+    got = {r.doc_id: r for r in substrings.remove_repeats(docs(spark, texts), n, most, often=often).collect()}
     for d, b in enumerate(blobs):
         gone = [False] * len(b)
         for i in range(len(b) - n + 1):
