@@ -25,8 +25,9 @@ def word_score(text: Column, good: Sequence[str], bad: Sequence[str]) -> Column:
     return F.try_divide(count(good) - count(bad), F.size(words))
 
 
-#: The paths of a message's followers and of the message that it passes on.
+# The paths of a message's followers and of the message that it passes on, and what its text is rid of.
 FOLLOWERS, RETWEETS = "$.user.followers_count", "$.retweeted_status.retweet_count"
+PASSED_ON, LINK = "RT ", r"http\S+"
 
 
 def followers_and_retweets(df: DataFrame, column: str = "value") -> DataFrame:
@@ -37,7 +38,7 @@ def followers_and_retweets(df: DataFrame, column: str = "value") -> DataFrame:
 
 def clean_message(text: Column) -> Column:
     """A message's text without line feeds, the mark of one that is passed on, and links."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "\n", " "), "RT ", ""), r"http\S+", ""))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "\n", " "), PASSED_ON, ""), LINK, ""))
 
 
 def judged_messages(df: DataFrame, good: Sequence[str], bad: Sequence[str], column: str = "value", text: str = "$.text") -> DataFrame:
