@@ -182,20 +182,28 @@ def as_of(stream: OrderedStream, other: DataFrame, columns: Sequence[str], time:
     return out.select(*stream.df.columns, *(F.col(f"__last.{c}").alias(c) for c in columns))
 
 
+def hours(df: DataFrame, time: str) -> Column:
+    """The number of time's hour, in which later times are never lower, whatever the session's zone and its shifts."""
+    if df.schema[time].dataType.simpleString() == "timestamp":
+        return F.floor(F.unix_seconds(time) / 3600)
+    return F.date_diff(F.to_date(time), F.lit("1970-01-01").cast("date")) * 24 + F.hour(time)
+
+
 def call_on_clock(stream: OrderedStream, clock: DataFrame, time: str = "ts") -> DataFrame:
     """The stream's rows with tick, the first time of clock at or after theirs: when they would be read.
 
-    A clock with the stream's keys ticks for each key.  Without keys, days spread the stream over tasks,
-    and a day's last elements take the first tick of a later day.
+    A clock with the stream's keys ticks for each key.  Elements after the last tick, and those without
+    time, have none; nor do null times tick.  Hours spread a stream over tasks, and each also gets the
+    first tick of a later hour.  All frames run from the latest time backwards: they grow row by row, where
+    frames that reach to the end are read anew for each row.
     """
     keys = list(stream.keys)
-    ticks = clock.select(*keys, F.col(time), F.col(time).alias("tick")).distinct()
-    both = stream.df.drop("tick").unionByName(ticks, allowMissingColumns=True)
-    day = F.to_date(time)
-    both = both.withColumn("__day", day)
-    ahead = F.first("tick", ignorenulls=True).over(Window.partitionBy(*keys, "__day").orderBy(time, F.col("tick").isNull().desc()).rowsBetween(0, Window.unboundedFollowing))
-    first = ticks.groupBy(*keys, F.to_date("tick").alias("__day")).agg(F.min("tick").alias("__first"))
-    later = F.min("__first").over(Window.partitionBy(*keys).orderBy("__day").rowsBetween(1, Window.unboundedFollowing))  # a row for each day
-    days = both.select(*keys, "__day").distinct().join(first, [*keys, "__day"], "left").select(*keys, "__day", later.alias("__next"))
-    out = both.withColumn("__ahead", ahead).filter(F.col("tick").isNull()).join(days, [*keys, "__day"])
-    return out.withColumn("tick", F.coalesce("__ahead", "__next")).drop("__ahead", "__next", "__day")
+    ticks = clock.select(*keys, F.col(time), F.col(time).alias("tick")).filter(F.col("tick").isNotNull()).distinct()
+    both = stream.df.drop("tick").withColumn("__side", F.lit(1)).unionByName(ticks.withColumn("__side", F.lit(0)), allowMissingColumns=True)
+    both = both.withColumn("__hour", hours(both, time))
+    firsts = both.filter(F.col("__hour").isNotNull()).groupBy(*keys, "__hour").agg(F.min("tick").alias("__first"))  # a row for each hour
+    later = F.min("__first").over(Window.partitionBy(*keys).orderBy(F.desc("__hour")).rowsBetween(Window.unboundedPreceding, -1))
+    marks = firsts.select(*keys, "__hour", later.alias("tick"), F.lit(0).alias("__side")).filter(F.col("tick").isNotNull()).withColumn(time, F.col("tick"))
+    ahead = F.last("tick", ignorenulls=True).over(Window.partitionBy(*keys, "__hour").orderBy(F.desc(time), "__side").rowsBetween(Window.unboundedPreceding, 0))
+    out = both.unionByName(marks, allowMissingColumns=True).withColumn("__ahead", ahead).filter("__side = 1")
+    return out.withColumn("tick", F.col("__ahead")).drop("__ahead", "__hour", "__side")

@@ -1,7 +1,9 @@
 """List operators, operators with state, initial values, sinks, the facade, decorators and networks."""
 
+import bisect
 import json
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -313,6 +315,47 @@ def test_clock_and_as_of(spark):
     assert out == {("a", 0): None, ("a", 1): "2024-01-01 00:00:03", ("b", 0): None, ("b", 1): "2024-01-04 00:00:00"}
 
 
+def test_clock_over_a_long_day(spark):
+    """A day of 60,000 elements, with tied times and ticks: work grows with the elements, not with their square."""
+    n = 60_000
+    at = [i * 7919 % 80_000 // 2 for i in range(n)]  # seconds
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(at)], "seq long, t long").withColumn("ts", F.timestamp_seconds("t"))
+    clock = rows.filter("seq % 100 = 50").select("ts")
+    out = merge.call_on_clock(OrderedStream(rows), clock)
+    assert "unboundedfollowing" not in out._jdf.queryExecution().toString().lower()
+    start = time.perf_counter()
+    got = {r.seq: r.tick for r in out.select("seq", F.unix_seconds("tick").alias("tick")).collect()}
+    assert time.perf_counter() - start < 60
+    ticks = sorted({t for i, t in enumerate(at) if i % 100 == 50})
+    places = [bisect.bisect_left(ticks, t) for t in at]
+    assert got == {i: ticks[p] if p < len(ticks) else None for i, p in enumerate(places)}
+
+
+def test_clock_odd_rows(spark):
+    """Null times and keys stay, null ticks are none, and a day that comes twice by the zone's shift is no limit."""
+    at = lambda rows, kind: spark.createDataFrame(rows, kind).withColumn("ts", F.timestamp_seconds("ts"))
+    rows = at([("a", 0, 10), ("a", 1, None), (None, 0, 10), (None, 1, 99_999), ("c", 0, 5)], "user string, seq long, ts long")
+    clock = at([("a", 10), ("a", None), (None, 20), (None, 200_000), ("b", 7)], "user string, ts long")
+    out = merge.call_on_clock(OrderedStream(rows, keys=["user"]), clock)
+    assert out.columns == ["user", "seq", "ts", "tick"]
+    got = sorted(((r.user or "", r.seq, r.t) for r in out.select("user", "seq", F.unix_seconds("tick").alias("t")).collect()))
+    assert got == [("", 0, 20), ("", 1, 200_000), ("a", 0, 10), ("a", 1, None), ("c", 0, None)]
+    none = merge.call_on_clock(OrderedStream(rows.drop("user")), clock.select("ts").limit(0))
+    assert none.count() == 5 and none.filter("tick is not null").count() == 0
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/St_Johns")  # 2010-11-07 00:01 was 2010-11-06 23:01 again
+        rows = at([(0, 1289097030)], "seq long, ts long")
+        out = merge.call_on_clock(OrderedStream(rows), at([(1289098800,)], "ts long"))
+        assert out.select(F.unix_seconds("tick")).first()[0] == 1289098800
+        spark.conf.set("spark.sql.session.timeZone", "Pacific/Apia")  # 2011-12-30 was left out
+        local = lambda *times: spark.createDataFrame([(i, t) for i, t in enumerate(times)], "seq long, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+        out = merge.call_on_clock(OrderedStream(local("2011-12-30 05:00:00", "2011-12-30 07:00:00")), local("2011-12-30 06:00:00", "2011-12-31 03:00:00").select("ts"))
+        assert {r.seq: str(r.tick) for r in out.collect()} == {0: "2011-12-30 06:00:00", 1: "2011-12-31 03:00:00"}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def net():
     double = runtime.Process("double", {"x": "i"}, {"y": "i"}, lambda i: {"y": i["x"].map(basics.multiply, 2)})
     add = runtime.Process("add", {"a": "i", "b": "bigint"}, {"c": "i"}, lambda i: {"c": i["a"] + i["b"]})
