@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import ctypes
+import os
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from ..core import delete_at_end, shared_dir
@@ -32,8 +35,45 @@ def written(df: DataFrame, name: str, **options) -> DataFrame:
     return back
 
 
+def saved(df: DataFrame, name: str, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None, schema: str | None = None) -> DataFrame:
+    """written() of df, or of df.mapInArrow(run, schema), by the Python workers if the shared folder is of files.
+
+    For each task's file and folder there, Spark's writer launches chmod.  Until such a process has its own
+    program it holds all of the executor's memory a second time, to all that measure it.  Tasks write to a
+    hidden folder; the driver gets their files' names and moves those in place, so attempts that failed or
+    came second leave nothing that is read.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/streamloom/{name}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toUri()
+    if where.getScheme() != "file":
+        return written(df.mapInArrow(run, schema) if run else df, name)
+    folder = where.getPath()
+    os.makedirs(f"{folder}/_temporary")
+    delete_at_end(spark, path)
+
+    def save(batches):
+        import pyarrow.parquet as pq
+
+        file, out = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.parquet", None
+        for batch in run(batches) if run else batches:
+            if len(batch):
+                out = out or pq.ParquetWriter(f"{folder}/_temporary/{file}", batch.schema, compression="zstd")
+                out.write_batch(batch)
+        if out:
+            out.close()
+            yield pa.RecordBatch.from_pydict({"file": [file]})
+
+    for row in df.mapInArrow(save, "file string").collect():
+        os.rename(f"{folder}/_temporary/{row.file}", f"{folder}/{row.file}")
+    back = spark.read.schema(schema or df.schema).parquet(path)
+    back.streamloom_path = path
+    return back
+
+
 def forget(*tables: DataFrame) -> None:
-    """Delete the files of tables from written() that nothing reads any more.
+    """Delete the files of tables from written() or saved() that nothing reads any more.
 
     The shuffle files of the jobs that made them go with the driver's next collection of garbage, which is
     asked for here: else they stay until its heap happens to be full.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import forget, written
+from .common import forget, saved
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -36,9 +36,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     told of the result.
     """
     now = edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).filter(f"{a} <> {b}").distinct()
-    now = written(now, "components")
+    now = saved(now, "components")
     while _unsettled(now).take(1):
-        new = written(_small_star(_large_star(now)), "components")
+        new = saved(_small_star(_large_star(now)), "components")
         forget(now)
         now = new
     out = now.select(F.col("u").alias("id"), F.col("v").alias("component"))

@@ -25,7 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import WordHasher, arrow_text, distinct_by, forget, give_back, mix, shingles, slices, written
+from .common import WordHasher, arrow_text, distinct_by, forget, give_back, mix, saved, shingles, slices
 from .components import connected_components
 
 SAMPLES, ROWS, BITS = 160, 5, 512
@@ -33,7 +33,7 @@ BLOCK = 256  # members of a component in one block of step 3
 SMALL = 64  # pairs of members up to which two components are joined
 CENTRES = 16  # components of a bucket that are compared by pairs of components; fuller buckets go by all pairs of members
 
-SIGNED = "doc_id long, t1 long, t2 long, n_shingles long, set_key binary, bands array<long>, sketch array<long>"
+SIGNED = "doc_id long, t1 long, t2 long, row long, n_shingles long, set_key binary, bands array<long>, sketch array<long>"
 
 
 def _factors() -> np.ndarray:
@@ -69,13 +69,13 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """One row of SIGNED for each document; without words its key, bands and sketch are null."""
+    """One row of SIGNED for each document, numbered by row; without words its key, bands and sketch are null."""
     factors = _factors()
 
     def run(batches):
         hasher = WordHasher()
         for batch in batches:
-            data, offsets = arrow_text(batch.column(3))
+            data, offsets = arrow_text(batch.column(4))
             for a, b in slices(offsets):
                 values, bounds = _sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words, hasher)
                 sizes = np.diff(bounds)
@@ -84,12 +84,13 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                 two = lambda x: pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.int64()))
                 place = pa.array(np.cumsum(sizes > 0) - 1, mask=sizes == 0)  # null where there is no word
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(i).slice(a, b - a) for i in range(3)), pa.array(sizes), *(x.take(place) for x in (pa.array([k.tobytes() for k in keys], pa.binary()), two(bands), two(sketch)))],
-                    ["doc_id", "t1", "t2", "n_shingles", "set_key", "bands", "sketch"],
+                    [*(batch.column(i).slice(a, b - a) for i in range(4)), pa.array(sizes), *(x.take(place) for x in (pa.array([k.tobytes() for k in keys], pa.binary()), two(bands), two(sketch)))],
+                    ["doc_id", "t1", "t2", "row", "n_shingles", "set_key", "bands", "sketch"],
                 )
         give_back()
 
-    return _rows(docs).mapInArrow(run, SIGNED)
+    rows = _rows(docs).withColumn("row", F.monotonically_increasing_id())
+    return saved(rows.select("doc_id", "t1", "t2", "row", "text"), "signed", run, SIGNED)
 
 
 def shingle_sets(rows: DataFrame, words: int) -> DataFrame:
@@ -105,7 +106,7 @@ def shingle_sets(rows: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(blobs, pa.binary())], ["id", "shingles"])
         give_back()
 
-    return rows.select("id", "text").mapInArrow(run, "id long, shingles binary")
+    return saved(rows.select("id", "text"), "shingles", run, "id long, shingles binary")
 
 
 def _bits():
@@ -136,7 +137,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return saved(pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb"), "links", run, "a long, b long")
 
 
 def _across(group: pd.DataFrame, most: int, percent: int) -> pd.DataFrame:
@@ -191,32 +192,33 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) ->
 def _judged(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """near_duplicates() with t1 and t2 for each row.  Sets are told apart by the number of their first row."""
     most = max_xor(percent / 100)
-    signed = written(signatures(docs, words).withColumn("row", F.monotonically_increasing_id()), "signed")
+    signed = signatures(docs, words)
     first = F.min(F.struct("row", "doc_id", "t1", "t2")).alias("first")
     reps = signed.filter("set_key is not null").groupBy("set_key").agg(first, F.min("doc_id").alias("least"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    reps = written(reps.select("set_key", F.col("first.row").alias("rep"), "first.doc_id", "first.t1", "first.t2", "least", "bands", "sketch"), "sets")
+    reps = saved(reps.select("set_key", F.col("first.row").alias("rep"), "first.doc_id", "first.t1", "first.t2", "least", "bands", "sketch"), "sets")
     rows = reps.select("rep", F.posexplode("bands").alias("band", "h")).select("rep", "band", F.xxhash64("band", "h").alias("h"))
     stars = rows.groupBy("h").agg(F.min("rep").alias("centre"), F.count("*").alias("n")).filter("n > 1").select("h", "centre")
-    buckets = written(rows.join(stars, "h"), "buckets")
+    buckets = saved(rows.join(stars, "h"), "buckets")
     pairs = buckets.filter("rep <> centre").groupBy(F.col("centre").alias("a"), F.col("rep").alias("b")).agg(F.count("*").alias("n"))
     first = pairs.groupBy("b").agg(F.max_by("a", F.struct(F.col("n"), -F.col("a"))).alias("a"))
     sketches = reps.select("rep", "sketch")
-    near = written(_near_pairs(first, sketches, most), "near")
+    near = saved(_near_pairs(first, sketches, most), "near")
     members = buckets.select("rep").distinct()
     sets = _member_sets(docs, reps.join(members, "rep", "left_semi").select("rep", "doc_id", "t1", "t2"), words)
-    links = written(_confirm(near, sets, percent), "links")
+    links = _confirm(near, sets, percent)
     forget(near)
     components = connected_components(links)
-    named = written(_named(members, components), "named")
+    named = saved(_named(members, components), "named")
     pairs, full, used = _crossing(buckets, named)
-    crossing = written(pairs, "crossing")
+    crossing = saved(pairs, "crossing")
     forget(buckets, *used)
-    close = written(_close_components(crossing, named, links, sets, percent), "close")
+    close = saved(_close_components(crossing, named, links, sets, percent), "close")
     forget(crossing, links)
     small, large, wanted = _near_components(close, named, sketches, sets, most, percent)
-    near = written(small.distinct(), "near")
-    new = written(_confirm(near, sets, percent).unionAll(large), "links")
-    forget(near, close, named, wanted)
+    near = saved(small.distinct(), "near")
+    confirmed = _confirm(near, sets, percent)
+    new = saved(confirmed.unionAll(large), "links")
+    forget(near, close, named, wanted, confirmed)
     stars = lambda c: c.select(F.col("id").alias("a"), F.col("component").alias("b"))
     if new.take(1):
         merged = connected_components(stars(components).unionAll(new))
@@ -224,7 +226,7 @@ def _judged(docs: DataFrame, words: int, percent: int) -> DataFrame:
         components = merged
     forget(new)
     if full.take(1):
-        new = written(_full_buckets(full, components, reps, sets, most, percent), "links")
+        new = saved(_full_buckets(full, components, reps, sets, most, percent), "links")
         merged = connected_components(stars(components).unionAll(new))
         forget(components, new)
         components = merged
@@ -240,9 +242,9 @@ def _member_sets(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
     """(id, shingles) of the first rows of sets; rows alike in doc_id and text count once."""
     rows = _rows(docs)
     same = rows["doc_id"].eqNullSafe(members["doc_id"]) & (rows["t1"] == members["t1"]) & (rows["t2"] == members["t2"])
-    sets = written(shingle_sets(rows.join(members, same).select(members["rep"].alias("id"), rows["text"].alias("text")), words), "shingles")
+    sets = shingle_sets(rows.join(members, same).select(members["rep"].alias("id"), rows["text"].alias("text")), words)
     if sets.count() > members.count():
-        distinct = written(sets.dropDuplicates(["id"]), "shingles")
+        distinct = saved(sets.dropDuplicates(["id"]), "shingles")
         forget(sets)
         sets = distinct
     return sets
@@ -273,13 +275,13 @@ def _crossing(buckets: DataFrame, named: DataFrame) -> tuple[DataFrame, DataFram
     """(ca, cb): the pairs of components that share a bucket of at most CENTRES components; (h, band, rep)
     of all fuller buckets, which hold unlike documents that share a common passage; and the tables that the
     pairs are made from."""
-    rows = written(buckets.join(named, "rep").select("h", "band", "rep", "component"), "mixed")
+    rows = saved(buckets.join(named, "rep").select("h", "band", "rep", "component"), "mixed")
     each = rows.select("h", "component").distinct()
-    sizes = written(each.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1"), "sizes")
+    sizes = saved(each.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1"), "sizes")
     few = each.join(sizes.filter(F.col("k") <= CENTRES).select("h"), "h")
     pairs = few.withColumnRenamed("component", "ca").join(few.withColumnRenamed("component", "cb"), "h").filter("ca < cb").select("ca", "cb")
     full = rows.join(sizes.filter(F.col("k") > CENTRES).select("h"), "h").select("h", "band", "rep")
-    return pairs.distinct(), written(full, "full"), [rows, sizes]
+    return pairs.distinct(), saved(full, "full"), [rows, sizes]
 
 
 def _full_buckets(full: DataFrame, components: DataFrame, reps: DataFrame, sets: DataFrame, most: int, percent: int) -> DataFrame:
@@ -399,7 +401,7 @@ def _near_components(crossing: DataFrame, named: DataFrame, sketches: DataFrame,
     member = named.join(sizes, "component").join(sketches, "rep")
     member = member.select("component", F.col("rep").alias("id"), "sketch", F.expr("cast(pmod(xxhash64(rep), blocks) as int)").alias("block"))
     a, b = (sizes.select(F.col("component").alias(c), F.col("blocks").alias(f"n{c}"), F.col("n").alias(f"m{c}")) for c in ("ca", "cb"))
-    whole_pairs = wanted = written(crossing.join(a, "ca").join(b, "cb"), "wanted")
+    whole_pairs = wanted = saved(crossing.join(a, "ca").join(b, "cb"), "wanted")
     small = F.col("mca") * F.col("mcb") <= SMALL
     side = lambda c, x: member.select(F.col("component").alias(c), F.col("id").alias(x), F.col("sketch").alias(f"s{x}"))
     joined = wanted.filter(small).join(side("ca", "a"), "ca").join(side("cb", "b"), "cb").filter(_bits() <= most).select("a", "b")

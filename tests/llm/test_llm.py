@@ -1,7 +1,10 @@
 """Each operator against brute force, a round trip or held-out accuracy, and its defined edge cases."""
 
 import hashlib
+import os
 import random
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -80,6 +83,43 @@ def test_near_duplicates_share_a_passage(spark):
     assert [rows[i] for i in range(len(texts))] == root
 
 
+#: In a session of its own, as its JVM must find another chmod.
+LAUNCHES = """
+import os, sys
+from pyspark import TaskContext
+from pyspark.sql import SparkSession
+from streamloom.llm.common import saved
+from streamloom.llm.near_dedup import near_duplicates
+
+spark = SparkSession.builder.master("local[2,2]").config("spark.sql.shuffle.partitions", "3").config("spark.ui.enabled", "false").getOrCreate()
+spark.sparkContext.setLogLevel("OFF")
+text = " ".join(map(str, range(40)))
+rows = near_duplicates(spark.createDataFrame([(1, text), (2, text + " x"), (3, "y"), (4, None)], "doc_id long, text string"), words=4).collect()
+assert {r.doc_id: r.component_id for r in rows} == {1: 1, 2: 1, 3: 3, 4: 4}
+assert not os.path.exists(sys.argv[1]), open(sys.argv[1]).read()
+
+def once(batches):
+    yield from batches
+    if not TaskContext.get().attemptNumber():
+        raise ValueError("the first attempt fails when its rows are written")
+
+rows = spark.range(100, numPartitions=4).selectExpr("id", "if(id % 3 = 0, null, array(id)) as ids", "cast(cast(id as string) as binary) as key")
+assert sorted(map(str, saved(rows, "t", once, "id long, ids array<long>, key binary").collect())) == sorted(map(str, rows.collect()))
+assert saved(rows.filter("id < 0"), "t").collect() == [] and saved(rows, "t").count() == 100
+"""
+
+
+def test_near_duplicates_launch_nothing(tmp_path):
+    """A process that an executor launches counts as a second executor until its program starts."""
+    chmod, log, root = tmp_path / "chmod", tmp_path / "log", os.path.dirname(near_dedup.__file__) + "/../.."
+    chmod.write_text(f'#!/bin/sh\ncase "$*" in */streamloom/*) echo "$@" >> {log};; esac\nexec /bin/chmod "$@"\n')
+    chmod.chmod(0o755)
+    env = os.environ | {"PATH": f"{tmp_path}:{os.environ['PATH']}", "PYTHONPATH": f"{root}:{os.environ.get('PYTHONPATH', '')}"}
+    env = {k: v for k, v in env.items() if not k.startswith(("PYSPARK_GATEWAY", "SPARK_"))}
+    run = subprocess.run([sys.executable, "-c", LAUNCHES, str(log)], env=env, capture_output=True, text=True, timeout=300)
+    assert run.returncode == 0, run.stderr[-3000:]
+
+
 def test_exact_duplicates(spark, texts):
     rows = {r.doc_id: r for r in exact_dedup.exact_duplicates(docs(spark, texts)).collect()}
     groups = {}
