@@ -42,6 +42,9 @@ def saved(df: DataFrame, name: str, run: Callable[[Iterator[pa.RecordBatch]], It
     program it holds all of the executor's memory a second time, to all that measure it.  Tasks write to a
     hidden folder; the driver gets their files' names and moves those in place, so attempts that failed or
     came second leave nothing that is read.
+
+    A Python function at the end of df would be a second worker for each task, and workers stay for all later
+    tasks of the application: give it as run, or put a shuffle between.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/streamloom/{name}-{uuid.uuid4().hex}"
@@ -64,6 +67,7 @@ def saved(df: DataFrame, name: str, run: Callable[[Iterator[pa.RecordBatch]], It
         if out:
             out.close()
             yield pa.RecordBatch.from_pydict({"file": [file]})
+        give_back()
 
     for row in df.mapInArrow(save, "file string").collect():
         os.rename(f"{folder}/_temporary/{row.file}", f"{folder}/{row.file}")
@@ -87,7 +91,8 @@ def forget(*tables: DataFrame) -> None:
 
 
 def give_back() -> None:
-    """Return freed memory to the system, where the C library can: Python workers outlive their tasks."""
+    """Return freed memory to the system, Arrow's and where it can the C library's: Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)

@@ -212,7 +212,7 @@ def _judged(docs: DataFrame, words: int, percent: int) -> DataFrame:
     pairs, full, used = _crossing(buckets, named)
     crossing = saved(pairs, "crossing")
     forget(buckets, *used)
-    close = saved(_close_components(crossing, named, links, sets, percent), "close")
+    close = _close_components(crossing, named, links, sets, percent)
     forget(crossing, links)
     small, large, wanted = _near_components(close, named, sketches, sets, most, percent)
     near = saved(small.distinct(), "near")
@@ -381,11 +381,12 @@ def _close_components(crossing: DataFrame, named: DataFrame, links: DataFrame, s
     def run(batches):
         for batch in batches:
             rows = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)
-            ok = [_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), need) for need, x, y in rows]
+            ok = [need <= 0 or _linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), need) for need, x, y in rows]
             yield batch.select(["ca", "cb"]).filter(pa.array(ok, pa.bool_()))
 
-    kept = far_apart.select("ca", "cb", "need", "sca", "scb").mapInArrow(run, "ca long, cb long")
-    return kept.unionAll(pairs.filter("need <= 0").select("ca", "cb"))
+    none = F.lit(None).cast("binary")
+    others = pairs.filter("need <= 0").select("ca", "cb", "need", none.alias("sca"), none.alias("scb"))
+    return saved(far_apart.select("ca", "cb", "need", "sca", "scb").unionAll(others), "close", run, "ca long, cb long")
 
 
 def _near_components(crossing: DataFrame, named: DataFrame, sketches: DataFrame, sets: DataFrame, most: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -417,4 +418,5 @@ def _near_components(crossing: DataFrame, named: DataFrame, sketches: DataFrame,
     def across(group: pd.DataFrame) -> pd.DataFrame:
         return _across(group, most, percent)
 
-    return joined, left.unionAll(right).groupBy("big", "row", "column").applyInPandas(across, "a long, b long"), whole_pairs
+    large = left.unionAll(right).groupBy("big", "row", "column").applyInPandas(across, "a long, b long")
+    return joined, large.distinct(), whole_pairs  # distinct: its shuffle parts the groups' workers from those that save

@@ -14,7 +14,8 @@ import pytest
 pytest.importorskip("streamloom.llm")
 from pyspark.sql import functions as F  # noqa: E402
 
-from streamloom.llm import decontaminate, exact_dedup, html_text, language, line_dedup, near_dedup, pieces, sharding, substrings, token_files  # noqa: E402
+from streamloom.llm import components, decontaminate, exact_dedup, html_text, language, line_dedup, near_dedup, pieces, sharding, substrings, token_files  # noqa: E402
+from streamloom.llm.common import saved  # noqa: E402
 from streamloom.llm.queries import vocabulary  # noqa: E402
 
 KIND = "doc_id long, text string, lang string, source string, id long, label string"
@@ -120,6 +121,34 @@ def test_near_duplicates_launch_nothing(tmp_path):
     assert run.returncode == 0, run.stderr[-3000:]
 
 
+def python_at_end(plan):
+    """Whether a Python function runs in the tasks that end plan."""
+    if plan.nodeName().startswith("AdaptiveSparkPlan"):
+        plan = plan.executedPlan()
+    name, children = plan.nodeName(), plan.children()
+    if "Exchange" in name or "QueryStage" in name:
+        return False
+    return "InArrow" in name or "InPandas" in name or any(python_at_end(children.apply(i)) for i in range(children.size()))
+
+
+def test_near_duplicates_take_one_worker_a_task(spark, monkeypatch):
+    """What saved() is given must not end in a Python function: that would be a second worker, which stays."""
+    seen = []
+
+    def recorded(df, name, run=None, schema=None):
+        seen.append((name, python_at_end(df._jdf.queryExecution().executedPlan())))
+        return saved(df, name, run, schema)
+
+    for module in (near_dedup, components):
+        monkeypatch.setattr(module, "saved", recorded)
+    words = [f"v{i}" for i in range(60)]
+    texts = [" ".join(words[:n]) for n in range(40, 61)]
+    rows = near_dedup.near_duplicates(docs(spark, texts), words=4).collect()
+    assert {r.component_id for r in rows} == {0}
+    assert {"close", "links", "signed"} <= {name for name, _ in seen} and python_at_end(spark.range(3).mapInArrow(lambda b: b, "id long")._jdf.queryExecution().executedPlan())
+    assert [name for name, python in seen if python] == []
+
+
 def test_exact_duplicates(spark, texts):
     rows = {r.doc_id: r for r in exact_dedup.exact_duplicates(docs(spark, texts)).collect()}
     groups = {}
